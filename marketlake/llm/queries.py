@@ -3,12 +3,25 @@
 from __future__ import annotations
 
 from .media import op1_media_columns
+from .near_dedup import op5_minhash_near_dedup
 from .secret_scan import op2_secret_scans
+from .sharding import op8_sharding
+from .substring_dedup import op3_substring_dedup
+from .topk import OP4_SQL, op4_exact_topk
+
+QUERIES = (
+    op1_media_columns,
+    op2_secret_scans,
+    op3_substring_dedup,
+    op4_exact_topk,
+    op5_minhash_near_dedup,
+    op8_sharding,
+)
 
 
 def queries() -> dict:
-    return {"op1_media_columns": op1_media_columns, "op2_secret_scans": op2_secret_scans}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_exact_topk": OP4_SQL}
