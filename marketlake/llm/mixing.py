@@ -5,7 +5,7 @@ The flight phase takes three documents at a time and moves their probabilities a
 constraints (word total, document total) until one is 0 or 1, so both totals stay exact. It runs in groups of at
 most about ``GROUP`` documents of one source, dealt by hash, so a hot source is many groups; what each group
 leaves undecided (two documents at most) meets in the next level, until each source is one small group. Landing then rounds the last
-two so that the word total is off least.
+two so that the word total is off least, and exchanges a few documents of that group if this brings it nearer.
 
 Only per-source totals (one row per source) reach the driver. Moves are drawn from generators seeded by source, level and group:
 reruns agree.
@@ -20,6 +20,7 @@ import math
 import random
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,13 +88,32 @@ def _land(left: list[int], p: list[float], size: list[int]) -> None:
         p[j] = float(x)
 
 
+def _polish(p: list[float], size: list[int], goal: float, swaps: int = 6) -> None:
+    """Exchanges a taken document for one left out while that brings the word total nearer to its goal."""
+    for _ in range(swaps):
+        off = sum(x * n for x, n in zip(p, size)) - goal
+        taken, out = (np.array([j for j, x in enumerate(p) if x == v], int) for v in (1.0, 0.0))
+        if abs(off) < 1 or not len(taken) or not len(out):
+            return
+        n = np.array(size)
+        out = out[np.argsort(n[out], kind="stable")]
+        at = np.clip(np.searchsorted(n[out], n[taken] - off) + np.array([[-1], [0]]), 0, len(out) - 1)
+        left = np.abs(off - n[taken] + n[out][at])
+        row, col = np.unravel_index(left.argmin(), left.shape)
+        if left[row, col] >= abs(off):
+            return
+        p[taken[col]], p[out[at[row, col]]] = 0.0, 1.0
+
+
 def _fly(level: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "th"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         p, size = pdf["p"].tolist(), pdf["size"].tolist()
+        goal = sum(x * n for x, n in zip(p, size))
         left = _flight(p, size, random.Random(f"{key[0]}|{key[1]}|{level}"))
         if pdf["groups"].iloc[0] == 1:
             _land(left, p, size)
+            _polish(p, size, goal)
         pdf["p"] = p
         pdf["picked"] = pd.array([int(x) if x in (0.0, 1.0) else None for x in p], dtype="Int32")
         return pdf[["source", "doc_id", "th", "size", "source_size", "target", "whole", "p", "picked"]]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from .chat import OP9_SQL, op9_chat_formatting
 from .media import op1_media_columns
+from .mixing import op6_source_mixing
 from .near_dedup import op5_minhash_near_dedup
+from .packing import op7_retrieval_packing
+from .quality import op10_quality_classifier
 from .secret_scan import op2_secret_scans
 from .sharding import op8_sharding
 from .substring_dedup import op3_substring_dedup
@@ -15,7 +19,11 @@ QUERIES = (
     op3_substring_dedup,
     op4_exact_topk,
     op5_minhash_near_dedup,
+    op6_source_mixing,
+    op7_retrieval_packing,
     op8_sharding,
+    op9_chat_formatting,
+    op10_quality_classifier,
 )
 
 
@@ -24,4 +32,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_topk": OP4_SQL}
+    return {"op4_exact_topk": OP4_SQL, "op9_chat_formatting": OP9_SQL}
