@@ -1,0 +1 @@
+"""A Spark-native engine for equity-market data lakes."""
