@@ -67,4 +67,4 @@ def ever_traded(bars: DataFrame) -> DataFrame:
 def scope_hash(symbols: DataFrame) -> DataFrame:
     """Number and hash of a scope, free of order: per-symbol digests summed over 38 digits, so that no list is gathered."""
     part = F.conv(F.substring(F.md5("symbol"), 1, 15), 16, 10).cast("decimal(38,0)")
-    return symbols.select("symbol").distinct().agg(F.count("*").alias("n_symbols"), F.sum(part).alias("scope_hash"))
+    return symbols.select("symbol").distinct().agg(F.count("*").alias("n_symbols"), F.sum(part).cast("string").alias("scope_hash"))

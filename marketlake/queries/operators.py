@@ -230,7 +230,7 @@ def _(fx):
     return universe.tradable_on(fx("instruments"), fx("status"), "1998-06-15", "all_a_sh_sz")
 
 
-@query("d31_scope_hash", "instruments", "SELECT count(*) AS n_symbols, CAST(sum(CAST(('0x' || substring(md5(symbol), 1, 15)) AS BIGINT)) AS DECIMAL(38, 0)) AS scope_hash FROM (SELECT DISTINCT symbol FROM instruments) s")
+@query("d31_scope_hash", "instruments", "SELECT count(*) AS n_symbols, CAST(sum(CAST(('0x' || substring(md5(symbol), 1, 15)) AS BIGINT)) AS VARCHAR) AS scope_hash FROM (SELECT DISTINCT symbol FROM instruments) s")
 def _(fx):
     return universe.scope_hash(fx("instruments"))
 
