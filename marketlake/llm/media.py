@@ -9,7 +9,7 @@ a decoder gets the sample back in all 64 pixels. The Huffman table gives categor
 makes every difference 9 bits and, with a one-bit end of block, every block 10 bits. A frame of 16 x 12 blocks
 carries 192 samples. Streams with other tables or real AC terms go through the general baseline decoder.
 
-Defined results: a null text counts as empty and an empty one as 192 blanks; a null AVI gives a null struct; an AVI that
+Defined results: a null text counts as empty and an empty one as 192 blanks; a null AVI gives a struct of nulls; an AVI that
 cannot be read gives a struct with ``error`` set and the other fields null; repeated rows give equal values.
 """
 
@@ -23,6 +23,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read, small_batches
 
@@ -286,10 +287,13 @@ def find_cuts(frames: np.ndarray) -> list[int]:
     return (1 + np.flatnonzero((diff >= FLOOR) & (diff * seen >= FACTOR * (total[at] - total[first])))).tolist()
 
 
-PROBE = (
-    "struct<frames int, fps double, media_bytes bigint, media_sha256 string, payload_bytes bigint, payload_sha256 string, "
-    "tail_crc32 bigint, clips array<struct<clip int, start_frame int, end_frame int, start_s double, end_s double>>, "
-    "feature string, error string>"
+CLIP = T.StructType(
+    [T.StructField("clip", T.IntegerType()), T.StructField("start_frame", T.IntegerType()), T.StructField("end_frame", T.IntegerType()), T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]
+)
+PROBE = T.StructType(
+    [T.StructField("frames", T.IntegerType()), T.StructField("fps", T.DoubleType()), T.StructField("media_bytes", T.LongType()), T.StructField("media_sha256", T.StringType())]
+    + [T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()), T.StructField("clips", T.ArrayType(CLIP))]
+    + [T.StructField("feature", T.StringType()), T.StructField("error", T.StringType())]
 )
 
 
@@ -317,15 +321,15 @@ def probe_one(data: bytes | None) -> dict | None:
     }
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_avi(text: pd.Series) -> pd.Series:
     return pd.Series([bytes_to_avi(pad((t or "").encode())) for t in text])
 
 
 @F.pandas_udf(PROBE)
 def probe_avi(avi: pd.Series) -> pd.DataFrame:
-    rows = [probe_one(x) or {} for x in avi]
-    return pd.DataFrame(rows, columns=["frames", "fps", "media_bytes", "media_sha256", "payload_bytes", "payload_sha256", "tail_crc32", "clips", "feature", "error"]).astype(
+    rows = [probe_one(x) or dict.fromkeys(PROBE.fieldNames()) for x in avi]
+    return pd.DataFrame(rows, columns=PROBE.fieldNames()).astype(
         {"frames": "Int32", "media_bytes": "Int64", "payload_bytes": "Int64", "tail_crc32": "Int64"}
     )
 
