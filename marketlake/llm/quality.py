@@ -113,8 +113,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> Model:
     start = math.log(share / (1 - share))
     if len(y) < 20 or y.min() == y.max():
         return Model(start, ())
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, CUTS + 2)[1:-1], method="lower")) for f in range(x.shape[1])]
-    cuts = [c[c < x[:, f].max()] for f, c in enumerate(cuts)]
+    # Cuts lie midway between quantiles that differ: a value slightly off the common one is not taken for the other class.
+    steps = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, CUTS + 2), method="nearest")) for f in range(x.shape[1])]
+    cuts = [(s[1:] + s[:-1]) / 2 for s in steps]
     rules: set[Rule] = set()
     margin = np.full(len(y), start)
     for _ in range(TREES):
