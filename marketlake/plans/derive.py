@@ -367,3 +367,21 @@ def yearly_acceptance(bars: DataFrame) -> DataFrame:
 def split_by_source(symbols: DataFrame) -> DataFrame:
     """Which source serves a symbol."""
     return symbols.withColumn("served_by", F.when(exchange_of(F.col("symbol")).isin("SH", "SZ"), "primary").otherwise("fallback"))
+
+
+def recovered_instruments(instruments: DataFrame, delisted: DataFrame, bar_spans: DataFrame) -> DataFrame:
+    """Adds recovered delisted names that the instruments lack, dated by their bars; known names get a missing delist date."""
+    b = bar_spans.select("symbol", "first_bar", "last_bar")
+    new = delisted.join(instruments.select("symbol"), "symbol", "left_anti").join(b, "symbol", "left")
+    new = new.select("symbol", "name", F.col("first_bar").alias("list_date"), F.coalesce("delist_date", "last_bar").alias("delist_date"))
+    known = instruments.join(delisted.select("symbol", F.col("delist_date").alias("_d")), "symbol", "left")
+    return known.select("symbol", "name", "list_date", F.coalesce("delist_date", "_d").alias("delist_date")).unionByName(new)
+
+
+def announcement_window(announcements: DataFrame, days: DataFrame, start, end) -> DataFrame:
+    """The window clamped to the indexed span, and how many of its days have no announcements (a hole refuses the run)."""
+    have = announcements.select("announce_date").distinct()
+    span = have.agg(F.greatest(F.min("announce_date"), F.lit(start).cast("date")).alias("lo"), F.least(F.max("announce_date"), F.lit(end).cast("date")).alias("hi"))
+    inside = days.join(F.broadcast(span), F.col("trade_date").between(F.col("lo"), F.col("hi")))
+    holes = inside.join(have, F.col("trade_date") == F.col("announce_date"), "left_anti")
+    return span.crossJoin(holes.agg(F.count("*").alias("n_holes")))

@@ -363,3 +363,32 @@ def _(fx):
     return historical_validity(fx("bars"), fx("instruments"), fx("status"), fx("sessions"))
 
 
+
+
+@query("d12_recovered_instruments", "instruments valuations spans", """
+WITH d AS (SELECT DISTINCT symbol, 'gone ' || symbol AS name, CAST(NULL AS DATE) AS delist_date FROM valuations WHERE symbol NOT IN (SELECT symbol FROM instruments) UNION ALL SELECT symbol, name, last_bar FROM (SELECT i.symbol, i.name, p.last_bar FROM instruments i JOIN spans p ON i.symbol = p.symbol WHERE p.n_bars > 540) x)
+SELECT i.symbol, i.name, i.list_date, coalesce(i.delist_date, d.delist_date) AS delist_date FROM instruments i LEFT JOIN d ON i.symbol = d.symbol
+UNION ALL SELECT d.symbol, d.name, p.first_bar, coalesce(d.delist_date, p.last_bar) FROM d LEFT JOIN spans p ON d.symbol = p.symbol WHERE d.symbol NOT IN (SELECT symbol FROM instruments)""")
+def _(fx):
+    i, p = fx("instruments"), fx("spans")
+    unknown = fx("valuations").select("symbol").distinct().join(i.select("symbol"), "symbol", "left_anti")
+    unknown = unknown.select("symbol", F.concat(F.lit("gone "), "symbol").alias("name"), F.lit(None).cast("date").alias("delist_date"))
+    known = i.join(p.where("n_bars > 540"), "symbol").select("symbol", "name", F.col("last_bar").alias("delist_date"))
+    return D.recovered_instruments(i, unknown.unionByName(known), p)
+
+
+@query("d40_announcement_window", "announcements", """
+WITH h AS (SELECT DISTINCT announce_date FROM announcements), s AS (SELECT greatest(min(announce_date), DATE '2023-12-01') AS lo, least(max(announce_date), DATE '2024-02-15') AS hi FROM h),
+d AS (SELECT DISTINCT CAST(ts AS DATE) AS trade_date FROM events) SELECT lo, hi, (SELECT count(*) FROM d, s WHERE d.trade_date BETWEEN s.lo AND s.hi AND d.trade_date NOT IN (SELECT announce_date FROM h)) AS n_holes FROM s""")
+def _(fx):
+    days = fx("events").select(F.col("ts").cast("date").alias("trade_date")).distinct()
+    return D.announcement_window(fx("announcements"), days, "2023-12-01", "2024-02-15")
+
+
+@query("d44_retract_derived", "instruments sessions", """
+WITH s AS (SELECT i.symbol, x.trade_date, CASE WHEN day(x.trade_date) <= 15 THEN 'derived_delisted' ELSE 'eastmoney' END AS source FROM instruments i JOIN sessions x ON x.trade_date > i.delist_date)
+SELECT s.symbol, s.trade_date, s.source FROM s LEFT JOIN instruments i ON s.symbol = i.symbol WHERE s.source <> 'derived_delisted' OR s.trade_date > i.delist_date + INTERVAL 60 DAY""")
+def _(fx):
+    rows = D.life_status(fx("instruments"), fx("sessions")).where("status = 'delisted'")
+    rows = rows.select("symbol", "trade_date", F.when(F.dayofmonth("trade_date") <= 15, "derived_delisted").otherwise("eastmoney").alias("source"))
+    return D.retract_derived(rows, fx("instruments").select("symbol", F.date_add("delist_date", 60).alias("delist_date")))
