@@ -1,13 +1,13 @@
 """Operator 7, lexical retrieval packing: a sharded BM25 index names the neighbours that fill a seed's window.
 
-Documents are dealt by hash into shards of about ``SHARD_TOKENS`` tokens. Terms are token ids, so that the document
-frequencies of the whole corpus are one bounded vector (the vocabulary). In a shard an inverted index holds every
+Texts are tokenized once into a table. Documents are dealt by hash into shards of about ``SHARD_TOKENS`` tokens. Terms are
+token ids, so that the document frequencies of the whole corpus are one bounded vector. In a shard an inverted index holds every
 posting of every document; a seed's ``QUERY_TERMS`` weightiest terms score the shard's unused documents and the best ones
 are appended until the window of ``WINDOW`` tokens is full. The document that is cut goes on in the next window as its seed, so
 windows have no padding; the rest of a shard is cut into sequences of powers of two.
 
-Tokens of a text are those of its words: the vocabulary's rules never join across white space, so that each worker
-encodes a word once and looks it up afterwards.
+Tokens of a text are those of its pieces: the vocabulary's rules never join across white space, nor letters and marks, so
+that each worker has the library encode a piece once and looks it up afterwards.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed each; an empty table gives no rows; a seed without
 scored neighbours takes the next unused document.
@@ -15,17 +15,27 @@ scored neighbours takes the next unused document.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_CACHE, read, small_batches, text_bytes
-
-WINDOW, SHARD_TOKENS, QUERY_TERMS, END = 4096, 4_000_000, 16, 2
+from .common import materialize, read, small_batches
+
+WINDOW, SHARD_TOKENS, QUERY_TERMS, END = 4096, 2_000_000, 16, 2
+#: Slices in which document frequencies are summed.
+SLICES = 16
+#: Distinct pieces a worker remembers.
+PIECE_CACHE = 700_000
+_SPACE, _LETTER, _MARK = r" \t-\r", "A-Za-z0-9À-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+OTHER = re.compile(f"[^{_SPACE}{_LETTER}{_MARK}]")
+PLAIN = re.compile(f"[{_LETTER}]+|[{_MARK}]+")
+MIXED = re.compile(f"[^{_SPACE}]*{OTHER.pattern}[^{_SPACE}]*|{PLAIN.pattern}")
 K1, B = 1.2, 0.75
 VOCABULARY = "word_bpe_49k.json"
 _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -37,8 +47,17 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class WordTokens(dict):
-    """Token ids of whole texts by a table of words (bytes) seen so far."""
+def pieces(text: str) -> list[str]:
+    """The parts of a text whose ids follow each other: runs of letters and digits, runs of marks, and whole words where
+    other signs (apostrophes, which have rules of their own, among them) stand. A text that may hold a special token is one part."""
+    if "<|" in text:
+        return [text]
+    text = text.lower() if text.isascii() else text.encode().lower().decode()
+    return (MIXED if OTHER.search(text) else PLAIN).findall(text)
+
+
+class PieceTokens(dict):
+    """Token ids of whole texts by a table of the pieces seen so far; the library encodes each piece once."""
 
     def __init__(self, path: str) -> None:
         import os
@@ -47,81 +66,126 @@ class WordTokens(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.vocabulary = self.tokenizer.get_vocab_size()
-        self.flat, self.at, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self) + len(words) > WORD_CACHE:
-            self.clear()
-            self.used = 0
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            first, total = len(self), int(sizes.sum())
-            while first + len(part) > len(self.at):
-                self.at, self.n = np.append(self.at, np.zeros_like(self.at)), np.append(self.n, np.zeros_like(self.n))
-            while self.used + total > len(self.flat):
-                self.flat = np.append(self.flat, np.zeros_like(self.flat))
-            self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-            self.n[first : first + len(part)] = sizes
-            self.at[first : first + len(part)] = self.used + np.cumsum(sizes) - sizes
-            self.used += total
-            self.update(zip(part, range(first, first + len(part))))
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        self.word_end = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.word_end[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self._reset()
+
+    def _reset(self) -> None:
+        self.clear()
+        self.new: list[str] = []
+        self.flat, self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def __missing__(self, piece: str) -> int:
+        place = self[piece] = len(self)
+        self.new.append(piece)
+        return place
+
+    def _learn(self) -> None:
+        """Adds the ids of the new pieces. A run of letters ends with its only word-end token, so that many are read from one encoding."""
+        new, self.new = self.new, []
+        flat, sizes = [], np.zeros(len(new), np.int64)
+        plain = [i for i, x in enumerate(new) if x.isalpha()]
+        rest = [i for i, x in enumerate(new) if not x.isalpha()]
+        order: list[int] = []
+        for at in range(0, len(plain), 500):
+            part = plain[at : at + 500]
+            ids = np.array(self.tokenizer.encode(" ".join([new[i] for i in part]), add_special_tokens=False).ids, np.uint32)
+            cut = np.flatnonzero(self.word_end[ids]) + 1
+            if len(cut) == len(part) and cut[-1] == len(ids):
+                flat.append(ids)
+                sizes[part] = np.diff(cut, prepend=0)
+                order += part
+            else:
+                rest += part
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([new[i] for i in rest], add_special_tokens=False)):
+            flat.append(np.array(e.ids, np.uint32))
+            sizes[i] = len(e.ids)
+        order += rest
+        at = np.zeros(len(new), np.int64)
+        ends = np.cumsum(sizes[order])
+        at[order] = len(self.flat) + ends - sizes[order]
+        self.at, self.n, self.flat = np.append(self.at, at), np.append(self.n, sizes), np.concatenate((self.flat, *flat))
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids end."""
-        split = [t.split() for t in texts]
-        new = {w for doc in split for w in doc}.difference(self)
-        if new:
-            before = len(self)
-            self._learn(sorted(new))
-            if len(self) < before + len(new):
-                self._learn(sorted({w for doc in split for w in doc}.difference(self)))
+        if len(self) > PIECE_CACHE:
+            self._reset()
+        split = [pieces(t) for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
-        k = np.fromiter((self[w] for doc in split for w in doc), np.int64, int(sizes.sum()))
+        k = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        if self.new:
+            self._learn()
         n = self.n[k]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.at[k] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
         return ids, np.append(0, ends)[np.cumsum(sizes)]
 
 
-def _frequencies(path: str):
+def worker_tokens(path: str) -> PieceTokens:
+    """The table of this worker process, which serves task after task."""
+    import sys
+
+    held = sys.__dict__.setdefault("_piece_tokens", {})
+    if path not in held:
+        held[path] = PieceTokens(path)
+    return held[path]
+
+
+def _unique_terms(ids: np.ndarray, ends: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct (document, term) cells and how often each occurs."""
+    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    return np.unique(doc * terms + ids, return_counts=True)
+
+
+_TOKENS = "doc_id long, ids binary, part int, df binary, docs long, tokens long"
+
+
+def _tokenize(path: str, narrow: type):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokens(path)
-        df, docs, tokens = np.zeros(words.vocabulary, np.int64), 0, 0
+        table = worker_tokens(path)
+        terms, docs, tokens = len(table.word_end), 0, 0
+        df = np.zeros(-(-terms // SLICES) * SLICES, np.int64)
         for batch in batches:
-            ids, ends = words.encode(text_bytes(batch.column("text")))
-            docs, tokens = docs + len(ends), tokens + len(ids) + len(ends)
-            for a, b in zip([0, *ends[:-1].tolist()], ends.tolist()):
-                df[np.flatnonzero(np.bincount(ids[a:b]))] += 1
-        yield pa.RecordBatch.from_arrays([pa.array([df.tobytes()]), pa.array([docs]), pa.array([tokens])], names=["df", "docs", "tokens"])
+            ids, ends = table.encode([t or "" for t in batch.column("text").to_pylist()])
+            df += np.bincount(_unique_terms(ids, ends, terms)[0] % terms, minlength=len(df))
+            docs, tokens, flat = docs + len(ends), tokens + len(ids), ids.astype(narrow).tobytes()
+            step = np.dtype(narrow).itemsize
+            column = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends * step).astype(np.int32)), pa.py_buffer(flat)])
+            none = [pa.nulls(len(ends), t) for t in (pa.int32(), pa.binary(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, *none], names=["doc_id", "ids", "part", "df", "docs", "tokens"])
+        cells = df.reshape(SLICES, -1)
+        columns = [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())]
+        counts = [pa.array([x if not i else 0 for i in range(SLICES)], pa.int64()) for x in (docs, tokens)]
+        yield pa.RecordBatch.from_arrays([*columns, *counts], names=["doc_id", "ids", "part", "df", "docs", "tokens"])
 
     return run
 
 
-def statistics(docs: DataFrame, path: str) -> tuple[np.ndarray, int, int]:
+def _sum_slices(key: tuple, table: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(x, np.int64) for x in table.column("df").to_pylist())
+    sums = [sum(table.column(c).to_pylist()) for c in ("docs", "tokens")]
+    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "df": pa.array([total.tobytes()], pa.binary()), "docs": pa.array([sums[0]], pa.int64()), "tokens": pa.array([sums[1]], pa.int64())})
+
+
+def statistics(tokens: DataFrame, terms: int) -> tuple[np.ndarray, int, int]:
     """Document frequency of each token id, number of documents and of tokens, over the whole corpus.
 
-    One vector per task (as long as the vocabulary) reaches the driver, which reads them one after the other.
+    A vector as long as the vocabulary, summed slice by slice on the executors, reaches the driver.
     """
-    df, n, tokens = np.zeros(0, np.int64), 0, 0
-    for r in docs.select("text").mapInArrow(_frequencies(path), "df binary, docs long, tokens long").toLocalIterator():
-        one = np.frombuffer(bytes(r["df"]), np.int64)
-        df = one.copy() if not len(df) else df + one
-        n, tokens = n + r["docs"], tokens + r["tokens"]
-    return df, n, tokens
+    parts = tokens.where("part IS NOT NULL").select("part", "df", "docs", "tokens")
+    rows = parts.groupBy("part").applyInArrow(_sum_slices, "part int, df binary, docs long, tokens long").collect()
+    rows.sort(key=lambda r: r["part"])
+    df = np.concatenate([np.frombuffer(bytes(r["df"]), np.int64) for r in rows])[:terms] if rows else np.zeros(terms, np.int64)
+    return df, sum(r["docs"] for r in rows), sum(r["tokens"] for r in rows)
 
 
 class ShardIndex:
     """BM25 postings of the documents of one shard, by term."""
 
-    def __init__(self, ids: np.ndarray, ends: np.ndarray, idf: np.ndarray, mean: float) -> None:
+    def __init__(self, terms: np.ndarray, ends: np.ndarray, idf: np.ndarray, mean: float) -> None:
         v, n = len(idf), len(ends)
         sizes = np.diff(ends, prepend=0)
-        doc = np.repeat(np.arange(n), sizes)
-        cell, tf = np.unique(doc * v + ids.astype(np.int64), return_counts=True)
+        cell, tf = _unique_terms(terms, ends, v)
         doc, term = cell // v, cell % v
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
         self.doc_ptr = np.searchsorted(doc, np.arange(n + 1))
@@ -174,15 +238,12 @@ def cut(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.array([window] * (total // window) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1], np.int64)
 
 
-def _pack(path: str, idf: np.ndarray, mean: float, window: int, with_ids: bool) -> Callable:
-    held: dict[str, WordTokens] = {}
-
+def _pack(idf: np.ndarray, mean: float, window: int, narrow: type, with_ids: bool) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        if path not in held:
-            held[path] = WordTokens(path)
-        table = table.combine_chunks().sort_by([("doc_id", "ascending")])
-        texts = [b for chunk in table.column("text").chunks for b in text_bytes(chunk)]
-        ids, ends = held[path].encode(texts)
+        table = table.sort_by([("doc_id", "ascending")])
+        parts = table.column("ids").to_pylist()
+        ids = np.frombuffer(b"".join(parts), narrow).astype(np.int64)
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // np.dtype(narrow).itemsize
         index = ShardIndex(ids, ends, idf, mean)
         sizes = np.diff(ends, prepend=0)
         lengths = sizes + 1
@@ -215,13 +276,15 @@ def _pack(path: str, idf: np.ndarray, mean: float, window: int, with_ids: bool)
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document; ``with_ids`` adds its ids (little-endian unsigned 32-bit)."""
     path = path or vocabulary_path()
-    df, n, tokens = statistics(docs, path)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5))
-    shards = max(1, -(-tokens // SHARD_TOKENS))
-    salt = F.xxhash64("doc_id", F.monotonically_increasing_id())
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(salt, F.lit(shards)).cast("long").alias("shard"))
+    terms = len(worker_tokens(path).word_end)
+    narrow = np.uint16 if terms <= 1 << 16 else np.uint32
+    tokens = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path, narrow), _TOKENS), "tokens")
+    df, n, total = statistics(tokens, terms)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)) if n else np.zeros(terms)
+    shards = max(1, -(-total // SHARD_TOKENS))
+    dealt = tokens.where("part IS NULL").select("doc_id", "ids", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).cast("long").alias("shard"))
     schema = _PIECE + (", ids binary" if with_ids else "")
-    return dealt.groupBy("shard").applyInArrow(_pack(path, idf, max(1.0, tokens / max(1, n)), window, with_ids), schema)
+    return dealt.groupBy("shard").applyInArrow(_pack(idf, max(1.0, total / max(1, n)), window, narrow, with_ids), schema)
 
 
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
