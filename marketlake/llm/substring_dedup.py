@@ -179,6 +179,12 @@ def _segments(window: int, rounds: int):
                 ranges.load(words)
                 h1, h2 = ranges.of(s, s + count + window - 1)
                 of = doc[head]
+                # Equal windows that follow each other (runs of one word) are one row.
+                new = np.ones(len(s), bool)
+                new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1]) | (s[1:] != s[:-1] + 1) | (count[1:] > 1) | (count[:-1] > 1) | (of[1:] != of[:-1])
+                rows = np.flatnonzero(new)
+                count = np.where(count[rows] > 1, count[rows], np.diff(np.append(rows, len(s))))
+                s, h1, h2, of, head = s[rows], h1[rows], h2[rows], of[rows], head[rows]
                 ids, ths = batch.column("_id").to_numpy()[of], batch.column("_th").to_numpy()[of]
                 columns = [names[head].view(np.int64), h1.view(np.int64), h2.view(np.int64), ids, ths, (s - doc_start[of]).astype(np.int32), count.astype(np.int32)]
                 table = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "h1", "h2", "_id", "_th", "start", "n"])
@@ -240,6 +246,7 @@ NO_ID = (1 << 63) - 1
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that stay, joined by one space) of each row."""
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_th"), "text")
+    # Tables of keys are written before they are joined: both sides are then plain exchanges, whose hot keys Spark splits.
     segments = materialize(docs.mapInArrow(_segments(window, rounds), _SEGMENT), "segments")
     shared = (
         segments.groupBy("anchor")
@@ -247,17 +254,17 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
         .where("lo < hi")
         .select("anchor", (F.col("least") != F.col("most")).alias("several"))
     )
-    candidates = materialize(segments.join(shared, "anchor"), "candidates")
+    candidates = materialize(segments.join(materialize(shared, "shared"), "anchor"), "candidates")
     drop_table(segments)
     kinds = candidates.groupBy("h1", "h2").agg(F.min("_id").alias("origin"))
-    judged = materialize(candidates.join(kinds, ["h1", "h2"]).drop("anchor", "h1", "h2"), "judged")
+    judged = materialize(candidates.join(materialize(kinds, "kinds"), ["h1", "h2"]).drop("anchor", "h1", "h2"), "judged")
     drop_table(candidates)
     per_doc = [F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")]
     whole = judged.where("_id > origin").select("_id", "_th", "start", "n")
     unclear = judged.where("_id = origin and several").groupBy("_id", "_th").agg(*per_doc)
     windows = materialize(docs.join(unclear, ["_id", "_th"]).mapInArrow(_windows(window), _WINDOW), "windows")
     origins = windows.groupBy("h1", "h2").agg(F.min("_id").alias("origin"), F.max("_id").alias("latest")).where("origin < latest")
-    parts = windows.join(origins, ["h1", "h2"]).where("_id > origin").select("_id", "_th", "start", F.lit(1).alias("n"))
+    parts = windows.join(materialize(origins, "origins"), ["h1", "h2"]).where("_id > origin").select("_id", "_th", "start", F.lit(1).alias("n"))
     ranges = whole.unionByName(parts).groupBy("_id", "_th").agg(*per_doc)
     done = docs.join(ranges, ["_id", "_th"], "left").select("_id", "text", "starts", "ns")
     kept = done.mapInArrow(_remove(window), "_id long, n_words long, n_removed long, kept string")
