@@ -105,14 +105,14 @@ def _best(ids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int):
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates (id, q) of each query (id, q), its own id left out."""
     spark = queries.sparkSession
-    numbered = materialize(queries.repartitionByRange("id").sortWithinPartitions("id").withColumn("place", F.monotonically_increasing_id()), "queries")
-    order = [(r["part"], r["n"]) for r in numbered.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect()]
-    parts = []
-    for part, n in order:
-        base = part << 33
-        for at in range(0, n, BLOCK):
-            bounds = numbered.where((F.col("place") >= base + at) & (F.col("place") < base + min(n, at + BLOCK)))
-            parts.append(_block(spark, bounds, candidates, k))
+    n_queries = queries.count()
+    parts = [_block(spark, queries, candidates, k)] if 0 < n_queries <= BLOCK else []
+    if n_queries > BLOCK:
+        numbered = materialize(queries.repartitionByRange("id").sortWithinPartitions("id").withColumn("place", F.monotonically_increasing_id()), "queries")
+        for r in numbered.groupBy(F.shiftright("place", 33).alias("part")).agg(F.count("*").alias("n")).orderBy("part").collect():
+            for at in range(0, r["n"], BLOCK):
+                low = (r["part"] << 33) + at
+                parts.append(_block(spark, numbered.where(F.col("place").between(low, low + BLOCK - 1)), candidates, k))
     empty = spark.createDataFrame([], "query_id long, vec_id long, score long")
     best = reduce(DataFrame.union, parts, empty)
     window = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
@@ -130,10 +130,10 @@ def _block(spark: SparkSession, block: DataFrame, candidates: DataFrame, k: int)
     low, high = -reach, reach
     while True:
         width = np.maximum(1, -(-(high - low + 1) // BINS))
-        counted = candidates.mapInArrow(_histograms(ids, q, low, width, k), "row int, bin int, n long").groupBy("row", "bin").agg(F.sum("n").alias("n"))
-        above = Window.partitionBy("row").orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
-        placed = counted.withColumn("above", F.coalesce(F.sum("n").over(above), F.lit(0)))
-        at = placed.where((F.col("above") < k) & (F.col("above") + F.col("n") >= k)).select("row", "bin").collect()
+        counted = candidates.mapInArrow(_histograms(ids, q, low, width, k), "row int, bin int, n long")
+        # Tasks' counts of one bin are peers in the window's order: one shuffle sums them and finds the bin of the kth score.
+        reached = F.sum("n").over(Window.partitionBy("row").orderBy(F.desc("bin")).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        at = counted.withColumn("reached", reached).where(F.col("reached") >= k).groupBy("row").agg(F.max("bin").alias("bin")).collect()
         new_low, new_high = low.copy(), low.copy()
         for r in at:
             new_low[r["row"]] = low[r["row"]] + r["bin"] * width[r["row"]]
