@@ -61,7 +61,8 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     path = leaves.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= keep).select("tree", F.col("node").alias("leaf"), "node")
     for jump in reversed(rounds[:-1]):
         up = path.join(jump.where("up IS NOT NULL").select("tree", "node", "up"), ["tree", "node"])
-        path = path.unionByName(up.select("tree", "leaf", F.col("up").alias("node")))
+        # Written each time: the plan would double with every level.
+        path = materialize(path.unionByName(up.select("tree", "leaf", F.col("up").alias("node"))), "paths")
     return path.join(rooted.select("tree", "node", "depth"), ["tree", "node"])
 
 
