@@ -48,11 +48,12 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
         if not step.where("up IS NOT NULL").limit(1).count() or 1 << (len(rounds) - 1) > most:
             break
         ahead = step.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("further"), F.lit(True).alias("there"))
+        live = step.where("up IS NOT NULL")
         step = materialize(
-            step.join(ahead, ["tree", "up"], "left").select(
+            live.join(ahead, ["tree", "up"], "left").select(
                 "tree", "node", F.col("next").alias("up"),
                 (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
-            ),
+            ).unionByName(step.where("up IS NULL")),
             "ancestors",
         )
     rooted = step.where("up IS NULL").select("tree", "node", "total", "depth")
