@@ -2,7 +2,7 @@
 
 Texts are tokenized once into a table. Documents are dealt by hash into shards of about ``SHARD_TOKENS`` tokens. Terms are
 token ids, so that the document frequencies of the whole corpus are one bounded vector. In a shard an inverted index holds every
-posting of every document; a seed's ``QUERY_TERMS`` weightiest terms score the shard's unused documents and the best ones
+posting of every document; all distinct terms of a seed score the shard's unused documents and the best ones
 are appended until the window of ``WINDOW`` tokens is full. The document that is cut goes on in the next window as its seed, so
 windows have no padding; the rest of a shard is cut into sequences of powers of two.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, read, small_batches
 
-WINDOW, SHARD_TOKENS, QUERY_TERMS, END = 4096, 2_000_000, 16, 2
+WINDOW, SHARD_TOKENS, END = 4096, 2_000_000, 2
 #: Slices in which document frequencies are summed.
 SLICES = 16
 #: Distinct pieces a worker remembers.
@@ -189,16 +189,15 @@ class ShardIndex:
         doc, term = cell // v, cell % v
         impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
         self.doc_ptr = np.searchsorted(doc, np.arange(n + 1))
-        self.doc_term, self.doc_impact = term, impact
+        self.doc_term = term
         order = np.argsort(term, kind="stable")
         self.ptr = np.searchsorted(term[order], np.arange(v + 1))
         self.docs, self.impact, self.n = doc[order], impact[order].astype(np.float32), n
 
     def scores(self, seed: int) -> np.ndarray:
         a, b = self.doc_ptr[seed], self.doc_ptr[seed + 1]
-        best = np.argsort(-self.doc_impact[a:b], kind="stable")[:QUERY_TERMS] + a
         out = np.zeros(self.n, np.float32)
-        for t in self.doc_term[best]:
+        for t in self.doc_term[a:b]:
             x, y = self.ptr[t], self.ptr[t + 1]
             out[self.docs[x:y]] += self.impact[x:y]
         return out

@@ -266,6 +266,14 @@ def test_packing_neighbours_share_terms():
     assert packing.reading_order(index, np.array([2, 2, 2]), 4) == [0, 2, 1]
 
 
+def test_packing_scores_all_terms_of_a_seed():
+    terms = np.array([*range(1, 41), 50, 60, 61, 50, 62], np.int64)
+    idf = np.ones(70)
+    idf[50] = 0.01
+    index = packing.ShardIndex(terms, np.array([41, 43, 45]), idf, 15.0)
+    assert packing.reading_order(index, np.array([41, 2, 2]), 4) == [0, 2, 1]
+
+
 def test_sharding(docs, empty):
     rows = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"))
     out = sharding.byte_shards(rows, ["doc_id", "size"], "size").collect()
