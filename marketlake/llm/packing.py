@@ -1,10 +1,15 @@
-"""Operator 7, lexical retrieval packing: a sharded BM25 index names the neighbours that fill a seed's window.
+"""Operator 7, lexical retrieval packing: a BM25 index of the whole corpus names the neighbours that fill a seed's window.
 
-Texts are tokenized once into a table. Documents are dealt by hash into shards of about ``SHARD_TOKENS`` tokens. Terms are
-token ids, so that the document frequencies of the whole corpus are one bounded vector. In a shard an inverted index holds every
-posting of every document; all distinct terms of a seed score the shard's unused documents and the best ones
-are appended until the window of ``WINDOW`` tokens is full. The document that is cut goes on in the next window as its seed, so
-windows have no padding; the rest of a shard is cut into sequences of powers of two.
+Texts are tokenized once into a table of index blocks of about ``BLOCK_TOKENS`` tokens: ids, and the distinct terms of each
+document with their counts. Terms are token ids, so that the document frequencies of the whole corpus are one bounded vector.
+Windows are filled in lanes. In each round the seed of every lane is searched, by all its distinct terms, in the blocks of
+all documents; each block names its best unused ones until the window of ``WINDOW`` tokens is full, and the lists are merged.
+A document that several lanes ask for goes to the one with room left that scores it highest. Lists go on for ``DEPTH``
+windows; a lane that lost so many that it is not full asks again in the next round. The document that is cut goes on in the next window as its seed, so windows have no padding. The last ``SHARD_TOKENS``
+tokens are one lane, filled by one task from all documents left; the rest of a lane is cut into sequences of powers of two.
+
+The driver holds twelve bytes a document: its length, lane and place. Every seed meets every unused document, so that the work
+of the search grows with the square of the corpus.
 
 Tokens of a text are those of its pieces: the vocabulary's rules never join across white space, nor letters and marks, so
 that each worker has the library encode a piece once and looks it up afterwards.
@@ -22,12 +27,19 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read, small_batches
 
-WINDOW, SHARD_TOKENS, END = 4096, 2_000_000, 2
+WINDOW, SHARD_TOKENS, BLOCK_TOKENS, END = 4096, 2_000_000, 8_000_000, 2
+#: Tokens a lane takes on average, lanes at most, and documents the seeds of one round ask for, about.
+LANE_TOKENS, LANES, ASKED = 1 << 16, 4096, 1 << 16
+#: Seeds that are scored at once; terms of more than this share of the documents are scored by a matrix product.
+SEEDS, COMMON = 256, 0.1
+#: Windows of documents that a lane's list goes on for, so that what other lanes take is made up in the same round.
+DEPTH = 4
 #: Slices in which document frequencies are summed.
 SLICES = 16
 #: Distinct pieces a worker remembers.
@@ -137,26 +149,42 @@ def _unique_terms(ids: np.ndarray, ends: np.ndarray, terms: int) -> tuple[np.nda
     return np.unique(doc * terms + ids, return_counts=True)
 
 
-_TOKENS = "doc_id long, ids binary, part int, df binary, docs long, tokens long"
+_BLOCK = "block long, doc_ids array<long>, sizes binary, distinct binary, terms binary, tf binary, ids binary"
+_TOKENS = _BLOCK + ", part int, df binary, docs long, tokens long"
+_TYPES = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+_NAMES = [x.split()[0] for x in _TOKENS.split(", ")]
 
 
-def _tokenize(path: str, narrow: type):
+def _tokenize(path: str, narrow: type, block_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         table = worker_tokens(path)
-        terms, docs, tokens = len(table.word_end), 0, 0
+        terms, docs, tokens, block = len(table.word_end), 0, 0, TaskContext.get().partitionId() << 32
         df = np.zeros(-(-terms // SLICES) * SLICES, np.int64)
+        held: list[tuple] = []
+        rows = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
+
+        def flush() -> pa.RecordBatch:
+            doc_ids, *arrays = zip(*held)
+            held.clear()
+            return rows([block], [list(chain.from_iterable(doc_ids))], *([b"".join(x)] for x in arrays), [None], [None], [None], [None])
+
         for batch in batches:
             ids, ends = table.encode([t or "" for t in batch.column("text").to_pylist()])
-            df += np.bincount(_unique_terms(ids, ends, terms)[0] % terms, minlength=len(df))
-            docs, tokens, flat = docs + len(ends), tokens + len(ids), ids.astype(narrow).tobytes()
-            step = np.dtype(narrow).itemsize
-            column = pa.BinaryArray.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.append(0, ends * step).astype(np.int32)), pa.py_buffer(flat)])
-            none = [pa.nulls(len(ends), t) for t in (pa.int32(), pa.binary(), pa.int64(), pa.int64())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), column, *none], names=["doc_id", "ids", "part", "df", "docs", "tokens"])
-        cells = df.reshape(SLICES, -1)
-        columns = [pa.nulls(SLICES, pa.int64()), pa.nulls(SLICES, pa.binary()), pa.array(range(SLICES), pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())]
-        counts = [pa.array([x if not i else 0 for i in range(SLICES)], pa.int64()) for x in (docs, tokens)]
-        yield pa.RecordBatch.from_arrays([*columns, *counts], names=["doc_id", "ids", "part", "df", "docs", "tokens"])
+            cell, tf = _unique_terms(ids, ends, terms)
+            df += np.bincount(cell % terms, minlength=len(df))
+            docs, tokens = docs + len(ends), tokens + len(ids)
+            sizes, distinct = np.diff(ends, prepend=0), np.bincount(cell // terms, minlength=len(ends))
+            if len(ends):
+                held.append((batch.column("doc_id").to_pylist(), sizes.astype(np.int64).tobytes(), distinct.astype(np.int64).tobytes(), (cell % terms).astype(narrow).tobytes(), tf.astype(np.uint32).tobytes(), ids.astype(narrow).tobytes()))
+            if sum(len(x[-1]) for x in held) >= block_tokens * np.dtype(narrow).itemsize:
+                yield flush()
+                block += 1
+        if held:
+            yield flush()
+        none = [None] * SLICES
+        yield rows(none, *[none] * 6, range(SLICES), [c.tobytes() for c in df.reshape(SLICES, -1)], *([x, *[0] * (SLICES - 1)] for x in (docs, tokens)))
 
     return run
 
@@ -237,16 +265,224 @@ def cut(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.array([window] * (total // window) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1], np.int64)
 
 
-def _pack(idf: np.ndarray, mean: float, window: int, narrow: type, with_ids: bool) -> Callable:
+class Corpus:
+    """What each task knows of the whole corpus: the blocks' first document numbers, term weights, the mean length."""
+
+    def __init__(self, blocks: list[int], first: np.ndarray, idf: np.ndarray, common: np.ndarray, mean: float, narrow: type) -> None:
+        self.first, self.idf, self.mean, self.narrow = dict(zip(blocks, first.tolist())), idf.astype(np.float32), mean, narrow
+        self.column = np.full(len(idf), -1, np.int16)
+        self.column[common] = np.arange(int(common.sum()))
+
+
+class FreeDocuments:
+    """The unused documents of a block: a matrix of their impacts for common terms, postings for all others."""
+
+    def __init__(self, row: dict, free: np.ndarray, corpus: Corpus) -> None:
+        sizes, distinct = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["distinct"], np.int64)
+        keep = np.repeat(free, distinct)
+        doc = np.repeat(np.cumsum(free) - 1, distinct)[keep]
+        term, tf = np.frombuffer(row["terms"], corpus.narrow)[keep].astype(np.int64), np.frombuffer(row["tf"], np.uint32)[keep]
+        self.sizes = sizes[free]
+        impact = (corpus.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.sizes[doc] / corpus.mean))).astype(np.float32)
+        # A multiple of 64 rows; those added score 0.
+        self.n, self.column = -(-len(self.sizes) // 64) * 64, corpus.column
+        self.lengths = np.append(self.sizes + 1, np.ones(self.n - len(self.sizes), np.int64))
+        column = self.column[term]
+        self.common = np.zeros((int(self.column.max(initial=-1)) + 1, self.n), np.float32)
+        dense = column >= 0
+        self.common[column[dense], doc[dense]] = impact[dense]
+        doc, term, impact = doc[~dense], term[~dense], impact[~dense]
+        order = np.argsort(term, kind="stable")
+        self.docs, self.impact = doc[order], impact[order]
+        self.ptr = np.searchsorted(term[order], np.arange(len(self.column) + 1))
+
+    def scores(self, seeds: list[np.ndarray]) -> np.ndarray:
+        asked = np.zeros((len(seeds), len(self.common)), np.float32)
+        for i, terms in enumerate(seeds):
+            column = self.column[terms]
+            asked[i, column[column >= 0]] = 1
+        out = asked @ self.common
+        for line, terms in zip(out, seeds):
+            for t in terms[self.column[terms] < 0]:
+                x, y = self.ptr[t], self.ptr[t + 1]
+                if x < y:
+                    line[self.docs[x:y]] += self.impact[x:y]
+        return out
+
+    def best(self, scores: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(seed, document, score): each seed's best documents until its room is full, or all that share a term with it."""
+        todo, k, found = np.arange(len(scores)), 8, []
+        while len(todo):
+            k = min(k, self.n)
+            top = top_places(scores[todo], k)
+            value = np.take_along_axis(scores[todo], top, 1)
+            order = np.lexsort((top, -value), axis=1)
+            top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
+            ends = np.cumsum(self.lengths[top], 1)
+            done = (ends[:, -1] >= room[todo]) | (value[:, -1] <= 0) | (k == self.n)
+            take = (value > 0) & (ends - self.lengths[top] < room[todo][:, None]) & done[:, None]
+            line, place = np.nonzero(take)
+            found.append((todo[line], top[line, place], value[line, place]))
+            todo, k = todo[~done], k * 4
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def top_places(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k greatest scores of each line. They lie in the k column groups of 64 with the greatest maxima."""
+    lines, n = scores.shape
+    width = n // 64
+    if k >= n:
+        return np.broadcast_to(np.arange(n), (lines, n)).copy()
+    if width <= 2 * k:
+        return np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    groups = scores.reshape(lines, 64, width)
+    chosen = np.argpartition(-groups.max(1), k - 1, axis=1)[:, :k]
+    places = (np.arange(64)[None, :, None] * width + chosen[:, None, :]).reshape(lines, -1)
+    top = np.argpartition(-np.take_along_axis(scores, places, 1), k - 1, axis=1)[:, :k]
+    return np.take_along_axis(places, top, 1)
+
+
+_HIT = np.dtype([("lane", "<i4"), ("doc", "<i4"), ("score", "<f4"), ("length", "<i4")])
+
+
+def _search(shared: Broadcast, used: np.ndarray, flat: np.ndarray, ends: np.ndarray, room: np.ndarray) -> Callable:
+    """Per block, one row for each group of lanes: the best unused documents of the lanes' seeds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus, taken = shared.value, np.unpackbits(used)
+        seeds = np.split(flat.astype(np.int64), ends[:-1])
+        for row in chain.from_iterable(b.to_pylist() for b in batches):
+            first, n = corpus.first[row["block"]], len(row["sizes"]) // 8
+            free = taken[first : first + n] == 0
+            if not free.any():
+                continue
+            documents, number = FreeDocuments(row, free, corpus), np.flatnonzero(free)
+            for at in range(0, len(seeds), SEEDS):
+                here = [i for i in range(at, min(at + SEEDS, len(seeds))) if room[i] > 0]
+                if not here:
+                    continue
+                seed, doc, score = documents.best(documents.scores([seeds[i] for i in here]), room[here])
+                hits = np.zeros(len(seed), _HIT)
+                hits["lane"], hits["doc"], hits["score"], hits["length"] = np.array(here)[seed], number[doc], score, documents.lengths[doc]
+                yield pa.RecordBatch.from_pydict({"lanes": pa.array([at // SEEDS], pa.int32()), "first": pa.array([first], pa.int64()), "hits": pa.array([hits.tobytes()], pa.binary())})
+
+    return run
+
+
+def _merge(room: np.ndarray) -> Callable:
+    """The best documents of each lane over all blocks, until its room is full."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        parts = [np.frombuffer(x, _HIT) for x in table.column("hits").to_pylist()]
+        hits = np.concatenate(parts)
+        doc = np.repeat(table.column("first").to_numpy(), [len(x) for x in parts]) + hits["doc"]
+        order = np.lexsort((doc, -hits["score"], hits["lane"]))
+        hits, doc = hits[order], doc[order]
+        before = np.cumsum(hits["length"], dtype=np.int64) - hits["length"]
+        starts = np.flatnonzero(np.diff(hits["lane"], prepend=-1))
+        before -= np.repeat(before[starts], np.diff(np.append(starts, len(hits))))
+        keep = before < room[hits["lane"]]
+        return pa.table({"lane": hits["lane"][keep], "doc": doc[keep], "score": hits["score"][keep]})
+
+    return run
+
+
+def _distinct_terms(shared: Broadcast, wanted: np.ndarray) -> Callable:
+    """(doc, terms) of the documents with these numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        corpus = shared.value
+        for row in chain.from_iterable(b.to_pylist() for b in batches):
+            distinct, first = np.frombuffer(row["distinct"], np.int64), corpus.first[row["block"]]
+            here = wanted[(wanted >= first) & (wanted < first + len(distinct))]
+            ends, terms = np.cumsum(distinct), np.frombuffer(row["terms"], corpus.narrow)
+            found = [terms[ends[i] - distinct[i] : ends[i]].tobytes() for i in here - first]
+            yield pa.RecordBatch.from_pydict({"doc": pa.array(here, pa.int64()), "terms": pa.array(found, pa.binary())})
+
+    return run
+
+
+def fill_lanes(blocks: DataFrame, corpus: Corpus, lengths: np.ndarray, window: int, left: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Lane and place in it of each document, and the number of lanes. Not more than ``left`` tokens stay without a lane (-1)."""
+    n, total = len(lengths), int(lengths.sum())
+    lane, place = np.full(n, -1, np.int32), np.zeros(n, np.int32)
+    if total <= left:
+        return lane, place, 0
+    count = max(1, min(n, total // LANE_TOKENS, LANES, int(ASKED * total / n) // window))
+    last, sizes, room = np.zeros(count, np.int64), np.zeros(count, np.int32), np.zeros(count, np.int64)
+    shared = blocks.sparkSession.sparkContext.broadcast(corpus)
+    seeds: list[np.ndarray] = [np.zeros(0, corpus.narrow)] * count
+    nxt = 0
+
+    def put(k: int, doc: int) -> None:
+        nonlocal total
+        lane[doc], place[doc], last[k] = k, sizes[k], doc
+        sizes[k] += 1
+        room[k] -= lengths[doc]
+        total -= int(lengths[doc])
+
+    fresh = np.ones(count, bool)
+    for k, doc in enumerate(np.linspace(0, n, count, endpoint=False).astype(np.int64).tolist()):
+        room[k] = window
+        put(k, doc)
+    while total > left:
+        over = room <= 0
+        # The document cut by the window's end, or the last one in it, seeds the next window.
+        room[over] += (-room[over] // window + 1) * window
+        fresh |= over
+        wanted = np.unique(last[fresh])
+        found = blocks.select("block", "distinct", "terms").mapInArrow(_distinct_terms(shared, wanted), "doc long, terms binary").collect()
+        terms = {r["doc"]: np.frombuffer(bytes(r["terms"]), corpus.narrow) for r in found}
+        for k in np.flatnonzero(fresh):
+            seeds[k] = terms[int(last[k])]
+        fresh[:] = False
+        depth = room + (DEPTH - 1) * window
+        search = _search(shared, np.packbits(lane >= 0), np.concatenate(seeds), np.cumsum([len(x) for x in seeds]), depth)
+        hits = blocks.select("block", "sizes", "distinct", "terms", "tf").mapInArrow(search, "lanes int, first long, hits binary")
+        best = hits.groupBy("lanes").applyInArrow(_merge(depth), "lane int, doc long, score float").toArrow()
+        asks, doc, score = (best.column(c).to_numpy() for c in ("lane", "doc", "score"))
+        order = np.lexsort((doc, asks, -score))
+        for k, d in zip(asks[order].tolist(), doc[order].tolist()):
+            if lane[d] < 0 and room[k] > 0:
+                put(k, d)
+        # No unused document shares a term with these seeds.
+        for k in np.setdiff1d(np.arange(count), asks).tolist():
+            while nxt < n and lane[nxt] >= 0:
+                nxt += 1
+            if nxt < n:
+                put(k, nxt)
+    shared.destroy()
+    return lane, place, count
+
+
+def _in_lanes(corpus: Corpus, lane: np.ndarray, place: np.ndarray, rest: int) -> Callable:
+    """The documents one by one with their lanes; those without one are in lane ``rest``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in chain.from_iterable(b.to_pylist() for b in batches):
+            first, sizes = corpus.first[row["block"]], np.frombuffer(row["sizes"], np.int64)
+            step, all_ids = np.dtype(corpus.narrow).itemsize, pa.py_buffer(row["ids"])
+            ends = np.append(0, np.cumsum(sizes) * step)
+            here = lane[first : first + len(sizes)]
+            for at in range(0, len(sizes), 1000):
+                to = min(at + 1000, len(sizes))
+                ids = [all_ids[a:b] for a, b in zip(ends[at:to].tolist(), ends[at + 1 : to + 1].tolist())]
+                columns = [pa.array(row["doc_ids"][at:to], pa.int64()), pa.array([x.to_pybytes() for x in ids], pa.binary()), pa.array(np.where(here[at:to] < 0, rest, here[at:to]), pa.int64()), pa.array(place[first + at : first + to], pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "lane", "place"])
+
+    return run
+
+
+def _pack(idf: np.ndarray, mean: float, window: int, narrow: type, with_ids: bool, rest: int) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending")])
+        lane = key[0].as_py()
+        table = table.sort_by([("place", "ascending"), ("doc_id", "ascending")])
         parts = table.column("ids").to_pylist()
         ids = np.frombuffer(b"".join(parts), narrow).astype(np.int64)
         ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // np.dtype(narrow).itemsize
-        index = ShardIndex(ids, ends, idf, mean)
         sizes = np.diff(ends, prepend=0)
         lengths = sizes + 1
-        order = np.array(reading_order(index, lengths, window), np.int64)
+        order = np.array(reading_order(ShardIndex(ids, ends, idf, mean), lengths, window), np.int64) if lane == rest else np.arange(len(ends))
         doc_end = np.cumsum(lengths[order])
         sequences = np.cumsum(cut(lengths, window))
         bounds = np.unique(np.concatenate((doc_end, sequences)))
@@ -260,10 +496,9 @@ def _pack(idf: np.ndarray, mean: float, window: int, narrow: type, with_ids: boo
         whole = np.insert(ids.astype("<u4"), ends, END)
         base = (ends - sizes + np.arange(len(ends)))[doc] + start
         crc = [zlib.crc32(whole[a : a + n]) for a, n in zip(base.tolist(), length.tolist())]
-        shard = key[0].as_py()
         columns = {
             "doc_id": table.column("doc_id").take(pa.array(doc)), "start": start, "length": length, "ids_crc32": np.array(crc, np.int64),
-            "doc_tokens": lengths[doc], "sequence_id": seq + (shard << 32), "offset": offset,
+            "doc_tokens": lengths[doc], "sequence_id": seq + (lane << 32), "offset": offset,
         }
         if with_ids:
             columns["ids"] = pa.array([whole[a : a + n].tobytes() for a, n in zip(base.tolist(), length.tolist())], pa.binary())
@@ -277,13 +512,19 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
     path = path or vocabulary_path()
     terms = len(worker_tokens(path).word_end)
     narrow = np.uint16 if terms <= 1 << 16 else np.uint32
-    tokens = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path, narrow), _TOKENS), "tokens")
+    tokens = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path, narrow, BLOCK_TOKENS), _TOKENS), "tokens")
     df, n, total = statistics(tokens, terms)
     idf = np.log1p((n - df + 0.5) / (df + 0.5)) if n else np.zeros(terms)
-    shards = max(1, -(-total // SHARD_TOKENS))
-    dealt = tokens.where("part IS NULL").select("doc_id", "ids", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).cast("long").alias("shard"))
+    blocks, mean = tokens.where("part IS NULL"), max(1.0, total / max(1, n))
+    sizes = sorted((r["block"], bytes(r["sizes"])) for r in blocks.select("block", "sizes").toLocalIterator())
+    first = np.cumsum([0, *(len(x) // 8 for _, x in sizes)])[:-1]
+    corpus = Corpus([k for k, _ in sizes], first, idf, df > COMMON * n, mean, narrow)
+    lengths = np.concatenate([np.zeros(0, np.int32), *((np.frombuffer(x, np.int64) + 1).astype(np.int32) for _, x in sizes)])
+    del sizes
+    lane, place, rest = fill_lanes(blocks, corpus, lengths, window, SHARD_TOKENS)
+    dealt = blocks.select("block", "doc_ids", "sizes", "ids").mapInArrow(_in_lanes(corpus, lane, place, rest), "doc_id long, ids binary, lane long, place int")
     schema = _PIECE + (", ids binary" if with_ids else "")
-    return dealt.groupBy("shard").applyInArrow(_pack(idf, max(1.0, total / max(1, n)), window, narrow, with_ids), schema)
+    return dealt.groupBy("lane").applyInArrow(_pack(idf, mean, window, narrow, with_ids, rest), schema)
 
 
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

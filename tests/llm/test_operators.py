@@ -274,6 +274,46 @@ def test_packing_scores_all_terms_of_a_seed():
     assert packing.reading_order(index, np.array([41, 2, 2]), 4) == [0, 2, 1]
 
 
+def test_packing_block_lists_match_all_scores():
+    rnd = np.random.default_rng(3)
+    sizes = rnd.integers(0, 60, 700)
+    ids, ends, v = (rnd.zipf(1.3, sizes.sum()) % 500).astype(np.int64), np.cumsum(sizes), 500
+    cell, tf = packing._unique_terms(ids, ends, v)
+    distinct, df = np.bincount(cell // v, minlength=len(ends)), np.bincount(cell % v, minlength=v)
+    idf, free, mean = np.log1p((700 - df + 0.5) / (df + 0.5)), rnd.random(700) < 0.8, float(sizes.mean())
+    row = {"sizes": sizes.astype(np.int64).tobytes(), "distinct": distinct.astype(np.int64).tobytes(), "terms": (cell % v).astype(np.uint16).tobytes(), "tf": tf.astype(np.uint32).tobytes()}
+    documents = packing.FreeDocuments(row, free, packing.Corpus([0], np.array([0]), idf, df > 70, mean, np.uint16))
+    index, number = packing.ShardIndex(ids, ends, idf, mean), np.flatnonzero(free)
+    seeds, room = rnd.integers(0, 700, 30), rnd.integers(1, 2000, 30)
+    seed, doc, _ = documents.best(documents.scores([index.doc_term[index.doc_ptr[s] : index.doc_ptr[s + 1]] for s in seeds]), room)
+    for i, s in enumerate(seeds):
+        want = index.scores(s)[free]
+        order = np.lexsort((np.arange(len(want)), -want))
+        before = np.cumsum(sizes[number[order]] + 1) - sizes[number[order]] - 1
+        order = order[(before < room[i]) & (want[order] > 0)]
+        assert np.allclose(want[doc[seed == i]], want[order], rtol=1e-4)
+
+
+def test_packing_finds_neighbours_in_all_documents(spark, monkeypatch):
+    for name, value in (("SHARD_TOKENS", 400), ("LANE_TOKENS", 400), ("BLOCK_TOKENS", 300)):
+        monkeypatch.setattr(packing, name, value, raising=False)
+    rnd = random.Random(5)
+    bodies = [" ".join("".join(rnd.choice("bcdfgklmnprstvz") + rnd.choice("aeiou") for _ in range(4)) for _ in range(8)) for _ in range(80)]
+    rows = [(i, bodies[i % 80] + f" the of {i % 7}") for i in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = packing.pack(docs, window=64).collect()
+    assert sum(r["length"] for r in out) == sum(r["doc_tokens"] for r in out if not r["start"])
+    lanes = defaultdict(list)
+    for r in sorted(out, key=lambda r: (r["sequence_id"], r["offset"])):
+        if not r["start"]:
+            lanes[r["sequence_id"] >> 32].append(r["doc_id"])
+    assert len(lanes) > 10 and sorted(sum(lanes.values(), [])) == list(range(160))
+    rest = max(lanes)
+    seeds = {x[0] for k, x in lanes.items() if k != rest}
+    alone = [k for k, x in lanes.items() if k != rest and (x[0] + 80) % 160 not in seeds]
+    assert len(alone) > 5 and all(lanes[k][1] == (lanes[k][0] + 80) % 160 for k in alone)
+
+
 def test_sharding(docs, empty):
     rows = docs.select("doc_id", (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long").alias("size"))
     out = sharding.byte_shards(rows, ["doc_id", "size"], "size").collect()
