@@ -9,7 +9,7 @@ The template is ``<turn>### role: text</turn>`` and a line feed per turn. Inside
 ``\\b``, ``<`` becomes ``\\l``, ``#`` becomes ``\\h`` and, in roles, ``:`` becomes ``\\c``; undoing these in reverse order
 restores the text, since every backslash left is the first character of one code.
 
-Defined results: a null text or role counts as empty; a null score as 0; a parent that does not exist makes its child a root; messages in or
+Defined results: all messages of a null tree (``conv_id``) are one tree, as in GROUP BY; a null text or role counts as empty; a null score as 0; a parent that does not exist makes its child a root; messages in or
 below a cycle are on no path; ties of score go to the smaller leaf; repeated rows of one turn follow each other by role and text;
 an empty table gives no rows. Texts of a conversation meet in one row, as its output is one string.
 """
@@ -40,7 +40,8 @@ def unescape(x: Column) -> Column:
 
 def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """(tree, leaf, node, depth) of the ``keep`` best root-to-leaf paths of each tree of (tree, node, parent, score)."""
-    m = materialize(messages.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
+    # A struct is never null, whatever it holds, so that joins meet a null tree too.
+    m = materialize(messages.select(F.struct("tree").alias("tree"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
     step = m.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
     most, rounds = m.count(), []
     while True:
@@ -64,14 +65,15 @@ def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
         up = path.join(jump.where("up IS NOT NULL").select("tree", "node", "up"), ["tree", "node"])
         # Written each time: the plan would double with every level.
         path = materialize(path.unionByName(up.select("tree", "leaf", F.col("up").alias("node"))), "paths")
-    return path.join(rooted.select("tree", "node", "depth"), ["tree", "node"])
+    return path.join(rooted.select("tree", "node", "depth"), ["tree", "node"]).select(F.col("tree.tree").alias("tree"), "node", "leaf", "depth")
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     """(tree, leaf, formatted, loss): the conversation of each path and the spans (code points) that bear loss."""
     text, role = escape(F.coalesce("text", F.lit(""))), escape(F.coalesce("role", F.lit("")), role=True)
     turn = F.struct("depth", F.concat(F.lit(OPEN), role, F.lit(MIDDLE)).alias("head"), text.alias("body"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("bears"))
-    joined = paths.join(messages.select("tree", "node", "role", "text"), ["tree", "node"])
+    tree = F.struct("tree").alias("tree")
+    joined = paths.withColumn("tree", tree).join(messages.select(tree, "node", "role", "text"), ["tree", "node"])
     gathered = joined.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     spans = F.aggregate(
         "turns",
@@ -89,7 +91,7 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
         lambda acc: acc["spans"],
     )
     formatted = F.array_join(F.transform("turns", lambda t: F.concat(t["head"], t["body"], F.lit(CLOSE))), "")
-    return gathered.select("tree", "leaf", formatted.alias("formatted"), spans.alias("loss"))
+    return gathered.select(F.col("tree.tree").alias("tree"), "leaf", formatted.alias("formatted"), spans.alias("loss"))
 
 
 def read_turns(formatted: Column) -> Column:

@@ -337,6 +337,14 @@ def test_chat_round_trip(spark):
     assert chat.best_paths(chat.threads(table.where("false"))).count() == 0
 
 
+def test_chat_keeps_a_null_conversation(spark):
+    rows = [(None, 0, "user", "a"), (None, 1, "assistant", "b"), (None, 2, "user", "c"), (0, 0, "user", "d")]
+    messages = chat.threads(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    chats = chat.format_paths(chat.best_paths(messages), messages)
+    got = {r["tree"]: [tuple(t) for t in r["turns"]] for r in chats.select("tree", chat.read_turns(F.col("formatted")).alias("turns")).collect()}
+    assert got == {None: [("user", "a"), ("assistant", "b"), ("user", "c")], 0: [("user", "d")]}
+
+
 def test_reply_trees(spark):
     edges = [(0, None, 1.0), (1, 0, 0.2), (2, 0, 0.9), (3, 1, 5.0), (4, 2, 0.1), (5, 4, None), (6, 99, 3.0), (7, 8, 1.0), (8, 7, 1.0)]
     m = spark.createDataFrame([(1, n, p, s) for n, p, s in edges], "tree long, node long, parent long, score double")
