@@ -33,12 +33,17 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+#: A private key from its BEGIN line to the matching END line; without one, to the end of the header fields and base64 lines.
+PEM = (
+    r"-----BEGIN ([A-Z ]*)PRIVATE KEY-----(?:(?:[^-]++|-(?!----))*+-----END \1PRIVATE KEY-----"
+    r"|(?:\s*+[A-Za-z-]++: [^\r\n]*+)*+(?:\s*+[A-Za-z0-9+/]{32,}+={0,2})*+(?:[^\S\n]*+\n[A-Za-z0-9+/]++={0,2}(?![^\r\n]))?)"
+)
 #: In the order by which spans of equal start are sorted; the first three are the base kinds.
 RULES = (
     Rule("assign", 1, r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}"),
     Rule("hex", 1, r"(?<![0-9a-f])[0-9a-f]{24,}"),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", 2, PEM),
 )
 BASE = 3
 SPANS = "array<struct<start:int,rank:int,end:int,kind:string,version:int>>"

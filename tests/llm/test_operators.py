@@ -222,6 +222,19 @@ def test_mixing_lands_near_targets(spark):
     assert all(abs(r["t"] - r["g"]) <= 0.002 * r["g"] for r in out.collect())
 
 
+def test_private_keys_are_masked_whole(spark):
+    body = "\n".join("MIIEvQ+/bA9" * 5 + "xYzw" for _ in range(4)) + "\nQk9+"
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {
+        f"a\n{begin}\n{body}\n{end}\nb": "a\n[SECRET]\nb", f"a {begin}\nDEK-Info: AES-128-CBC,00\n\n{body}==\nsome words": "a [SECRET]\nsome words",
+        f"{begin}\n{body}\n{end}\n{begin}\n{body}\n{end}": "[SECRET]\n[SECRET]", f"{begin} is a line": "[SECRET] is a line", begin + "- " * 20000: None,
+    }
+    docs = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in secret_scan.stage_redact(spark, docs, "").collect()}
+    for i, want in enumerate(texts.values()):
+        assert want is None or got[i] == want
+
+
 def test_packing(spark, docs, empty):
     from tokenizers import Tokenizer
 
