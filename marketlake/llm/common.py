@@ -4,22 +4,29 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Distinct words a Python worker remembers before it starts over.
-WORD_CACHE = 400_000
+WORD_CACHE = 200_000
+#: Bytes of text that one step of a Python worker takes at most, a single longer text apart.
+STEP_BYTES = 4 << 20
 _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in local mode and an error on a cluster."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _own_dir[0]
@@ -48,8 +55,34 @@ def drop_table(df: DataFrame) -> None:
 
 
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds the rows that one Arrow batch carries to a Python worker, since texts can be long."""
+    """Bounds the rows and bytes that one Arrow batch carries to a Python worker, since texts can be long.
+
+    The setting stays with the session, as plans returned to the caller run later.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", STEP_BYTES)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what runs inside."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices of at most ``STEP_BYTES`` of text."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        step = (np.cumsum(size) - size) // STEP_BYTES
+        starts = np.flatnonzero(np.diff(step, prepend=-1))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(size)]):
+            yield batch.slice(a, b - a)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

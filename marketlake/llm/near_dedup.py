@@ -4,11 +4,17 @@ A document's set holds its distinct word shingles (A-Z lower-cased). One hash pe
 bands x rows bins; a bin's least hash is its sample and an empty bin copies the sample of the bin that a shared probe
 sequence finds first. Documents of equal sets are one node. In each band's bucket the least node is the centre of a
 star: one candidate edge per member, so that pairs grow with members, not with their square. Edges are confirmed on
-full sets, after a look at how many bins agree. A bucket whose members are then still in several components goes through further rounds: the nodes
-after the ones compared become centres (4, 32, 256 ... at a time), until the bucket is of one component or every
-member was a centre. No bucket is capped.
+full sets, and the links give labels (components).
 
-At a similarity of 0.8, 42 bands of 6 rows miss a pair with probability 3e-6.
+A bucket whose members then still have several labels is mixed: a member may be linked to another one and not to the
+centre. Its members outside the bucket's largest component are compared with all of it, in blocks of ``BLOCK`` members
+that carry samples (and the sets of up to ``SMALL`` shingles). A block pair gives only the pairs that pass, each in the
+first band that it shares. No pair is a row, no bucket is capped and no further rounds follow. This work is members times those
+outside the largest component: a family whose members are just below the limit to each other costs its square in comparisons.
+
+At a similarity of 0.8, 42 bands of 6 rows miss a pair with probability 3e-6. A comparison of samples comes first where it can
+tell: pairs whose samples agree less than ``DEVIATIONS`` standard deviations below the limit are not read in full, the deviation
+being that of the bins that sets of this size fill. Sets below ``SIEVED`` shingles are always compared in full.
 
 Defined results: a null or empty text has an empty set (0 shingles) and stays alone; a null doc_id counts as the largest;
 rows that repeat a doc_id are all kept or all not; extra columns are left out of the result.
@@ -24,13 +30,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, materialize, mix, read, small_batches, text_bytes
+from .common import WordHashes, batches_of, drop_table, materialize, mix, read, small_batches, steps, text_bytes
 
 BANDS, ROWS, PROBES = 42, 6, 2000
 NO_ID = (1 << 63) - 1
-#: Pairs whose samples agree in fewer bins than this share are not read in full: at a similarity of 0.8 that has probability 1e-6.
-LEAST_AGREEING = 0.68
-_SIGNATURE = "_id long, _th long, n int, digest binary, keys array<long>, sample binary"
+BLOCK, SMALL = 256, 256
+SIEVED, DEVIATIONS = 40, 5.5
+_SIGNATURE = "_id long, _th long, n int, digest binary, keys array<long>, sample binary, folded binary, small binary"
 
 
 def shingle_sets(texts: list[bytes], k: int, cache: WordHashes) -> list[np.ndarray]:
@@ -87,7 +93,7 @@ def _signatures(k: int, bands: int, rows: int):
         cache, bins = WordHashes(), bands * rows
         with np.errstate(over="ignore"):
             probes = (mix(np.arange(PROBES * bins, dtype=np.uint64) + np.uint64(1 << 40)) % np.uint64(bins)).astype(np.int64).reshape(PROBES, bins)
-            for batch in batches:
+            for batch in steps(batches):
                 sets = shingle_sets(text_bytes(batch.column("text")), k, cache)
                 values = one_permutation(sets, bins, probes)
                 low = (values & np.uint64(255)).astype(np.uint8)
@@ -100,17 +106,78 @@ def _signatures(k: int, bands: int, rows: int):
                 some = sizes > 0
                 offsets = np.append(0, np.cumsum(some * bands)).astype(np.int32)
                 keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[some].ravel().view(np.int64)))
-                columns = [batch.column("_id"), batch.column("_th"), pa.array(sizes), pa.array(digests, pa.binary()), keys, pa.array([r.tobytes() for r in low], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_th", "n", "digest", "keys", "sample"])
+                folded = [r.tobytes() for r in key.astype(np.uint32)]
+                small = [s.astype(np.uint32).tobytes() if len(s) <= SMALL else b"" for s in sets]
+                columns = [batch.column("_id"), batch.column("_th"), pa.array(sizes), pa.array(digests, pa.binary()), keys, *(pa.array(x, pa.binary()) for x in ([r.tobytes() for r in low], folded, small))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_th", "n", "digest", "keys", "sample", "folded", "small"])
 
     return run
 
 
-def _agreeing(bins: int):
+def least_agreeing(n: np.ndarray, bins: int, percent: int) -> np.ndarray:
+    """Bins that must agree for a pair whose smaller set has n shingles to be read in full; 0 where samples cannot tell."""
+    filled, share = bins * -np.expm1(-n / bins), percent / 100
+    least = bins * (share - DEVIATIONS * np.sqrt(share * (1 - share) / np.maximum(filled, 1)))
+    return np.where(n < SIEVED, 0, np.maximum(least, 0))
+
+
+def _agreeing(bins: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, bins) for c in ("a_sample", "b_sample"))
-            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= LEAST_AGREEING * bins))
+            n = np.minimum(batch.column("a_n").to_numpy(), batch.column("b_n").to_numpy())
+            yield batch.select(["a", "b"]).filter(pa.array((a == b).sum(axis=1) >= least_agreeing(n, bins, percent)))
+
+    return run
+
+
+class Block:
+    """Members of a bucket as arrays."""
+
+    def __init__(self, members: pa.StructArray, bins: int) -> None:
+        self.node, self.label, self.n = (members.field(c).to_numpy() for c in ("node", "label", "n"))
+        raw = lambda c, t: np.frombuffer(b"".join(members.field(c).to_pylist()), t)
+        self.sample, self.folded = raw("sample", np.uint8).reshape(-1, bins), raw("folded", np.uint32).reshape(len(self.n), -1)
+        self.small = raw("small", np.uint32)
+        self.end = np.cumsum(np.where(self.n <= SMALL, self.n, 0))
+
+    def small_set(self, i: int) -> np.ndarray:
+        return self.small[self.end[i] - self.n[i] : self.end[i]]
+
+    def shared(self, s: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """At least the number of shingles that the small sets at ``places`` share with ``s`` (32 bits of each are compared)."""
+        n = self.n[places]
+        ends = np.cumsum(n)
+        flat = self.small[np.repeat(self.end[places] - ends, n) + np.arange(ends[-1])]
+        s = np.sort(s)
+        hit = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+        return np.add.reduceat(hit, ends - n, dtype=np.int64)
+
+
+def _across(bins: int, percent: int):
+    """Per pair of blocks, the pairs of unlike labels that may be similar and share no earlier band."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[np.ndarray, np.ndarray]] = []
+            sides = [batch.column(c) for c in ("some", "all")]
+            for row, band in enumerate(batch.column("band").to_pylist()):
+                some, every = (Block(x.values.slice(x.offsets[row].as_py(), len(x[row])), bins) for x in sides)
+                for i in range(len(some.n)):
+                    less, more = np.minimum(some.n[i], every.n), np.maximum(some.n[i], every.n)
+                    j = np.flatnonzero((every.label != some.label[i]) & (100 * less >= percent * more))
+                    j = j[(every.sample[j] == some.sample[i]).sum(axis=1) >= least_agreeing(less[j], bins, percent)]
+                    if len(j):
+                        j = j[(every.folded[j] == some.folded[i]).argmax(axis=1) == band]
+                    both_small = (every.n[j] <= SMALL) & (some.n[i] <= SMALL)
+                    if both_small.any():
+                        at = j[both_small]
+                        shared = every.shared(some.small_set(i), at)
+                        j = np.append(j[~both_small], at[100 * shared >= percent * (some.n[i] + every.n[at] - shared)])
+                    if len(j):
+                        found.append((np.minimum(some.node[i], every.node[j]), np.maximum(some.node[i], every.node[j])))
+            a, b = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return run
 
@@ -118,7 +185,7 @@ def _agreeing(bins: int):
 def _confirm(k: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
-        for batch in batches:
+        for batch in steps(batches, "b_text"):
             b = shingle_sets(text_bytes(batch.column("b_text")), k, cache)
             names = batch.column("a").to_numpy()
             head = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
@@ -157,65 +224,67 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.join(moved, nodes.label == moved._was, "left").select("node", F.coalesce("_now", "label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of each row."""
-    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_th"), "text")
+def _components(docs: DataFrame, shingle: int, percent: int, bands: int, rows: int) -> DataFrame:
+    """_id, _th, n of each row of (_id, _th, text), and the least (_id, _th) of its component as ``first``."""
+    bins, spark = bands * rows, docs.sparkSession
     signed = materialize(docs.mapInArrow(_signatures(shingle, bands, rows), _SIGNATURE), "signatures")
-    sets = signed.where("n > 0").groupBy("digest").agg(
-        F.min(F.struct("_id", "_th")).alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sample").alias("sample")
-    )
-    nodes = materialize(sets.select("digest", "rep.*", "n", "keys", "sample", F.monotonically_increasing_id().alias("node")), "nodes")
-    members = nodes.select("node", "n", F.explode("keys").alias("key"))
-    buckets = members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("m")).where("m > 1")
-    member = materialize(members.join(materialize(buckets, "buckets"), "key"), "members")
+    sets = signed.where("n > 0").groupBy("digest").agg(F.min(F.struct("_id", "_th")).alias("rep"), *(F.first(c).alias(c) for c in ("n", "keys", "sample", "folded", "small")))
+    nodes = materialize(sets.select("digest", "rep.*", "n", "keys", "sample", "folded", "small", F.monotonically_increasing_id().alias("node")), "nodes")
+    members = nodes.select("node", "n", F.posexplode("keys").alias("band", "key"))
+    buckets = materialize(members.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("m")).where("m > 1"), "buckets")
+    member = materialize(members.join(buckets, "key"), "members")
     stars = member.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), F.col("n").alias("b_n")).distinct()
-    stars = stars.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a").where(_compatible(percent)).select("a", "b")
-    links = materialize(_confirmed(docs, nodes, _alike(nodes, stars, bands * rows), shingle, percent), "confirmed")
+    stars = stars.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n")), "a").where(_compatible(percent))
+    links = materialize(_confirmed(docs, nodes, _alike(nodes, stars, bins, percent), shingle, percent), "confirmed")
     labels = connected(links)
-    waiting = member.where("m > 2 and node != centre").select("key", "node", "n")
-    centres = 4
-    while True:
-        rest = waiting.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = rest.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("key")
-        rest = rest.join(mixed, "key")
-        rest = materialize(rest.withColumn("place", F.row_number().over(_by_key())), "rest")
-        if not rest.limit(1).count():
-            break
-        front = rest.where(F.col("place") <= centres).select("key", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("label").alias("a_label"), F.col("place").alias("a_place"))
-        back = rest.select("key", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("label").alias("b_label"), "place")
-        pairs = front.join(back, "key").where("place > a_place and a_label != b_label").where(_compatible(percent)).select("a", "b").distinct()
-        alike = _alike(nodes, pairs, bands * rows)
-        if alike.limit(1).count():
-            more = materialize(_confirmed(docs, nodes, alike, shingle, percent), "confirmed")
-            if more.limit(1).count():
-                labels = materialize(_merged(labels, more), "labels")
-        waiting = rest.where(F.col("place") > centres).select("key", "node", "n")
-        centres *= 8
-    least = nodes.join(labels, "node").groupBy("label").agg(F.min("_id").alias("component"))
-    named = nodes.join(labels, "node").join(least, "label").select("digest", "component")
-    out = signed.select("_id", "n", "digest").join(nodes.select("digest", F.col("_id").alias("first")), "digest", "left").join(named, "digest", "left")
-    component = F.when(F.col("n") == 0, F.col("_id")).otherwise(F.coalesce("component", "first"))
-    real = lambda c: F.when(c != NO_ID, c)
+    named = member.where("m > 2").join(labels, "node", "left").select("key", "band", "node", "n", F.coalesce("label", "node").alias("label"))
+    named = materialize(named, "named")
+    sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m")).where("m > top.c")
+    blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+    mixed = materialize(mixed.select("key", F.col("top.label").alias("largest"), blocks(F.col("m")).alias("every"), blocks(F.col("m") - F.col("top.c")).alias("others")), "mixed")
+    if mixed.limit(1).count():
+        rest = materialize(named.join(mixed, "key").join(nodes.select("node", "sample", "folded", "small"), "node"), "rest")
+        holds = F.collect_list(F.struct("node", "label", "n", "sample", "folded", "small"))
+        dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int").alias("block")
+        every = materialize(rest.groupBy("key", dealt("every")).agg(holds.alias("all")).drop("block"), "every")
+        some = rest.where("label != largest").groupBy("key", dealt("others")).agg(F.first("band").alias("band"), holds.alias("some")).drop("block")
+        some = materialize(some, "some")
+        with batches_of(spark, 8):
+            pairs = materialize(some.join(every, "key").select("band", "some", "all").mapInArrow(_across(bins, percent), "a long, b long"), "across")
+        for table in (rest, every, some):
+            drop_table(table)
+        more = materialize(_confirmed(docs, nodes, pairs.distinct(), shingle, percent), "confirmed")
+        if more.limit(1).count():
+            labels = materialize(_merged(labels, more), "labels")
+    for table in (buckets, member, named):
+        drop_table(table)
+    reached = nodes.join(labels, "node", "left").select("digest", "_id", "_th", F.coalesce("label", "node").alias("label"))
+    reached = materialize(reached, "reached")
+    least = reached.groupBy("label").agg(F.min(F.struct("_id", "_th")).alias("first"))
+    named = reached.join(least, "label").select("digest", "first")
+    return signed.select("_id", "_th", "n", "digest").join(named, "digest", "left").select("_id", "_th", "n", F.when(F.col("n") > 0, F.col("first")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of each row."""
+    docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_th"), "text")
+    out = _components(docs, shingle, percent, bands, rows)
+    component, real = F.coalesce("first._id", "_id"), lambda c: F.when(c != NO_ID, c)
     return out.select(
         real(F.col("_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), real(component).alias("component_id"), (F.col("_id") == component).alias("kept")
     )
 
 
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("key").orderBy("node")
-
-
 def _compatible(percent: int):
     return 100 * F.least("a_n", "b_n") >= percent * F.greatest("a_n", "b_n")
 
 
-def _alike(nodes: DataFrame, edges: DataFrame, bins: int) -> DataFrame:
-    """The edges whose samples agree in enough bins."""
+def _alike(nodes: DataFrame, edges: DataFrame, bins: int, percent: int) -> DataFrame:
+    """The edges (a, b, a_n, b_n) whose samples agree in enough bins."""
     sample = lambda side: nodes.select(F.col("node").alias(side), F.col("sample").alias(f"{side}_sample"))
-    paired = edges.join(sample("a"), "a").join(sample("b"), "b").select("a", "b", "a_sample", "b_sample")
-    return materialize(paired.mapInArrow(_agreeing(bins), "a long, b long"), "alike")
+    paired = edges.join(sample("a"), "a").join(sample("b"), "b").select("a", "b", "a_n", "b_n", "a_sample", "b_sample")
+    return materialize(paired.mapInArrow(_agreeing(bins, percent), "a long, b long"), "alike")
 
 
 def _confirmed(docs: DataFrame, nodes: DataFrame, edges: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -234,7 +303,17 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component of five-word shingle sets at least 0.8 similar, the least doc_id stays."""
+    """Pipeline stage: of each component of five-word shingle sets at least 0.8 similar, one row stays, that of the least doc_id.
+
+    Defined results: all rows of null or empty texts stay; a null doc_id counts as the largest, so that a copy without id
+    goes and one of several copies without ids stays; of rows equal in doc_id and text one stays; two rows that share a
+    doc_id but not their text are judged each; extra columns stay, whatever their names; an empty table gives no rows.
+    """
     small_batches(spark, 1000)
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id"), F.xxhash64("text").alias("_th"), F.col("text").alias("text"), F.struct("*").alias("row"))
+    found = _components(keyed.select("_id", "_th", "text"), 5, 80, BANDS, ROWS)
+    stays = materialize(found.where("n = 0 OR first = struct(_id, _th)").select("_id", "_th", "n").distinct(), "stays")
+    # Only rows of empty texts may repeat.
+    alone = F.when(F.col("n") == 0, F.monotonically_increasing_id())
+    left = keyed.drop("text").join(stays, ["_id", "_th"]).withColumn("alone", alone).dropDuplicates(["_id", "_th", "alone"])
+    return left.select("row.*")
