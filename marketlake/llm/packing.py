@@ -1,21 +1,24 @@
-"""Operator 7, lexical retrieval packing: a BM25 index of the whole corpus names the neighbours that fill a seed's window.
-
-Texts are tokenized once into a table of index blocks of about ``BLOCK_TOKENS`` tokens: ids, and the distinct terms of each
-document with their counts. Terms are token ids, so that the document frequencies of the whole corpus are one bounded vector.
-Windows are filled in lanes. In each round the seed of every lane is searched, by all its distinct terms, in the blocks of
-all documents; each block names its best unused ones until the window of ``WINDOW`` tokens is full, and the lists are merged.
-A document that several lanes ask for goes to the one with room left that scores it highest. Lists go on for ``DEPTH``
-windows; a lane that lost so many that it is not full asks again in the next round. The document that is cut goes on in the next window as its seed, so windows have no padding. The last ``SHARD_TOKENS``
-tokens are one lane, filled by one task from all documents left; the rest of a lane is cut into sequences of powers of two.
-
-The driver holds twelve bytes a document: its length, lane and place. Every seed meets every unused document, so that the work
-of the search grows with the square of the corpus.
+"""Operator 7, lexical retrieval packing: a sharded BM25 index names the unused neighbours that fill a seed's window.
+
+1. Texts are tokenized once. Terms are the lower-cased words, read back from their token ids. Document frequencies are
+   counted over the whole corpus in ``CELLS`` hashed cells (one bounded vector, an upper bound of each word's frequency).
+2. Documents are dealt to index shards by what they say: a document's keys are the words that win weighted races (the
+   least of an exponential draw a word, divided by the square of its weight), so that two documents have equal first keys
+   with a probability equal to the similarity of their weighted word sets. Spark sorts all documents by these keys by ranges
+   and each range is read in shards of about ``SHARD_TOKENS`` tokens. Documents that say the same lie together at every size.
+3. In a shard, a seed is scored by all its distinct words against all unused documents of the shard; the best fill its window
+   of ``WINDOW`` tokens. The document that is cut goes on in the next window as its seed, so windows have no padding; the rest
+   of a shard is cut into sequences of powers of two.
+
+Every document is indexed and every seed searched by all its words, in its own shard. Work and shuffle grow with the tokens; nothing
+about single documents reaches the driver. A neighbour in another shard is not found: README gives the measured share of
+exhaustive search's neighbours that lie in the seed's shard.
 
 Tokens of a text are those of its pieces: the vocabulary's rules never join across white space, nor letters and marks, so
 that each worker has the library encode a piece once and looks it up afterwards.
 
 Defined results: a null or empty text is its end id alone; repeated rows are packed each; an empty table gives no rows; a seed without
-scored neighbours takes the next unused document.
+scored neighbours takes the next unused document of its shard; ties of score go to the one dealt first; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -27,23 +30,18 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read, small_batches
-
-WINDOW, SHARD_TOKENS, BLOCK_TOKENS, END = 4096, 2_000_000, 8_000_000, 2
-#: Tokens a lane takes on average, lanes at most, and documents the seeds of one round ask for, about.
-LANE_TOKENS, LANES, ASKED = 1 << 16, 4096, 1 << 16
-#: Seeds that are scored at once; terms of more than this share of the documents are scored by a matrix product.
-SEEDS, COMMON = 256, 0.1
-#: Windows of documents that a lane's list goes on for, so that what other lanes take is made up in the same round.
-DEPTH = 4
-#: Slices in which document frequencies are summed.
-SLICES = 16
+from .common import materialize, mix, read, small_batches, steps
+
+WINDOW, SHARD_TOKENS, END = 4096, 2_000_000, 2
+#: Cells of document frequencies, the slices in which they are summed, and bits of a word's hash that tell terms apart.
+CELLS, SLICES, TERM_BITS = 1 << 20, 16, 40
+#: Keys by which documents are dealt, and the power of a word's weight in their races.
+KEYS, POWER = 3, 2
 #: Distinct pieces a worker remembers.
-PIECE_CACHE = 700_000
+PIECE_CACHE = 250_000
 _SPACE, _LETTER, _MARK = r" \t-\r", "A-Za-z0-9À-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 OTHER = re.compile(f"[^{_SPACE}{_LETTER}{_MARK}]")
 PLAIN = re.compile(f"[{_LETTER}]+|[{_MARK}]+")
@@ -143,118 +141,191 @@ def worker_tokens(path: str) -> PieceTokens:
     return held[path]
 
 
-def _unique_terms(ids: np.ndarray, ends: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (document, term) cells and how often each occurs."""
-    doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-    return np.unique(doc * terms + ids, return_counts=True)
+def words_of(ids: np.ndarray, ends: np.ndarray, word_end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hash (``TERM_BITS`` bits) and the document of each word: token ids up to one that ends a word, or the text."""
+    if not len(ids):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    last = word_end[ids].copy()
+    last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
+    stop = np.flatnonzero(last) + 1
+    start = np.append(0, stop[:-1])
+    place = np.arange(len(ids)) - np.repeat(start, stop - start)
+    with np.errstate(over="ignore"):
+        power = np.multiply.accumulate(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        term = mix(np.add.reduceat((ids.astype(np.uint64) + np.uint64(1)) * power[place], start))
+    return term & np.uint64((1 << TERM_BITS) - 1), np.searchsorted(ends, start, side="right")
+
+
+def distinct_words(term: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, word and count of the distinct pairs, in order."""
+    cell, tf = np.unique(doc.astype(np.uint64) << np.uint64(TERM_BITS) | term, return_counts=True)
+    return (cell >> np.uint64(TERM_BITS)).astype(np.int64), cell & np.uint64((1 << TERM_BITS) - 1), tf
+
+
+def _cell(term: np.ndarray) -> np.ndarray:
+    return (term & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-_BLOCK = "block long, doc_ids array<long>, sizes binary, distinct binary, terms binary, tf binary, ids binary"
-_TOKENS = _BLOCK + ", part int, df binary, docs long, tokens long"
-_TYPES = [pa.int64(), pa.list_(pa.int64()), *[pa.binary()] * 5, pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+_TOKENS = "uid long, doc_id long, ids binary, part int, cells binary, counts binary, docs long, tokens long"
+_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 _NAMES = [x.split()[0] for x in _TOKENS.split(", ")]
 
 
-def _tokenize(path: str, narrow: type, block_tokens: int):
+def _tokenize(path: str, narrow: type) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        table = worker_tokens(path)
-        terms, docs, tokens, block = len(table.word_end), 0, 0, TaskContext.get().partitionId() << 32
-        df = np.zeros(-(-terms // SLICES) * SLICES, np.int64)
-        held: list[tuple] = []
+        table, docs, tokens = worker_tokens(path), 0, 0
+        first = TaskContext.get().partitionId() << 36
+        df = np.zeros(CELLS, np.int32)
         rows = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
-
-        def flush() -> pa.RecordBatch:
-            doc_ids, *arrays = zip(*held)
-            held.clear()
-            return rows([block], [list(chain.from_iterable(doc_ids))], *([b"".join(x)] for x in arrays), [None], [None], [None], [None])
-
-        for batch in batches:
+        for batch in steps(batches):
             ids, ends = table.encode([t or "" for t in batch.column("text").to_pylist()])
-            cell, tf = _unique_terms(ids, ends, terms)
-            df += np.bincount(cell % terms, minlength=len(df))
-            docs, tokens = docs + len(ends), tokens + len(ids)
-            sizes, distinct = np.diff(ends, prepend=0), np.bincount(cell // terms, minlength=len(ends))
-            if len(ends):
-                held.append((batch.column("doc_id").to_pylist(), sizes.astype(np.int64).tobytes(), distinct.astype(np.int64).tobytes(), (cell % terms).astype(narrow).tobytes(), tf.astype(np.uint32).tobytes(), ids.astype(narrow).tobytes()))
-            if sum(len(x[-1]) for x in held) >= block_tokens * np.dtype(narrow).itemsize:
-                yield flush()
-                block += 1
-        if held:
-            yield flush()
-        none = [None] * SLICES
-        yield rows(none, *[none] * 6, range(SLICES), [c.tobytes() for c in df.reshape(SLICES, -1)], *([x, *[0] * (SLICES - 1)] for x in (docs, tokens)))
+            doc, term, _ = distinct_words(*words_of(ids, ends, table.word_end))
+            df += np.bincount(_cell(term), minlength=CELLS).astype(np.int32)
+            n, size = len(ends), np.dtype(narrow).itemsize
+            raw, at = ids.astype(narrow).tobytes(), np.append(0, ends) * size
+            none = [None] * n
+            yield rows(first + docs + np.arange(n), batch.column("doc_id"), [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], *[none] * 5)
+            docs, tokens = docs + n, tokens + len(ids)
+        if docs:
+            some = np.flatnonzero(df).astype(np.int32)
+            cut_at = np.searchsorted(some, np.arange(SLICES + 1) * (CELLS // SLICES))
+            parts = [some[a:b] for a, b in zip(cut_at[:-1], cut_at[1:])]
+            none = [None] * SLICES
+            yield rows(none, none, none, range(SLICES), [c.tobytes() for c in parts], [df[c].tobytes() for c in parts], *([x, *[0] * (SLICES - 1)] for x in (docs, tokens)))
 
     return run
 
 
 def _sum_slices(key: tuple, table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, np.int64) for x in table.column("df").to_pylist())
+    part, width = key[0].as_py(), CELLS // SLICES
+    cells, counts = (np.concatenate([np.frombuffer(x, np.int32) for x in table.column(c).to_pylist()]) for c in ("cells", "counts"))
+    total = np.bincount(cells - part * width, weights=counts, minlength=width).astype(np.int64)
     sums = [sum(table.column(c).to_pylist()) for c in ("docs", "tokens")]
-    return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "df": pa.array([total.tobytes()], pa.binary()), "docs": pa.array([sums[0]], pa.int64()), "tokens": pa.array([sums[1]], pa.int64())})
+    return pa.table({"part": pa.array([part], pa.int32()), "df": pa.array([total.tobytes()], pa.binary()), "docs": pa.array([sums[0]], pa.int64()), "tokens": pa.array([sums[1]], pa.int64())})
 
 
-def statistics(tokens: DataFrame, terms: int) -> tuple[np.ndarray, int, int]:
-    """Document frequency of each token id, number of documents and of tokens, over the whole corpus.
+def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
+    """Document frequency of each cell, number of documents and of tokens, over the whole corpus.
 
-    A vector as long as the vocabulary, summed slice by slice on the executors, reaches the driver.
+    A vector of ``CELLS`` numbers, summed slice by slice on the executors, reaches the driver.
     """
-    parts = tokens.where("part IS NOT NULL").select("part", "df", "docs", "tokens")
+    parts = tokens.where("part IS NOT NULL").select("part", "cells", "counts", "docs", "tokens")
     rows = parts.groupBy("part").applyInArrow(_sum_slices, "part int, df binary, docs long, tokens long").collect()
     rows.sort(key=lambda r: r["part"])
-    df = np.concatenate([np.frombuffer(bytes(r["df"]), np.int64) for r in rows])[:terms] if rows else np.zeros(terms, np.int64)
+    df = np.concatenate([np.frombuffer(bytes(r["df"]), np.int64) for r in rows]) if rows else np.zeros(CELLS, np.int64)
     return df, sum(r["docs"] for r in rows), sum(r["tokens"] for r in rows)
 
 
-class ShardIndex:
-    """BM25 postings of the documents of one shard, by term."""
+def race_keys(term: np.ndarray, doc: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
+    """Keys x documents: the word that wins each race of a document; -1 where there are no words."""
+    keys = np.full((KEYS, n), -1, np.int64)
+    if not len(term):
+        return keys
+    head = np.flatnonzero(np.diff(doc, prepend=-1))
+    counts = np.diff(np.append(head, len(doc)))
+    weight = np.maximum(idf[_cell(term)], 1e-3) ** POWER
+    for k in range(KEYS):
+        with np.errstate(over="ignore"):
+            draw = (mix(term + np.uint64((k + 1) << 48)) >> np.uint64(11)).astype(np.float64)
+        time = -np.log((draw + 1) * 2.0**-53) / weight
+        won = np.flatnonzero(time == np.repeat(np.minimum.reduceat(time, head), counts))
+        keys[k, doc[won]] = term[won]
+    return keys
+
+
+def _keyed(path: str, shared, narrow: type) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_end, idf = worker_tokens(path).word_end, shared.value
+        for batch in batches:
+            ids, ends = _ids_of(batch.column("ids").to_pylist(), narrow)
+            keys = race_keys(*words_of(ids, ends, word_end), len(ends), idf)
+            with np.errstate(over="ignore"):
+                tie = mix(batch.column("uid").to_numpy().astype(np.uint64)).view(np.int64)
+            columns = [batch.column("doc_id"), batch.column("ids"), *map(pa.array, keys), pa.array(tie)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", *(f"k{k}" for k in range(KEYS)), "tie"])
 
-    def __init__(self, terms: np.ndarray, ends: np.ndarray, idf: np.ndarray, mean: float) -> None:
-        v, n = len(idf), len(ends)
-        sizes = np.diff(ends, prepend=0)
-        cell, tf = _unique_terms(terms, ends, v)
-        doc, term = cell // v, cell % v
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
-        self.doc_ptr = np.searchsorted(doc, np.arange(n + 1))
-        self.doc_term = term
-        order = np.argsort(term, kind="stable")
-        self.ptr = np.searchsorted(term[order], np.arange(v + 1))
-        self.docs, self.impact, self.n = doc[order], impact[order].astype(np.float32), n
+    return run
 
-    def scores(self, seed: int) -> np.ndarray:
-        a, b = self.doc_ptr[seed], self.doc_ptr[seed + 1]
-        out = np.zeros(self.n, np.float32)
-        for t in self.doc_term[a:b]:
-            x, y = self.ptr[t], self.ptr[t + 1]
-            out[self.docs[x:y]] += self.impact[x:y]
-        return out
 
+def _ids_of(parts: list[bytes], narrow: type) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(parts), narrow), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // np.dtype(narrow).itemsize
 
-def reading_order(index: ShardIndex, lengths: np.ndarray, window: int) -> list[int]:
+
+class ShardIndex:
+    """BM25 postings of the documents of one shard, by word."""
+
+    def __init__(self, term: np.ndarray, doc: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float) -> None:
+        """``sizes`` are the documents' tokens, ``mean`` their mean over the corpus; ``idf`` has a value per cell."""
+        self.n = len(sizes)
+        doc, term, tf = distinct_words(term, doc)
+        impact = idf[_cell(term)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
+        self.doc_ptr = np.searchsorted(doc, np.arange(self.n + 1))
+        order = np.argsort(term, kind="stable")
+        new = np.diff(term[order], prepend=np.uint64(1 << 63)) != 0
+        self.code = np.empty(len(term), np.int64)
+        self.code[order] = np.cumsum(new) - 1
+        self.ptr = np.append(np.flatnonzero(new), len(term))
+        self.docs, self.impact = doc[order], impact[order]
+        self.used = np.zeros(self.n, bool)
+
+    def neighbours(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        """The unused documents that share a word with the seed, and their scores."""
+        code = self.code[self.doc_ptr[seed] : self.doc_ptr[seed + 1]]
+        start = self.ptr[code]
+        count = self.ptr[code + 1] - start
+        total = int(count.sum())
+        at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)
+        docs = self.docs[at]
+        # Few postings are summed by themselves, many in a vector of all documents.
+        if total < self.n >> 3:
+            docs, inverse = np.unique(docs, return_inverse=True)
+            scores = np.bincount(inverse, self.impact[at], len(docs))
+        else:
+            scores = np.bincount(docs, self.impact[at], self.n)
+            docs = np.arange(self.n)
+        keep = (scores > 0) & ~self.used[docs]
+        return docs[keep], scores[keep]
+
+
+def best_first(docs: np.ndarray, scores: np.ndarray, lengths: np.ndarray, room: int) -> np.ndarray:
+    """The best-scored documents until their lengths fill the room; ties go to the smaller number."""
+    k = 32
+    while True:
+        top = np.argpartition(-scores, k - 1)[:k] if k < len(docs) else np.arange(len(docs))
+        if k < len(docs):
+            # All ties of the last one are looked at.
+            top = np.flatnonzero(scores >= scores[top].min())
+        top = top[np.lexsort((docs[top], -scores[top]))]
+        before = np.cumsum(lengths[docs[top]]) - lengths[docs[top]]
+        if k >= len(docs) or before[-1] + lengths[docs[top[-1]]] >= room:
+            return docs[top[before < room]]
+        k *= 8
+
+
+def reading_order(index: ShardIndex, lengths: np.ndarray, window: int) -> np.ndarray:
     """The shard's documents in the order in which seeds and their unused neighbours fill window after window."""
-    used = np.zeros(index.n, bool)
-    order: list[int] = []
-    room, nxt, scores = 0, 0, None
-    while len(order) < index.n:
-        if room <= 0 and order:
+    order = np.empty(index.n, np.int64)
+    placed, room, nxt, last = 0, window, 0, -1
+    wordless = np.diff(index.doc_ptr) == 0
+    while placed < index.n:
+        if room <= 0:
             # The document cut by the window's end, or the last one in it, seeds the next window.
-            scores = index.scores(order[-1])
-            room += -(room // window) * window if room < 0 else window
-        pick = -1
-        if scores is not None:
-            scores[used] = 0
-            best = int(scores.argmax())
-            pick = best if scores[best] > 0 else -1
-        if pick < 0:
-            while used[nxt]:
+            room += (-room // window + 1) * window
+        found = best_first(*index.neighbours(last), lengths, room) if last >= 0 and not wordless[last] else ()
+        if not len(found):
+            while index.used[nxt]:
                 nxt += 1
-            pick = nxt
-            scores = index.scores(pick) if scores is None else scores
-            room = room or window
-        used[pick] = True
-        order.append(pick)
-        room -= int(lengths[pick])
+            end = nxt + 1
+            if wordless[nxt]:
+                # Texts without words have no neighbours: as many as follow each other go in at once.
+                stop = np.flatnonzero(~wordless[nxt:] | index.used[nxt:])
+                end = nxt + int(stop[0]) if len(stop) else index.n
+            found = np.arange(nxt, end)
+        index.used[found] = True
+        order[placed : placed + len(found)] = found
+        placed, room, last = placed + len(found), room - int(lengths[found].sum()), int(found[-1])
     return order
 
 
@@ -265,224 +336,16 @@ def cut(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.array([window] * (total // window) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1], np.int64)
 
 
-class Corpus:
-    """What each task knows of the whole corpus: the blocks' first document numbers, term weights, the mean length."""
-
-    def __init__(self, blocks: list[int], first: np.ndarray, idf: np.ndarray, common: np.ndarray, mean: float, narrow: type) -> None:
-        self.first, self.idf, self.mean, self.narrow = dict(zip(blocks, first.tolist())), idf.astype(np.float32), mean, narrow
-        self.column = np.full(len(idf), -1, np.int16)
-        self.column[common] = np.arange(int(common.sum()))
-
-
-class FreeDocuments:
-    """The unused documents of a block: a matrix of their impacts for common terms, postings for all others."""
-
-    def __init__(self, row: dict, free: np.ndarray, corpus: Corpus) -> None:
-        sizes, distinct = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["distinct"], np.int64)
-        keep = np.repeat(free, distinct)
-        doc = np.repeat(np.cumsum(free) - 1, distinct)[keep]
-        term, tf = np.frombuffer(row["terms"], corpus.narrow)[keep].astype(np.int64), np.frombuffer(row["tf"], np.uint32)[keep]
-        self.sizes = sizes[free]
-        impact = (corpus.idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * self.sizes[doc] / corpus.mean))).astype(np.float32)
-        # A multiple of 64 rows; those added score 0.
-        self.n, self.column = -(-len(self.sizes) // 64) * 64, corpus.column
-        self.lengths = np.append(self.sizes + 1, np.ones(self.n - len(self.sizes), np.int64))
-        column = self.column[term]
-        self.common = np.zeros((int(self.column.max(initial=-1)) + 1, self.n), np.float32)
-        dense = column >= 0
-        self.common[column[dense], doc[dense]] = impact[dense]
-        doc, term, impact = doc[~dense], term[~dense], impact[~dense]
-        order = np.argsort(term, kind="stable")
-        self.docs, self.impact = doc[order], impact[order]
-        self.ptr = np.searchsorted(term[order], np.arange(len(self.column) + 1))
-
-    def scores(self, seeds: list[np.ndarray]) -> np.ndarray:
-        asked = np.zeros((len(seeds), len(self.common)), np.float32)
-        for i, terms in enumerate(seeds):
-            column = self.column[terms]
-            asked[i, column[column >= 0]] = 1
-        out = asked @ self.common
-        for line, terms in zip(out, seeds):
-            for t in terms[self.column[terms] < 0]:
-                x, y = self.ptr[t], self.ptr[t + 1]
-                if x < y:
-                    line[self.docs[x:y]] += self.impact[x:y]
-        return out
-
-    def best(self, scores: np.ndarray, room: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(seed, document, score): each seed's best documents until its room is full, or all that share a term with it."""
-        todo, k, found = np.arange(len(scores)), 8, []
-        while len(todo):
-            k = min(k, self.n)
-            top = top_places(scores[todo], k)
-            value = np.take_along_axis(scores[todo], top, 1)
-            order = np.lexsort((top, -value), axis=1)
-            top, value = np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
-            ends = np.cumsum(self.lengths[top], 1)
-            done = (ends[:, -1] >= room[todo]) | (value[:, -1] <= 0) | (k == self.n)
-            take = (value > 0) & (ends - self.lengths[top] < room[todo][:, None]) & done[:, None]
-            line, place = np.nonzero(take)
-            found.append((todo[line], top[line, place], value[line, place]))
-            todo, k = todo[~done], k * 4
-        return tuple(np.concatenate(x) for x in zip(*found))
-
-
-def top_places(scores: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k greatest scores of each line. They lie in the k column groups of 64 with the greatest maxima."""
-    lines, n = scores.shape
-    width = n // 64
-    if k >= n:
-        return np.broadcast_to(np.arange(n), (lines, n)).copy()
-    if width <= 2 * k:
-        return np.argpartition(-scores, k - 1, axis=1)[:, :k]
-    groups = scores.reshape(lines, 64, width)
-    chosen = np.argpartition(-groups.max(1), k - 1, axis=1)[:, :k]
-    places = (np.arange(64)[None, :, None] * width + chosen[:, None, :]).reshape(lines, -1)
-    top = np.argpartition(-np.take_along_axis(scores, places, 1), k - 1, axis=1)[:, :k]
-    return np.take_along_axis(places, top, 1)
-
-
-_HIT = np.dtype([("lane", "<i4"), ("doc", "<i4"), ("score", "<f4"), ("length", "<i4")])
-
-
-def _search(shared: Broadcast, used: np.ndarray, flat: np.ndarray, ends: np.ndarray, room: np.ndarray) -> Callable:
-    """Per block, one row for each group of lanes: the best unused documents of the lanes' seeds."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus, taken = shared.value, np.unpackbits(used)
-        seeds = np.split(flat.astype(np.int64), ends[:-1])
-        for row in chain.from_iterable(b.to_pylist() for b in batches):
-            first, n = corpus.first[row["block"]], len(row["sizes"]) // 8
-            free = taken[first : first + n] == 0
-            if not free.any():
-                continue
-            documents, number = FreeDocuments(row, free, corpus), np.flatnonzero(free)
-            for at in range(0, len(seeds), SEEDS):
-                here = [i for i in range(at, min(at + SEEDS, len(seeds))) if room[i] > 0]
-                if not here:
-                    continue
-                seed, doc, score = documents.best(documents.scores([seeds[i] for i in here]), room[here])
-                hits = np.zeros(len(seed), _HIT)
-                hits["lane"], hits["doc"], hits["score"], hits["length"] = np.array(here)[seed], number[doc], score, documents.lengths[doc]
-                yield pa.RecordBatch.from_pydict({"lanes": pa.array([at // SEEDS], pa.int32()), "first": pa.array([first], pa.int64()), "hits": pa.array([hits.tobytes()], pa.binary())})
-
-    return run
-
-
-def _merge(room: np.ndarray) -> Callable:
-    """The best documents of each lane over all blocks, until its room is full."""
+def _pack_shards(path: str, shared, mean: float, window: int, narrow: type, with_ids: bool) -> Callable:
+    """Reads a range of the dealt documents shard by shard and packs each."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [np.frombuffer(x, _HIT) for x in table.column("hits").to_pylist()]
-        hits = np.concatenate(parts)
-        doc = np.repeat(table.column("first").to_numpy(), [len(x) for x in parts]) + hits["doc"]
-        order = np.lexsort((doc, -hits["score"], hits["lane"]))
-        hits, doc = hits[order], doc[order]
-        before = np.cumsum(hits["length"], dtype=np.int64) - hits["length"]
-        starts = np.flatnonzero(np.diff(hits["lane"], prepend=-1))
-        before -= np.repeat(before[starts], np.diff(np.append(starts, len(hits))))
-        keep = before < room[hits["lane"]]
-        return pa.table({"lane": hits["lane"][keep], "doc": doc[keep], "score": hits["score"][keep]})
-
-    return run
-
-
-def _distinct_terms(shared: Broadcast, wanted: np.ndarray) -> Callable:
-    """(doc, terms) of the documents with these numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        corpus = shared.value
-        for row in chain.from_iterable(b.to_pylist() for b in batches):
-            distinct, first = np.frombuffer(row["distinct"], np.int64), corpus.first[row["block"]]
-            here = wanted[(wanted >= first) & (wanted < first + len(distinct))]
-            ends, terms = np.cumsum(distinct), np.frombuffer(row["terms"], corpus.narrow)
-            found = [terms[ends[i] - distinct[i] : ends[i]].tobytes() for i in here - first]
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(here, pa.int64()), "terms": pa.array(found, pa.binary())})
-
-    return run
-
-
-def fill_lanes(blocks: DataFrame, corpus: Corpus, lengths: np.ndarray, window: int, left: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Lane and place in it of each document, and the number of lanes. Not more than ``left`` tokens stay without a lane (-1)."""
-    n, total = len(lengths), int(lengths.sum())
-    lane, place = np.full(n, -1, np.int32), np.zeros(n, np.int32)
-    if total <= left:
-        return lane, place, 0
-    count = max(1, min(n, total // LANE_TOKENS, LANES, int(ASKED * total / n) // window))
-    last, sizes, room = np.zeros(count, np.int64), np.zeros(count, np.int32), np.zeros(count, np.int64)
-    shared = blocks.sparkSession.sparkContext.broadcast(corpus)
-    seeds: list[np.ndarray] = [np.zeros(0, corpus.narrow)] * count
-    nxt = 0
-
-    def put(k: int, doc: int) -> None:
-        nonlocal total
-        lane[doc], place[doc], last[k] = k, sizes[k], doc
-        sizes[k] += 1
-        room[k] -= lengths[doc]
-        total -= int(lengths[doc])
-
-    fresh = np.ones(count, bool)
-    for k, doc in enumerate(np.linspace(0, n, count, endpoint=False).astype(np.int64).tolist()):
-        room[k] = window
-        put(k, doc)
-    while total > left:
-        over = room <= 0
-        # The document cut by the window's end, or the last one in it, seeds the next window.
-        room[over] += (-room[over] // window + 1) * window
-        fresh |= over
-        wanted = np.unique(last[fresh])
-        found = blocks.select("block", "distinct", "terms").mapInArrow(_distinct_terms(shared, wanted), "doc long, terms binary").collect()
-        terms = {r["doc"]: np.frombuffer(bytes(r["terms"]), corpus.narrow) for r in found}
-        for k in np.flatnonzero(fresh):
-            seeds[k] = terms[int(last[k])]
-        fresh[:] = False
-        depth = room + (DEPTH - 1) * window
-        search = _search(shared, np.packbits(lane >= 0), np.concatenate(seeds), np.cumsum([len(x) for x in seeds]), depth)
-        hits = blocks.select("block", "sizes", "distinct", "terms", "tf").mapInArrow(search, "lanes int, first long, hits binary")
-        best = hits.groupBy("lanes").applyInArrow(_merge(depth), "lane int, doc long, score float").toArrow()
-        asks, doc, score = (best.column(c).to_numpy() for c in ("lane", "doc", "score"))
-        order = np.lexsort((doc, asks, -score))
-        for k, d in zip(asks[order].tolist(), doc[order].tolist()):
-            if lane[d] < 0 and room[k] > 0:
-                put(k, d)
-        # No unused document shares a term with these seeds.
-        for k in np.setdiff1d(np.arange(count), asks).tolist():
-            while nxt < n and lane[nxt] >= 0:
-                nxt += 1
-            if nxt < n:
-                put(k, nxt)
-    shared.destroy()
-    return lane, place, count
-
-
-def _in_lanes(corpus: Corpus, lane: np.ndarray, place: np.ndarray, rest: int) -> Callable:
-    """The documents one by one with their lanes; those without one are in lane ``rest``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in chain.from_iterable(b.to_pylist() for b in batches):
-            first, sizes = corpus.first[row["block"]], np.frombuffer(row["sizes"], np.int64)
-            step, all_ids = np.dtype(corpus.narrow).itemsize, pa.py_buffer(row["ids"])
-            ends = np.append(0, np.cumsum(sizes) * step)
-            here = lane[first : first + len(sizes)]
-            for at in range(0, len(sizes), 1000):
-                to = min(at + 1000, len(sizes))
-                ids = [all_ids[a:b] for a, b in zip(ends[at:to].tolist(), ends[at + 1 : to + 1].tolist())]
-                columns = [pa.array(row["doc_ids"][at:to], pa.int64()), pa.array([x.to_pybytes() for x in ids], pa.binary()), pa.array(np.where(here[at:to] < 0, rest, here[at:to]), pa.int64()), pa.array(place[first + at : first + to], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "lane", "place"])
-
-    return run
-
-
-def _pack(idf: np.ndarray, mean: float, window: int, narrow: type, with_ids: bool, rest: int) -> Callable:
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        lane = key[0].as_py()
-        table = table.sort_by([("place", "ascending"), ("doc_id", "ascending")])
-        parts = table.column("ids").to_pylist()
-        ids = np.frombuffer(b"".join(parts), narrow).astype(np.int64)
-        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // np.dtype(narrow).itemsize
+    def pack_shard(doc_ids: list, parts: list[bytes], first: int) -> tuple[pa.RecordBatch, int]:
+        ids, ends = _ids_of(parts, narrow)
+        term, doc = words_of(ids, ends, worker_tokens(path).word_end)
         sizes = np.diff(ends, prepend=0)
         lengths = sizes + 1
-        order = np.array(reading_order(ShardIndex(ids, ends, idf, mean), lengths, window), np.int64) if lane == rest else np.arange(len(ends))
+        index = ShardIndex(term, doc, sizes, shared.value, mean)
+        order = reading_order(index, lengths, window)
         doc_end = np.cumsum(lengths[order])
         sequences = np.cumsum(cut(lengths, window))
         bounds = np.unique(np.concatenate((doc_end, sequences)))
@@ -497,34 +360,52 @@ def _pack(idf: np.ndarray, mean: float, window: int, narrow: type, with_ids: boo
         base = (ends - sizes + np.arange(len(ends)))[doc] + start
         crc = [zlib.crc32(whole[a : a + n]) for a, n in zip(base.tolist(), length.tolist())]
         columns = {
-            "doc_id": table.column("doc_id").take(pa.array(doc)), "start": start, "length": length, "ids_crc32": np.array(crc, np.int64),
-            "doc_tokens": lengths[doc], "sequence_id": seq + (lane << 32), "offset": offset,
+            "doc_id": pa.array(doc_ids, pa.int64()).take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length), "ids_crc32": pa.array(crc, pa.int64()),
+            "doc_tokens": pa.array(lengths[doc]), "sequence_id": pa.array(seq + first), "offset": pa.array(offset),
         }
         if with_ids:
             columns["ids"] = pa.array([whole[a : a + n].tobytes() for a, n in zip(base.tolist(), length.tolist())], pa.binary())
-        return pa.table(columns)
+        return pa.RecordBatch.from_pydict(columns), len(sequences)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        doc_ids, parts, held, first = [], [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                doc_ids.append(doc_id)
+                parts.append(ids)
+                held += len(ids) // np.dtype(narrow).itemsize + 1
+                if held >= SHARD_TOKENS:
+                    out, n = pack_shard(doc_ids, parts, first)
+                    yield out
+                    doc_ids, parts, held, first = [], [], 0, first + n
+        if doc_ids:
+            yield pack_shard(doc_ids, parts, first)[0]
 
     return run
 
 
+def dealt(docs: DataFrame, path: str, narrow: type) -> tuple[DataFrame, object, float]:
+    """doc_id, ids and keys of all documents, sorted by keys in ranges; the weights (shared with the tasks) and mean tokens of the corpus."""
+    spark = docs.sparkSession
+    tokens = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path, narrow), _TOKENS), "tokens")
+    df, n, total = statistics(tokens)
+    idf = np.log1p((n - df + 0.5) / (df + 0.5)) if n else np.zeros(CELLS)
+    shared = spark.sparkContext.broadcast(idf.astype(np.float32))
+    keys = [f"k{k}" for k in range(KEYS)] + ["tie"]
+    keyed = tokens.where("part IS NULL").select("uid", "doc_id", "ids").mapInArrow(_keyed(path, shared, narrow), "doc_id long, ids binary, " + ", ".join(f"{k} long" for k in keys))
+    ranges = keyed.repartitionByRange(max(1, -(-total // SHARD_TOKENS)), *keys).sortWithinPartitions(*keys)
+    return ranges, shared, max(1.0, total / max(1, n))
+
+
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document; ``with_ids`` adds its ids (little-endian unsigned 32-bit)."""
     path = path or vocabulary_path()
-    terms = len(worker_tokens(path).word_end)
-    narrow = np.uint16 if terms <= 1 << 16 else np.uint32
-    tokens = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path, narrow, BLOCK_TOKENS), _TOKENS), "tokens")
-    df, n, total = statistics(tokens, terms)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5)) if n else np.zeros(terms)
-    blocks, mean = tokens.where("part IS NULL"), max(1.0, total / max(1, n))
-    sizes = sorted((r["block"], bytes(r["sizes"])) for r in blocks.select("block", "sizes").toLocalIterator())
-    first = np.cumsum([0, *(len(x) // 8 for _, x in sizes)])[:-1]
-    corpus = Corpus([k for k, _ in sizes], first, idf, df > COMMON * n, mean, narrow)
-    lengths = np.concatenate([np.zeros(0, np.int32), *((np.frombuffer(x, np.int64) + 1).astype(np.int32) for _, x in sizes)])
-    del sizes
-    lane, place, rest = fill_lanes(blocks, corpus, lengths, window, SHARD_TOKENS)
-    dealt = blocks.select("block", "doc_ids", "sizes", "ids").mapInArrow(_in_lanes(corpus, lane, place, rest), "doc_id long, ids binary, lane long, place int")
+    narrow = np.uint16 if len(worker_tokens(path).word_end) <= 1 << 16 else np.uint32
+    ranges, shared, mean = dealt(docs, path, narrow)
     schema = _PIECE + (", ids binary" if with_ids else "")
-    return dealt.groupBy("lane").applyInArrow(_pack(idf, mean, window, narrow, with_ids, rest), schema)
+    return ranges.select("doc_id", "ids").mapInArrow(_pack_shards(path, shared, mean, window, narrow, with_ids), schema)
 
 
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -533,6 +414,9 @@ def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the packed pieces of all documents that came through."""
+    """Pipeline stage: the packed pieces of all documents that came through.
+
+    Defined results: those of ``pack``; a null doc_id stays null; extra columns are left out, whatever their names.
+    """
     small_batches(spark, 1000)
     return pack(docs)
