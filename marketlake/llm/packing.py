@@ -2,9 +2,10 @@
 
 1. Texts are tokenized once. Terms are the lower-cased words, read back from their token ids. Document frequencies are
    counted over the whole corpus in ``CELLS`` hashed cells (one bounded vector, an upper bound of each word's frequency).
-2. Documents are dealt to index shards by what they say: a document's keys are the words that win weighted races (the
-   least of an exponential draw a word, divided by the square of its weight), so that two documents have equal first keys
-   with a probability equal to the similarity of their weighted word sets. Spark sorts all documents by these keys by ranges
+2. Documents are dealt to index shards by what they say: a document's keys are the pieces (words) that win weighted races (the
+   least of an exponential draw a piece, divided by its weight), so that two documents have equal first keys with a
+   probability equal to the similarity of their weighted word sets. A piece weighs the cube of its tokens, since the
+   vocabulary gives common words few tokens and rare words many. Spark sorts all documents by these keys by ranges
    and each range is read in shards of about ``SHARD_TOKENS`` tokens. Documents that say the same lie together at every size.
 3. In a shard, a seed is scored by all its distinct words against all unused documents of the shard; the best fill its window
    of ``WINDOW`` tokens. The document that is cut goes on in the next window as its seed, so windows have no padding; the rest
@@ -30,6 +31,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +40,12 @@ from .common import materialize, mix, read, small_batches, steps
 WINDOW, SHARD_TOKENS, END = 4096, 2_000_000, 2
 #: Cells of document frequencies, the slices in which they are summed, and bits of a word's hash that tell terms apart.
 CELLS, SLICES, TERM_BITS = 1 << 20, 16, 40
-#: Keys by which documents are dealt, and the power of a word's weight in their races.
-KEYS, POWER = 3, 2
+#: Keys by which documents are dealt, and the power of a piece's tokens that is its weight in their races.
+KEYS, POWER = 3, 3
+#: Words in more than one of so many documents of a shard are kept as a matrix, all others as postings.
+DENSE = 16
 #: Distinct pieces a worker remembers.
-PIECE_CACHE = 250_000
+PIECE_CACHE = 400_000
 _SPACE, _LETTER, _MARK = r" \t-\r", "A-Za-z0-9À-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 OTHER = re.compile(f"[^{_SPACE}{_LETTER}{_MARK}]")
 PLAIN = re.compile(f"[{_LETTER}]+|[{_MARK}]+")
@@ -84,6 +88,7 @@ class PieceTokens(dict):
         self.clear()
         self.new: list[str] = []
         self.flat, self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.name, self.time = np.zeros(0, np.int64), np.zeros((KEYS, 0))
 
     def __missing__(self, piece: str) -> int:
         place = self[piece] = len(self)
@@ -115,16 +120,32 @@ class PieceTokens(dict):
         ends = np.cumsum(sizes[order])
         at[order] = len(self.flat) + ends - sizes[order]
         self.at, self.n, self.flat = np.append(self.at, at), np.append(self.n, sizes), np.concatenate((self.flat, *flat))
+        name = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in new), np.uint64, len(new))
+        with np.errstate(over="ignore"):
+            draws = [mix(name + np.uint64(k + 1)) >> np.uint64(11) for k in range(KEYS)]
+        time = -np.log((np.array(draws, np.float64) + 1) * 2.0**-53) / np.maximum(sizes, 1) ** POWER
+        self.name, self.time = np.append(self.name, name.view(np.int64)), np.append(self.time, time, axis=1)
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """The words of all pieces, and the piece of each."""
+        ends = np.cumsum(self.n)
+        return words_of(self.flat[np.repeat(self.at - (ends - self.n), self.n) + np.arange(ends[-1] if len(ends) else 0)], ends, self.word_end)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids end."""
-        if len(self) > PIECE_CACHE:
-            self._reset()
+        k, sizes = self.places(texts)
+        return self.ids(k, sizes)
+
+    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The place in this table of each piece of the texts, one text after the other, and the number of pieces of each text."""
         split = [pieces(t) for t in texts]
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         k = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         if self.new:
             self._learn()
+        return k, sizes
+
+    def ids(self, k: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.n[k]
         ends = np.cumsum(n)
         ids = self.flat[np.repeat(self.at[k] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
@@ -132,7 +153,7 @@ class PieceTokens(dict):
 
 
 def worker_tokens(path: str) -> PieceTokens:
-    """The table of this worker process, which serves task after task."""
+    """The table of this worker process, which serves task after task; it starts over between texts once it holds too many pieces."""
     import sys
 
     held = sys.__dict__.setdefault("_piece_tokens", {})
@@ -166,34 +187,65 @@ def _cell(term: np.ndarray) -> np.ndarray:
     return (term & np.uint64(CELLS - 1)).astype(np.int64)
 
 
-_TOKENS = "uid long, doc_id long, ids binary, part int, cells binary, counts binary, docs long, tokens long"
-_TYPES = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
+_KEYS = [f"k{k}" for k in range(KEYS)]
+_TOKENS = f"uid long, doc_id long, ids binary, {', '.join(f'{k} long' for k in _KEYS)}, part int, cells binary, counts binary, docs long, tokens long"
+_TYPES = [pa.int64(), pa.int64(), pa.binary(), *[pa.int64()] * KEYS, pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
 _NAMES = [x.split()[0] for x in _TOKENS.split(", ")]
 
 
+def race_keys(k: np.ndarray, sizes: np.ndarray, time: np.ndarray, name: np.ndarray) -> np.ndarray:
+    """Keys x texts: the piece that wins each race of a text; -1 where there are none."""
+    keys = np.full((len(time), len(sizes)), -1, np.int64)
+    some = sizes > 0
+    head = (np.cumsum(sizes) - sizes)[some]
+    if len(head):
+        doc = np.repeat(np.flatnonzero(some), sizes[some])
+        for key, t in zip(keys, time):
+            t = t[k]
+            won = np.flatnonzero(t == np.repeat(np.minimum.reduceat(t, head), sizes[some]))
+            key[doc[won]] = name[k[won]]
+    return keys
+
+
 def _tokenize(path: str, narrow: type) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         table, docs, tokens = worker_tokens(path), 0, 0
         first = TaskContext.get().partitionId() << 36
-        df = np.zeros(CELLS, np.int32)
+        df, held = np.zeros(CELLS, np.int32), np.zeros(0, np.int32)
         rows = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=_NAMES)
+
+        def count() -> None:
+            """Adds the documents of each piece to the cells of its words."""
+            term, piece = table.words()
+            few = piece < len(held)
+            np.add.at(df, _cell(term[few]), held[piece[few]])
+
         for batch in steps(batches):
-            ids, ends = table.encode([t or "" for t in batch.column("text").to_pylist()])
-            doc, term, _ = distinct_words(*words_of(ids, ends, table.word_end))
-            df += np.bincount(_cell(term), minlength=CELLS).astype(np.int32)
+            if len(table) > PIECE_CACHE:
+                count()
+                held = np.zeros(0, np.int32)
+                table._reset()
+            k, sizes = table.places([t or "" for t in batch.column("text").to_pylist()])
+            ids, ends = table.ids(k, sizes)
+            pairs = np.sort(np.repeat(np.arange(len(sizes)), sizes) << 32 | k)
+            seen = np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] & 0xFFFFFFFF, minlength=len(table)).astype(np.int32)
+            seen[: len(held)] += held
+            held = seen
             n, size = len(ends), np.dtype(narrow).itemsize
             raw, at = ids.astype(narrow).tobytes(), np.append(0, ends) * size
             none = [None] * n
-            yield rows(first + docs + np.arange(n), batch.column("doc_id"), [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], *[none] * 5)
+            keys = race_keys(k, sizes, table.time, table.name)
+            yield rows(first + docs + np.arange(n), batch.column("doc_id"), [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())], *keys, *[none] * 5)
             docs, tokens = docs + n, tokens + len(ids)
         if docs:
+            count()
             some = np.flatnonzero(df).astype(np.int32)
             cut_at = np.searchsorted(some, np.arange(SLICES + 1) * (CELLS // SLICES))
             parts = [some[a:b] for a, b in zip(cut_at[:-1], cut_at[1:])]
             none = [None] * SLICES
-            yield rows(none, none, none, range(SLICES), [c.tobytes() for c in parts], [df[c].tobytes() for c in parts], *([x, *[0] * (SLICES - 1)] for x in (docs, tokens)))
+            yield rows(none, none, none, *[none] * KEYS, range(SLICES), [c.tobytes() for c in parts], [df[c].tobytes() for c in parts], *([x, *[0] * (SLICES - 1)] for x in (docs, tokens)))
 
     return run
 
@@ -218,37 +270,6 @@ def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     return df, sum(r["docs"] for r in rows), sum(r["tokens"] for r in rows)
 
 
-def race_keys(term: np.ndarray, doc: np.ndarray, n: int, idf: np.ndarray) -> np.ndarray:
-    """Keys x documents: the word that wins each race of a document; -1 where there are no words."""
-    keys = np.full((KEYS, n), -1, np.int64)
-    if not len(term):
-        return keys
-    head = np.flatnonzero(np.diff(doc, prepend=-1))
-    counts = np.diff(np.append(head, len(doc)))
-    weight = np.maximum(idf[_cell(term)], 1e-3) ** POWER
-    for k in range(KEYS):
-        with np.errstate(over="ignore"):
-            draw = (mix(term + np.uint64((k + 1) << 48)) >> np.uint64(11)).astype(np.float64)
-        time = -np.log((draw + 1) * 2.0**-53) / weight
-        won = np.flatnonzero(time == np.repeat(np.minimum.reduceat(time, head), counts))
-        keys[k, doc[won]] = term[won]
-    return keys
-
-
-def _keyed(path: str, shared, narrow: type) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word_end, idf = worker_tokens(path).word_end, shared.value
-        for batch in batches:
-            ids, ends = _ids_of(batch.column("ids").to_pylist(), narrow)
-            keys = race_keys(*words_of(ids, ends, word_end), len(ends), idf)
-            with np.errstate(over="ignore"):
-                tie = mix(batch.column("uid").to_numpy().astype(np.uint64)).view(np.int64)
-            columns = [batch.column("doc_id"), batch.column("ids"), *map(pa.array, keys), pa.array(tie)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", *(f"k{k}" for k in range(KEYS)), "tie"])
-
-    return run
-
-
 def _ids_of(parts: list[bytes], narrow: type) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(parts), narrow), np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))) // np.dtype(narrow).itemsize
 
@@ -262,28 +283,37 @@ class ShardIndex:
         doc, term, tf = distinct_words(term, doc)
         impact = idf[_cell(term)] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
         self.doc_ptr = np.searchsorted(doc, np.arange(self.n + 1))
-        order = np.argsort(term, kind="stable")
+        order = np.argsort(term)
         new = np.diff(term[order], prepend=np.uint64(1 << 63)) != 0
-        self.code = np.empty(len(term), np.int64)
+        self.code = np.empty(len(term), np.int32)
         self.code[order] = np.cumsum(new) - 1
         self.ptr = np.append(np.flatnonzero(new), len(term))
-        self.docs, self.impact = doc[order], impact[order]
+        self.docs, self.impact = doc[order].astype(np.int32), impact[order]
+        common = np.flatnonzero(np.diff(self.ptr) * DENSE > max(self.n, 8 * DENSE))
+        self.row = np.full(len(self.ptr) - 1, -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.dense = np.zeros((len(common), self.n), np.float32)
+        for i, c in enumerate(common.tolist()):
+            a, b = self.ptr[c], self.ptr[c + 1]
+            self.dense[i, self.docs[a:b]] = self.impact[a:b]
         self.used = np.zeros(self.n, bool)
 
     def neighbours(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """The unused documents that share a word with the seed, and their scores."""
         code = self.code[self.doc_ptr[seed] : self.doc_ptr[seed + 1]]
-        start = self.ptr[code]
-        count = self.ptr[code + 1] - start
+        row = self.row[code]
+        rare = code[row < 0]
+        start = self.ptr[rare]
+        count = self.ptr[rare + 1] - start
         total = int(count.sum())
         at = np.repeat(start - (np.cumsum(count) - count), count) + np.arange(total)
         docs = self.docs[at]
         # Few postings are summed by themselves, many in a vector of all documents.
-        if total < self.n >> 3:
+        if len(rare) == len(code) and total < self.n >> 3:
             docs, inverse = np.unique(docs, return_inverse=True)
             scores = np.bincount(inverse, self.impact[at], len(docs))
         else:
-            scores = np.bincount(docs, self.impact[at], self.n)
+            scores = np.bincount(docs, self.impact[at], self.n) + self.dense[row[row >= 0]].sum(axis=0, dtype=np.float64)
             docs = np.arange(self.n)
         keep = (scores > 0) & ~self.used[docs]
         return docs[keep], scores[keep]
@@ -386,24 +416,22 @@ def _pack_shards(path: str, shared, mean: float, window: int, narrow: type, with
     return run
 
 
-def dealt(docs: DataFrame, path: str, narrow: type) -> tuple[DataFrame, object, float]:
-    """doc_id, ids and keys of all documents, sorted by keys in ranges; the weights (shared with the tasks) and mean tokens of the corpus."""
-    spark = docs.sparkSession
+def dealt(docs: DataFrame, path: str, narrow: type) -> tuple[DataFrame, np.ndarray, float]:
+    """doc_id, ids and keys of all documents, sorted by keys in ranges; each cell's weight and the mean tokens of the corpus."""
     tokens = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path, narrow), _TOKENS), "tokens")
     df, n, total = statistics(tokens)
-    idf = np.log1p((n - df + 0.5) / (df + 0.5)) if n else np.zeros(CELLS)
-    shared = spark.sparkContext.broadcast(idf.astype(np.float32))
-    keys = [f"k{k}" for k in range(KEYS)] + ["tie"]
-    keyed = tokens.where("part IS NULL").select("uid", "doc_id", "ids").mapInArrow(_keyed(path, shared, narrow), "doc_id long, ids binary, " + ", ".join(f"{k} long" for k in keys))
-    ranges = keyed.repartitionByRange(max(1, -(-total // SHARD_TOKENS)), *keys).sortWithinPartitions(*keys)
-    return ranges, shared, max(1.0, total / max(1, n))
+    idf = np.log1p(np.maximum(n - df + 0.5, 0.5) / (df + 0.5)).astype(np.float32)
+    keys = [*_KEYS, F.xxhash64("uid")]
+    ranges = tokens.where("part IS NULL").select("uid", "doc_id", "ids", *_KEYS).repartitionByRange(max(1, -(-total // SHARD_TOKENS)), *keys).sortWithinPartitions(*keys)
+    return ranges, idf, max(1.0, total / max(1, n))
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document; ``with_ids`` adds its ids (little-endian unsigned 32-bit)."""
     path = path or vocabulary_path()
     narrow = np.uint16 if len(worker_tokens(path).word_end) <= 1 << 16 else np.uint32
-    ranges, shared, mean = dealt(docs, path, narrow)
+    ranges, idf, mean = dealt(docs, path, narrow)
+    shared = docs.sparkSession.sparkContext.broadcast(idf)
     schema = _PIECE + (", ids binary" if with_ids else "")
     return ranges.select("doc_id", "ids").mapInArrow(_pack_shards(path, shared, mean, window, narrow, with_ids), schema)
 
