@@ -10,7 +10,8 @@ The template is ``<turn>### role: text</turn>`` and a line feed per turn. Inside
 restores the text, since every backslash left is the first character of one code.
 
 Defined results: all messages of a null tree (``conv_id``) are one tree, as in GROUP BY; a null text or role counts as empty; a null score as 0; a parent that does not exist makes its child a root; messages in or
-below a cycle are on no path; ties of score go to the smaller leaf; repeated rows of one turn follow each other by role and text;
+below a cycle are on no path; ties of score go to the smaller leaf; of rows that repeat a message (tree and node) the least by parent,
+score, role and text counts, nulls first; repeated rows of one turn of a thread follow each other by role and text; extra columns are left out;
 an empty table gives no rows. Texts of a conversation meet in one row, as its output is one string.
 """
 
@@ -38,10 +39,17 @@ def unescape(x: Column) -> Column:
     return x
 
 
+def one_per_node(messages: DataFrame) -> DataFrame:
+    """One row per message; the tree is a struct, which is never null whatever it holds, so that joins meet a null tree too."""
+    held = [c for c in ("parent", "score", "role", "text") if c in messages.columns]
+    least = messages.groupBy(F.struct("tree").alias("tree"), "node").agg(F.min(F.struct(*held)).alias("m"))
+    return least.select("tree", "node", "m.*")
+
+
 def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """(tree, leaf, node, depth) of the ``keep`` best root-to-leaf paths of each tree of (tree, node, parent, score)."""
-    # A struct is never null, whatever it holds, so that joins meet a null tree too.
-    m = materialize(messages.select(F.struct("tree").alias("tree"), "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
+    m = one_per_node(messages.select("tree", "node", "parent", "score"))
+    m = materialize(m.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
     step = m.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
     most, rounds = m.count(), []
     while True:
@@ -73,7 +81,7 @@ def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:
     text, role = escape(F.coalesce("text", F.lit(""))), escape(F.coalesce("role", F.lit("")), role=True)
     turn = F.struct("depth", F.concat(F.lit(OPEN), role, F.lit(MIDDLE)).alias("head"), text.alias("body"), F.coalesce(F.col("role") == "assistant", F.lit(False)).alias("bears"))
     tree = F.struct("tree").alias("tree")
-    joined = paths.withColumn("tree", tree).join(messages.select(tree, "node", "role", "text"), ["tree", "node"])
+    joined = paths.withColumn("tree", tree).join(one_per_node(messages).select("tree", "node", "role", "text"), ["tree", "node"])
     gathered = joined.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     spans = F.aggregate(
         "turns",

@@ -22,7 +22,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, read
@@ -121,11 +121,11 @@ def _fly(level: int):
     return run
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """source, doc_id, th (hash of the text), size, source_size, target, copies of each row."""
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, mark: Column | None = None) -> DataFrame:
+    """source, doc_id, th (the mark, else a hash of the text), size, source_size, target, copies of each row."""
     spark = docs.sparkSession
     words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
-    sized = materialize(docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), words.alias("size")), "sizes")
+    sized = materialize(docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), (F.xxhash64("text") if mark is None else mark).alias("th"), words.alias("size")), "sizes")
     totals = {r["source"]: r["n"] for r in sized.groupBy("source").agg(F.sum("size").alias("n")).collect()}
     goals = water_fill(totals, weights, share, most)
     rows = []
@@ -163,9 +163,15 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: each document appears as often as the mix takes it."""
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.coalesce("source", F.lit("\0")).alias("_source")]
-    copies = mix(docs).select(*key, F.col("th").alias("_th"), "copies").groupBy("_id", "_source", "_th").agg(F.sum("copies").alias("_copies"))
-    keyed = docs.select("*", *key, F.xxhash64("text").alias("_th"))
-    once = keyed.join(copies.where("_copies > 0"), ["_id", "_source", "_th"]).dropDuplicates(["_id", "_source", "_th"])
-    return once.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("col")
+    """Pipeline stage: each document appears as often as the mix takes it.
+
+    Defined results: rows that differ in any column are mixed apart, equal ones appear as often as all of them are taken; a null text has no words and stays as often as its source's whole copies say;
+    a null source is one of its own; extra columns stay, whatever their names; an empty table gives no rows.
+    """
+    told = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_no"), F.coalesce("source", F.lit("\0")).alias("_source")]
+    same = ["_id", "_no", "_source", "_th"]
+    copies = mix(docs, mark=told).select(*key, F.col("th").alias("_th"), "copies").groupBy(*same).agg(F.sum("copies").alias("_copies"))
+    keyed = docs.select(F.struct("*").alias("row"), *key, told.alias("_th"))
+    once = keyed.join(copies.where("_copies > 0"), same).dropDuplicates(same)
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select("row.*")

@@ -146,18 +146,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     named = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("label"))
     chosen = named.where(fold(F.col("doc_id")) != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = materialize(chosen.withColumnRenamed("doc_id", "_doc"), "sample")
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_doc"))
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(chosen), F.col("_id") == F.col("_doc"))
     rows = rows.groupBy("_doc", "label").agg(F.max("text").alias("text"))
     table = rows.select("_doc", "label", *(c.alias(n) for n, c in statistics(F.col("text")).items())).toPandas().sort_values("_doc")
     return fit(table[list(FEATURES)].to_numpy(float), table["label"].to_numpy(float))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1) to each row."""
-    names = [f"_stat_{n}" for n in FEATURES]
+    """Adds ``score`` (0 to 1) to each row; a column of that name is replaced, all others stay, whatever their names."""
     stats = statistics(F.col(text))
-    with_stats = docs.drop("score").select("*", *(stats[n].alias(f"_stat_{n}") for n in FEATURES))
-    return with_stats.withColumn("score", model.score(names)).drop(*names)
+    # Columns of their own, not fields of a struct: each statistic is then computed once, however many rules read it.
+    names = {n: f"_stat_{n}" for n in FEATURES}
+    while set(names.values()) & set(docs.columns):
+        names = {n: f"_{c}" for n, c in names.items()}
+    with_stats = docs.drop("score").select("*", *(stats[n].alias(c) for n, c in names.items()))
+    return with_stats.withColumn("score", model.score([names[n] for n in FEATURES])).drop(*names.values())
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,6 +170,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents predicted to be of low quality go."""
+    """Pipeline stage: documents predicted to be of low quality go.
+
+    Defined results: null and empty texts are scored as empty ones; repeated rows are scored alike; a null doc_id has no label
+    but a score; extra columns stay, whatever their names (``score`` and ``label`` too); without labels every document scores 0.5
+    and stays; an empty table gives no rows.
+    """
     model = train(docs, read(spark, sf_dir, "labels"))
-    return score(docs, model).where(F.col("score") >= THRESHOLD).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    return score(rows, model).where(F.col("score") >= THRESHOLD).select("row.*")

@@ -161,11 +161,13 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: secrets are masked in place; every document stays."""
-    found = scan_history(docs, new_table(spark, "secret-ledger"))
-    clean = redact(F.coalesce("text", F.lit("")), F.col("spans"))
-    return (
-        found.withColumn("text", F.when(F.col("text").isNotNull(), clean))
-        .withColumn("n_chars", F.length("text").cast("long"))
-        .select(docs.columns)
-    )
+    """Pipeline stage: secrets are masked in place and ``n_chars`` counted anew; every document stays.
+
+    Defined results: a null text stays null with null ``n_chars``, an empty one empty; repeated rows stay each; overlapping spans
+    become one mask; extra columns stay, whatever their names (``blob`` and ``spans`` too); an empty table gives no rows.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.col("text").alias("text"))
+    found = scan_history(rows, new_table(spark, "secret-ledger"))
+    clean = found.select("row", F.when(F.col("text").isNotNull(), redact(F.col("text"), F.col("spans"))).alias("text"))
+    changed = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return clean.select(*(changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))

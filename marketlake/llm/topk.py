@@ -10,7 +10,7 @@ its own kth value, since the global kth cannot lie lower.
 
 Defined results: vectors that are null or hold null or non-finite components take no part, as query or candidate; of vectors of
 unequal lengths, missing components count as 0; fewer than k candidates are all returned; rows that repeat an id are
-candidates each, but not of a query of that id.
+candidates each, but not of a query of that id, and one query: the least of their vectors, component by component; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -105,6 +105,7 @@ def _best(ids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int):
 def top_k(queries: DataFrame, candidates: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates (id, q) of each query (id, q), its own id left out."""
     spark = queries.sparkSession
+    queries = materialize(queries.groupBy("id").agg(F.min("q").alias("q")), "queries")
     n_queries = queries.count()
     parts = [_block(spark, queries, candidates, k)] if 0 < n_queries <= BLOCK else []
     if n_queries > BLOCK:
@@ -157,10 +158,10 @@ OP4_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
+), u AS (SELECT vec_id, min(q) AS q FROM v WHERE vec_id % 50 = 0 GROUP BY vec_id), s AS (
   SELECT a.vec_id AS query_id, b.vec_id,
     CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0
+  FROM u a JOIN v b ON a.vec_id <> b.vec_id
 ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 5
 """

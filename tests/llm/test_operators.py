@@ -134,16 +134,17 @@ def test_substring_dedup_in_repetitive_texts(spark):
 def test_topk(spark):
     rnd = random.Random(5)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(120)] + [(i, [0.5] * 8) for i in range(120, 150)]
-    rows += [(200, None), (250, [float("nan")] * 8), (300, [1.0, None] * 4), (350, [0.25] * 8), (400, [0.5] * 5), (400, [0.5] * 5)]
+    rows += [(200, None), (250, [float("nan")] * 8), (300, [1.0, None] * 4), (350, [0.25] * 8), (400, [0.5] * 5), (400, [0.5] * 5), (450, [0.1] * 8), (450, [0.9] * 8)]
     q = topk.quantized(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", 256)
     got = sorted(tuple(r) for r in topk.top_k(q.where("id % 50 = 0"), q, 5).collect())
     whole = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v)]
     want = set()
     for i, v in whole:
         if i % 50 == 0:
-            scored = sorted((-sum(a * b for a, b in zip(v, u)), j) for j, u in whole if j != i)[:5]
+            first = min(u for j, u in whole if j == i)
+            scored = sorted((-sum(a * b for a, b in zip(first, u)), j) for j, u in whole if j != i)[:5]
             want |= {(i, n + 1, j, -s) for n, (s, j) in enumerate(scored)}
-    assert {g for g in got if g[0] != 400} == {w for w in want if w[0] != 400}
+    assert len(got) == len(set(got)) and set(got) == want
     assert topk.top_k(q.where("false"), q, 5).count() == 0
     assert [r["rank"] for r in topk.top_k(q.where("id = 0"), q.where("id < 3"), 5).collect()] == [1, 2]
 
@@ -382,6 +383,8 @@ def test_reply_trees(spark):
         paths[r["leaf"]].append(r["node"])
     assert dict(paths) == {3: [0, 1, 3], 5: [0, 2, 4, 5], 6: [6]}
     assert {r["leaf"] for r in chat.best_paths(m, keep=1).collect()} == {6}
+    twice = sorted((r["leaf"], r["depth"], r["node"]) for r in chat.best_paths(m.unionByName(m).unionByName(m.withColumn("score", F.lit(99.0))), keep=9).collect())
+    assert twice == sorted((leaf, i + 1, n) for leaf, p in paths.items() for i, n in enumerate(p))
     deep = spark.createDataFrame([(1, n, n - 1 if n else None, 1.0) for n in range(100)], "tree long, node long, parent long, score double")
     assert sorted(r["node"] for r in chat.best_paths(deep).collect()) == list(range(100))
 
