@@ -43,9 +43,9 @@ def event_type(text: Column, keywords: tuple[tuple[str, str], ...] = EVENT_TYPES
 
 
 def related_symbols(raw: Column) -> Column:
-    """Upper-cased symbols of a list split at ; and , ; anything else in it is dropped."""
+    """Upper-cased symbols of a list split at ; and , ; anything else in it, other exchanges too, is dropped."""
     parts = F.transform(F.split(F.coalesce(raw, F.lit("")), "[;,]"), lambda s: F.upper(F.trim(s)))
-    return F.filter(parts, lambda s: s.rlike(r"^[0-9]{6}\.(SH|SZ|BJ)$"))
+    return F.filter(parts, lambda s: s.rlike(r"^[0-9]{6}\.(SH|SZ)$"))
 
 
 def sector_name(name: Column) -> Column:

@@ -45,11 +45,15 @@ def _forward(bars: DataFrame, factors: DataFrame, anchor: DataFrame, strict: boo
     return scaled(adjusted.withColumn("qfq_factor", ratio), "qfq_factor").drop("anchor")
 
 
+def forward_in_scope(bars: DataFrame, factors: DataFrame, strict: bool = False) -> DataFrame:
+    """Anchor (a) over frames that are limited to the window already."""
+    return _forward(bars, factors, anchors(bars, factors), strict)
+
+
 def qfq_in_scope(bars: DataFrame, factors: DataFrame, start, end, strict: bool = False) -> DataFrame:
     """Anchor (a): bars and factors both limited to the window."""
     inside = F.col("trade_date").between(F.lit(start), F.lit(end))
-    b, f = bars.where(inside), factors.where(inside)
-    return _forward(b, f, anchors(b, f), strict)
+    return forward_in_scope(bars.where(inside), factors.where(inside), strict)
 
 
 def qfq_whole_lake(bars: DataFrame, factors: DataFrame) -> DataFrame:

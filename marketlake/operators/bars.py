@@ -23,6 +23,14 @@ def period_bars(bars: DataFrame, period: str) -> DataFrame:
     )
 
 
+def period_page(bars: DataFrame, period: str, cursor=None, limit: int = 100) -> DataFrame:
+    """One symbol's weekly or monthly bars after ``cursor`` (a period start), and one more to tell whether others follow; adjusted prices where they are there."""
+    prices = [c for c in ("open", "high", "low", "close") if f"adj_{c}" in bars.columns]
+    whole = period_bars(bars.withColumns({c: F.col(f"adj_{c}") for c in prices}), period)
+    after = whole if cursor is None else whole.where(F.col("period_start") > F.lit(cursor).cast("date"))
+    return after.orderBy("period_start").limit(limit + 1)
+
+
 def upsample(bars: DataFrame, minutes: int) -> DataFrame:
     """Right-closed intraday windows labelled by their end."""
     end = F.window(F.col("bar_time") - F.expr("INTERVAL '1' MICROSECOND"), f"{minutes} minutes").end

@@ -15,7 +15,7 @@ from ..functions.text import board_to_bk, event_type, keyword_sentiment, mention
 from ..operators.adjust import with_hfq
 from ..operators.asof import asof_step, expand_closed_open, expand_open, expected_sessions, latest_snapshot, members_as_of
 from ..operators.bars import previous_session, session_returns, spans, tail
-from ..operators.canonical import first_by
+from ..operators.canonical import canonical, first_by
 from ..operators.universe import ever_traded
 
 BREADTH = ("advance_count", "decline_count", "flat_count", "limit_up_count", "limit_down_count", "advance_ratio", "total_count")
@@ -84,9 +84,9 @@ def suspension_history(bars: DataFrame, sessions: DataFrame, instruments: DataFr
 
 
 def regulatory_events(announcements: DataFrame, keywords: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
-    """Announcements that carry a keyword, typed by the first one."""
+    """Announcements (one row per id) that carry a keyword, typed by the first one."""
     kw = (keywords,) if keywords else ()
-    whole = announcements.where("title IS NOT NULL AND announcement_id IS NOT NULL AND symbol IS NOT NULL")
+    whole = canonical(announcements, ["announcement_id"]).where("title IS NOT NULL AND announcement_id IS NOT NULL AND symbol IS NOT NULL")
     hits = whole.where(mentions(F.col("title"), *kw)).select(
         F.concat(F.lit("reg-"), "announcement_id").alias("event_id"), "symbol", F.col("announce_date").alias("event_date"), event_type(F.col("title"), *kw).alias("event_type"), "title"
     )
@@ -94,7 +94,8 @@ def regulatory_events(announcements: DataFrame, keywords: tuple[tuple[str, str],
 
 
 def sentiment_scores(announcements: DataFrame, headlines: DataFrame, positive: dict[str, float] | None = None, negative: dict[str, float] | None = None) -> DataFrame:
-    """Mean keyword score and number of headlines per symbol, day and channel."""
+    """Mean keyword score and number of headlines per symbol, day and channel; one row per announcement and headline."""
+    announcements, headlines = canonical(announcements, ["announcement_id"]), canonical(headlines, ["news_id"])
     lexicon = () if positive is None else (positive, negative or {})
     score = lambda c: keyword_sentiment(F.col(c), *lexicon)
     a = announcements.select("symbol", F.col("announce_date").alias("trade_date"), F.lit("announcement").alias("score_channel"), score("title").alias("s"))

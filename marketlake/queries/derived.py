@@ -79,7 +79,7 @@ def _(fx):
 @query("d7_sentiment_scores", "announcements headlines", f"""
 WITH a AS (SELECT symbol, announce_date AS trade_date, 'announcement' AS score_channel, {_sentiment_sql('title')} AS s FROM announcements),
 h AS (SELECT upper(trim(u.x)) AS symbol, publish_date AS trade_date, 'news' AS score_channel, {_sentiment_sql('title')} AS s FROM headlines, unnest(regexp_split_to_array(related_symbols, '[;,]')) u(x))
-SELECT symbol, trade_date, score_channel, round(avg(s), 8) AS sentiment_score, count(*) AS headline_count FROM (SELECT * FROM a UNION ALL SELECT * FROM h WHERE regexp_full_match(symbol, '[0-9]{{6}}\\.(SH|SZ|BJ)')) x GROUP BY 1, 2, 3""")
+SELECT symbol, trade_date, score_channel, round(avg(s), 8) AS sentiment_score, count(*) AS headline_count FROM (SELECT * FROM a UNION ALL SELECT * FROM h WHERE regexp_full_match(symbol, '[0-9]{{6}}\\.(SH|SZ)')) x GROUP BY 1, 2, 3""")
 def _(fx):
     return D.sentiment_scores(fx("announcements"), fx("headlines"), POSITIVE, NEGATIVE).withColumn("sentiment_score", F.round("sentiment_score", 8))
 

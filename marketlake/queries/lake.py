@@ -134,7 +134,7 @@ def _(fx):
     return fx("announcements").select("announcement_id", F.round(T.keyword_sentiment(F.col("title"), POSITIVE, NEGATIVE), 9).alias("score"))
 
 
-@query("f11_related_symbols", "headlines", "SELECT news_id, upper(trim(u.x)) AS symbol FROM headlines, unnest(regexp_split_to_array(related_symbols, '[;,]')) u(x) WHERE regexp_full_match(upper(trim(u.x)), '[0-9]{6}\\.(SH|SZ|BJ)')")
+@query("f11_related_symbols", "headlines", "SELECT news_id, upper(trim(u.x)) AS symbol FROM headlines, unnest(regexp_split_to_array(related_symbols, '[;,]')) u(x) WHERE regexp_full_match(upper(trim(u.x)), '[0-9]{6}\\.(SH|SZ)')")
 def _(fx):
     return fx("headlines").select("news_id", F.explode(T.related_symbols(F.col("related_symbols"))).alias("symbol"))
 
@@ -146,7 +146,8 @@ def _(fx):
     return fx("bars").join(a, KEY).select(*KEY, "action_type", ref.alias("reference"))
 
 
-@query("f16_revision_id", "facts")
+@query("f16_revision_id", "facts", """SELECT symbol, report_period, data_version,
+  sha256(CAST(to_json({'announce_date': announce_date, 'item_code': item_code, 'item_value': item_value, 'report_period': report_period, 'symbol': symbol}) AS VARCHAR)) AS revision_id FROM facts""")
 def _(fx):
     return fx("facts").select("symbol", "report_period", "data_version", M.revision_id(["symbol", "report_period", "item_code", "item_value", "announce_date"]).alias("revision_id"))
 

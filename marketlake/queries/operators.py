@@ -171,7 +171,7 @@ def _(fx):
     return asof.with_neighbours(fx("sessions").select("trade_date"))
 
 
-@query("j23_ever_traded", "bars_raw", "SELECT symbol, trade_date, source, volume FROM bars_raw WHERE symbol IN (SELECT symbol FROM bars_raw WHERE volume > 0 OR volume IS NULL)")
+@query("j23_ever_traded", "bars_raw", "SELECT symbol, trade_date, source, volume FROM bars_raw SEMI JOIN (SELECT DISTINCT symbol FROM bars_raw WHERE volume > 0 OR volume IS NULL) t USING (symbol)")
 def _(fx):
     return universe.ever_traded(fx("bars_raw")).select(*KEY, "source", "volume")
 

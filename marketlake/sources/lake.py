@@ -6,6 +6,7 @@ never replaces the real date column. Generations lie under ``gen=N`` and a manif
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.market import partition_value
 from ..operators.canonical import business_digest, canonical, upsert
+from ..registry import Dataset
 
 
 def _fs(spark: SparkSession, path: str):
@@ -44,26 +46,53 @@ def overlaps(label, start: str | None, end: str | None):
     return out & (first <= end) if end else out
 
 
-def scan(spark: SparkSession, root: str, day: str | None = None, start: date | str | None = None, end: date | str | None = None, symbols: list[str] | None = None) -> DataFrame:
-    """A lazy pruned scan: directories by label, then rows by the real date and symbol (pushed to Parquet). Old and new file schemas are merged."""
-    df = spark.read.option("mergeSchema", True).parquet(root)
+def scan(
+    spark: SparkSession, root: str, day: str | None = None, start: date | str | None = None, end: date | str | None = None, symbols: list[str] | None = None, contract: Dataset | None = None
+) -> DataFrame:
+    """A lazy pruned scan: directories by label, then rows by the real date and symbol (pushed to Parquet).
+
+    With a contract its columns are read and older files give null for those they lack; without one, the schemas of all
+    files are merged, which reads every footer.
+    """
     label = f"p_{day}" if day else None
+    if contract is not None:
+        df = spark.read.schema(contract.schema.add(label, "string") if label else contract.schema).parquet(root)
+    else:
+        df = spark.read.option("mergeSchema", True).parquet(root)
     start, end = (str(x) if x is not None else None for x in (start, end))
     if label in df.columns:
         df = df.where(overlaps(F.col(label).cast("string"), start, end))
-    if day and start:
-        df = df.where(F.col(day) >= F.lit(start).cast("date"))
-    if day and end:
-        df = df.where(F.col(day) <= F.lit(end).cast("date"))
-    if symbols is not None:
-        df = df.where(F.col("symbol").isin(*symbols)) if len(symbols) <= 1000 else df.join(spark.createDataFrame([(s,) for s in symbols], "symbol string"), "symbol", "left_semi")
+    df = narrowed(df, day, start, end, symbols)
     return df.drop(label) if label in df.columns else df
 
 
+def narrowed(df: DataFrame, day: str | None, start, end, symbols: list[str] | None) -> DataFrame:
+    """Rows of a date range and of symbols, where the columns are there."""
+    kind = dict(df.dtypes).get(day)
+    bound = lambda x: F.lit(str(x)).cast("date") if kind != "string" else F.lit(quarter_of(x))
+    if kind and start is not None:
+        df = df.where(F.col(day) >= bound(start))
+    if kind and end is not None:
+        df = df.where(F.col(day) <= bound(end))
+    if symbols is not None and "symbol" in df.columns:
+        df = df.where(F.col("symbol").isin(*symbols)) if len(symbols) <= 1000 else df.join(df.sparkSession.createDataFrame([(s,) for s in symbols], "symbol string"), "symbol", "left_semi")
+    return df
+
+
+def quarter_of(day: date | str) -> str:
+    year, month = str(day)[:4], int(str(day)[5:7])
+    return f"{year}Q{(month + 2) // 3}"
+
+
+#: Tasks that write one partition label, so that a year of minute bars is not one task.
+WRITERS = 8
+
+
 def write_partitions(df: DataFrame, root: str, day: str, granularity: str) -> None:
-    """Overwrites the partitions that ``df`` touches and no others."""
+    """Overwrites the partitions that ``df`` touches and no others. Each label is written by up to ``WRITERS`` tasks, dealt by symbol."""
     labelled = df.withColumn(f"p_{day}", partition_value(F.col(day), granularity))
-    labelled.repartition(f"p_{day}").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(f"p_{day}").parquet(root)
+    dealt = [F.pmod(F.xxhash64("symbol"), F.lit(WRITERS))] if "symbol" in df.columns and granularity in ("year", "quarter", "month") else []
+    labelled.repartition(f"p_{day}", *dealt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(f"p_{day}").parquet(root)
 
 
 def compact(spark: SparkSession, staged: DataFrame, root: str, key: list[str], day: str, granularity: str, **sources) -> bool:
@@ -76,9 +105,9 @@ def compact(spark: SparkSession, staged: DataFrame, root: str, key: list[str], d
     merged = upsert(stored, staged, key, **sources).select(stored.columns)
     if business_digest(merged).first() == business_digest(stored).first():
         return False
-    # Spark does not overwrite what a plan reads: the merged rows are written beside the table first.
-    aside = f"{root.rstrip('/')}_merge"
-    merged.write.mode("overwrite").parquet(aside)
+    # Spark does not overwrite what a plan reads: the merged rows are written beside the table first, in a folder of this call.
+    aside = f"{root.rstrip('/')}_merge_{uuid.uuid4().hex}"
+    merged.write.parquet(aside)
     write_partitions(spark.read.parquet(aside), root, day, granularity)
     fs, p = _fs(spark, aside)
     fs.delete(p, True)
@@ -193,6 +222,6 @@ def register_views(frames: dict[str, DataFrame]) -> None:
 
 
 def run_sql(spark: SparkSession, text: str, limit: int | None = None) -> tuple[DataFrame, int]:
-    """Free SQL over the registered views, with the honest total."""
+    """Free SQL over the registered views, with the honest total; counting runs the query once more."""
     df = spark.sql(text)
     return (df if limit is None else df.limit(limit)), df.count()
