@@ -102,6 +102,29 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class WideWordHashes(dict):
+    """Remembers two 64-bit hashes of each word (one 128-bit hash), so that two words would have to collide in both."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.halves = np.zeros((2, 1 << 12), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        place = self[word] = len(self)
+        if place >= self.halves.shape[1]:
+            self.halves = np.concatenate((self.halves, np.zeros_like(self.halves)), axis=1)
+        h = xxhash.xxh3_128_intdigest(word)
+        self.halves[0, place], self.halves[1, place] = h & 0xFFFFFFFFFFFFFFFF, h >> 64
+        return place
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        """2 x words."""
+        if len(self) >= WORD_CACHE:
+            self.clear()
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return self.halves[:, at]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer (multiply and xor-shift), vectorized."""
     with np.errstate(over="ignore"):

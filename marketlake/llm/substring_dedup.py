@@ -23,21 +23,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHashes, drop_table, materialize, mix, read, small_batches, text_bytes
+from .common import WideWordHashes, drop_table, materialize, mix, read, small_batches, steps, text_bytes
 
 WINDOW, ROUNDS = 50, 3
 _Q = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 
 class RangeHashes:
-    """128-bit names of word ranges, from prefix sums of word hashes times powers."""
+    """128-bit names of word ranges, from prefix sums of each half of the words' hashes times powers."""
 
     def __init__(self) -> None:
         self.size = 0
 
-    def load(self, words: np.ndarray) -> None:
-        if len(words) > self.size:
-            self.size = max(len(words), 2 * self.size)
+    def load(self, halves: np.ndarray) -> None:
+        n = halves.shape[1]
+        if n > self.size:
+            self.size = max(n, 2 * self.size)
             self.powers = []
             for q in _Q:
                 inverse = np.uint64(pow(int(q), -1, 1 << 64))
@@ -47,7 +48,7 @@ class RangeHashes:
                     p[0] = 1
                     rows.append(np.multiply.accumulate(p))
                 self.powers.append(rows)
-        self.sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[: len(words)]))) for up, _ in self.powers]
+        self.sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:n]))) for words, (up, _) in zip(halves, self.powers)]
 
     def of(self, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
         return [mix((s[end] - s[start]) * down[start]) for s, (_, down) in zip(self.sums, self.powers)]
@@ -154,7 +155,7 @@ _SEGMENT = "anchor long, h1 long, h2 long, _id long, _th long, start int, n int"
 _WINDOW = "h1 long, h2 long, _id long, _th long, start int"
 
 
-def _words_of(batch: pa.RecordBatch, cache: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+def _words_of(batch: pa.RecordBatch, cache: WideWordHashes) -> tuple[np.ndarray, np.ndarray]:
     split = [b.split() for b in text_bytes(batch.column("text"))]
     sizes = np.fromiter(map(len, split), np.int64, len(split))
     return cache.of([w for doc in split for w in doc]), sizes
@@ -162,11 +163,11 @@ def _words_of(batch: pa.RecordBatch, cache: WordHashes) -> tuple[np.ndarray, np.
 
 def _segments(window: int, rounds: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, ranges = WordHashes(), RangeHashes()
+        cache, ranges = WideWordHashes(), RangeHashes()
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in steps(batches):
                 words, sizes = _words_of(batch, cache)
-                starts, names, places = anchors(words, sizes, window, rounds)
+                starts, names, places = anchors(words[0], sizes, window, rounds)
                 if not len(starts):
                     continue
                 doc_start = np.cumsum(sizes) - sizes
@@ -195,9 +196,9 @@ def _segments(window: int, rounds: int):
 
 def _windows(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, ranges = WordHashes(), RangeHashes()
+        cache, ranges = WideWordHashes(), RangeHashes()
         with np.errstate(over="ignore"):
-            for batch in batches:
+            for batch in steps(batches):
                 words, sizes = _words_of(batch, cache)
                 base = np.cumsum(sizes) - sizes
                 pieces, docs = [], []
@@ -261,11 +262,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS
     drop_table(candidates)
     per_doc = [F.collect_list("start").alias("starts"), F.collect_list("n").alias("ns")]
     whole = judged.where("_id > origin").select("_id", "_th", "start", "n")
-    unclear = judged.where("_id = origin and several").groupBy("_id", "_th").agg(*per_doc)
+    # Rows that repeat a document (all without id, say) give equal segments; each is gathered once.
+    unclear = judged.where("_id = origin and several").select("_id", "_th", "start", "n").distinct().groupBy("_id", "_th").agg(*per_doc)
     windows = materialize(docs.join(unclear, ["_id", "_th"]).mapInArrow(_windows(window), _WINDOW), "windows")
     origins = windows.groupBy("h1", "h2").agg(F.min("_id").alias("origin"), F.max("_id").alias("latest")).where("origin < latest")
     parts = windows.join(materialize(origins, "origins"), ["h1", "h2"]).where("_id > origin").select("_id", "_th", "start", F.lit(1).alias("n"))
-    ranges = whole.unionByName(parts).groupBy("_id", "_th").agg(*per_doc)
+    ranges = whole.unionByName(parts).distinct().groupBy("_id", "_th").agg(*per_doc)
     done = docs.join(ranges, ["_id", "_th"], "left").select("_id", "text", "starts", "ns")
     kept = done.mapInArrow(_remove(window), "_id long, n_words long, n_removed long, kept string")
     return kept.select(F.when(F.col("_id") != NO_ID, F.col("_id")).alias("doc_id"), "n_words", "n_removed", "kept")
