@@ -100,6 +100,9 @@ FIXTURES: dict[str, str] = {
         concat({symbol_sql("conv_id % 100")}, '; ', lower({symbol_sql("(conv_id + 7) % 100")}), ',bad') AS related_symbols, role AS channel FROM {{conversations}}""",
     "backup_bars": """
       SELECT symbol, trade_date, open, high, low, CASE WHEN volume % 19 = 0 THEN close * 1.02 WHEN volume % 29 = 0 THEN CAST(NULL AS DOUBLE) ELSE close END AS close, volume, amount FROM bars WHERE volume > 2""",
+    "thinned_bars": "SELECT * FROM bars WHERE volume > 20 OR month(trade_date) % 2 = 0",
+    "large_bars": "SELECT * FROM bars WHERE volume > 30",
+    "holed_ticks": "SELECT * FROM ticks WHERE direction <> 'neutral' OR tick_seq > 20",
     "valuations": """
       SELECT symbol, trade_date, close / 3 AS pe_ttm, close * 1000 AS total_mv FROM bars WHERE volume > 12
       UNION ALL SELECT concat('99', substring(symbol, 3, 7)), trade_date, close, close FROM bars WHERE volume > 45""",

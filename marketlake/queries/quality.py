@@ -21,11 +21,20 @@ def _(fx):
     return Q.contract_violations(fx("bars_raw"), ["symbol", "amount"])
 
 
-@query("q4_row_mutation", "bars", """
-WITH p AS (SELECT strftime(trade_date, '%Y-%m') AS period, count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols FROM bars WHERE volume > 20 OR month(trade_date) % 2 = 0 GROUP BY 1),
-l AS (SELECT *, lag(n_rows) OVER (ORDER BY period) AS prev_rows, lag(n_symbols) OVER (ORDER BY period) AS prev_symbols FROM p) SELECT * FROM l WHERE prev_rows >= 50 AND (n_rows < 0.8 * prev_rows OR n_symbols < 0.8 * prev_symbols)""")
+def _mutation_sql(rows: str) -> str:
+    return f"""
+WITH p AS (SELECT strftime(trade_date, '%Y-%m') AS period, count(*) AS n_rows, count(DISTINCT symbol) AS n_symbols FROM {rows} GROUP BY 1),
+l AS (SELECT *, lag(n_rows) OVER (ORDER BY period) AS prev_rows, lag(n_symbols) OVER (ORDER BY period) AS prev_symbols FROM p) SELECT * FROM l WHERE prev_rows >= 50 AND (n_rows < 0.8 * prev_rows OR n_symbols < 0.8 * prev_symbols)"""
+
+
+@query("q4_row_mutation", "bars", _mutation_sql("bars"))
+def _(fx):
+    return Q.row_mutation(fx("bars"), F.date_format("trade_date", "yyyy-MM"), ratio=0.8)
+
+
+@query("q4_row_mutation_planted", "thinned_bars", _mutation_sql("thinned_bars"))
 def _(fx):
-    return Q.row_mutation(fx("bars").where("volume > 20 OR month(trade_date) % 2 = 0"), F.date_format("trade_date", "yyyy-MM"), ratio=0.8)
+    return Q.row_mutation(fx("thinned_bars"), F.date_format("trade_date", "yyyy-MM"), ratio=0.8)
 
 
 @query("q5_fragmentation", "bars", """
@@ -34,11 +43,18 @@ def _(fx):
     return Q.fragmentation(fx("bars").groupBy(F.substring_index("symbol", ".", -1).alias("dataset"), F.col("trade_date").alias("partition")).agg(F.count("*").alias("n_rows")))
 
 
-@query("q6_calendar_mismatch", "bars sessions", """
-SELECT DISTINCT b.trade_date, 'orphan' AS problem FROM bars b ANTI JOIN sessions s ON b.trade_date = s.trade_date UNION ALL SELECT s.trade_date, 'missing_day' FROM sessions s ANTI JOIN (SELECT * FROM bars WHERE volume > 30) b ON b.trade_date = s.trade_date""")
+def _mismatch_sql(rows: str) -> str:
+    return f"SELECT DISTINCT b.trade_date, 'orphan' AS problem FROM {rows} b ANTI JOIN sessions s ON b.trade_date = s.trade_date UNION ALL SELECT s.trade_date, 'missing_day' FROM sessions s ANTI JOIN {rows} b ON b.trade_date = s.trade_date"
+
+
+@query("q6_calendar_mismatch", "bars sessions", _mismatch_sql("bars"))
+def _(fx):
+    return Q.calendar_mismatch(fx("bars"), fx("sessions"))
+
+
+@query("q6_calendar_mismatch_planted", "large_bars sessions", _mismatch_sql("large_bars"))
 def _(fx):
-    orphans = Q.calendar_mismatch(fx("bars"), fx("sessions")).where("problem = 'orphan'")
-    return orphans.unionByName(Q.calendar_mismatch(fx("bars").where("volume > 30"), fx("sessions")).where("problem = 'missing_day'"))
+    return Q.calendar_mismatch(fx("large_bars"), fx("sessions"))
 
 
 @query("q7_calendar_horizon", "calendar", "SELECT trade_date FROM calendar WHERE trade_date > DATE '2001-06-30'")
@@ -110,10 +126,19 @@ def _(fx):
     return out.select("symbol", "trade_date", F.round("actual", 9).alias("actual"), F.round("expected", 9).alias("expected"), "degenerate")
 
 
-@query("q15_survivorship", "bars instruments", """
-WITH l AS (SELECT symbol, max(trade_date) AS last_bar FROM bars WHERE volume > 35 GROUP BY 1) SELECT l.symbol, l.last_bar, i.delist_date IS NULL AS undated FROM l LEFT JOIN instruments i ON l.symbol = i.symbol WHERE date_diff('day', l.last_bar, (SELECT max(trade_date) FROM bars WHERE volume > 35)) > 5""")
+def _survivor_sql(rows: str) -> str:
+    return f"""
+WITH l AS (SELECT symbol, max(trade_date) AS last_bar FROM {rows} GROUP BY 1) SELECT l.symbol, l.last_bar, i.delist_date IS NULL AS undated FROM l LEFT JOIN instruments i ON l.symbol = i.symbol WHERE date_diff('day', l.last_bar, (SELECT max(trade_date) FROM {rows})) > 5"""
+
+
+@query("q15_survivorship", "bars instruments", _survivor_sql("bars"))
+def _(fx):
+    return Q.survivorship(fx("bars"), fx("instruments"), quiet_days=5)
+
+
+@query("q15_survivorship_planted", "large_bars instruments", _survivor_sql("large_bars"))
 def _(fx):
-    return Q.survivorship(fx("bars").where("volume > 35"), fx("instruments"), quiet_days=5)
+    return Q.survivorship(fx("large_bars"), fx("instruments"), quiet_days=5)
 
 
 @query("q16_close_mismatch", "bars backup_bars", """
@@ -160,9 +185,18 @@ def _(fx):
     return out.select("trade_date", F.round("volume_ratio", 9).alias("volume_ratio"), F.round("amount_ratio", 6).alias("amount_ratio"), "n")
 
 
-@query("q23_tick_sequence_gaps", "ticks", "WITH t AS (SELECT * FROM ticks WHERE direction <> 'neutral' OR tick_seq > 20) SELECT symbol, trade_date, min(tick_seq) AS lo, max(tick_seq) AS hi, count(*) AS n, count(DISTINCT tick_seq) AS n_distinct FROM t GROUP BY 1, 2 HAVING lo <> 0 OR hi <> n - 1 OR n_distinct <> n")
+def _gaps_sql(rows: str) -> str:
+    return f"SELECT symbol, trade_date, min(tick_seq) AS lo, max(tick_seq) AS hi, count(*) AS n, count(DISTINCT tick_seq) AS n_distinct FROM {rows} GROUP BY 1, 2 HAVING lo <> 0 OR hi <> n - 1 OR n_distinct <> n"
+
+
+@query("q23_tick_sequence_gaps", "ticks", _gaps_sql("ticks"))
+def _(fx):
+    return Q.tick_sequence_gaps(fx("ticks"))
+
+
+@query("q23_tick_sequence_gaps_planted", "holed_ticks", _gaps_sql("holed_ticks"))
 def _(fx):
-    return Q.tick_sequence_gaps(fx("ticks").where("direction <> 'neutral' OR tick_seq > 20"))
+    return Q.tick_sequence_gaps(fx("holed_ticks"))
 
 
 _T = "strftime(trade_time, '%H:%M:%S')"
