@@ -58,11 +58,63 @@ def test_media(spark, docs, empty):
 def test_media_frames_decode_as_baseline_jpeg():
     samples = np.random.default_rng(1).integers(0, 256, (3, 192)).astype(np.uint8)
     scans = media.frames_to_scans(samples)
-    assert (media.scans_to_frames(scans) == samples).all()
+    jpegs = [media.HEADER + s + b"\xff\xd9" for s in scans]
+    assert (media.decode_frames(jpegs) == samples).all()
     plane = media.decode_jpeg(media.HEADER + scans[0] + b"\xff\xd9")
     assert plane.shape == (96, 128) and (plane[::8, ::8].ravel() == samples[0]).all() and (plane[7::8, 7::8].ravel() == samples[0]).all()
 
 
+def ac_frame(levels):
+    """A frame of the standard's tables, without a DHT segment: blocks of a DC term and one AC term (run 0, size 1)."""
+    sof, dqt = media.struct.pack(">BHHB3B", 8, 8, 8 * len(levels), 1, 1, 0x11, 0), bytes([0, 1] + [100] * 63)
+    head = b"\xff\xd8" + media._segment(0xDB, dqt) + media._segment(0xC0, sof) + media._segment(0xDA, bytes([1, 1, 0x00, 0, 63, 0]))
+    codes, ac = {s: (n, c) for (n, c), s in media._huffman(*media.DEFAULT_TABLES[0]).items()}, {s: (n, c) for (n, c), s in media._huffman(*media.DEFAULT_TABLES[0x10]).items()}
+    bits, last = "", 0
+    for level, wave in levels:
+        d, last = level - last, level
+        size = abs(d).bit_length()
+        n, c = codes[size]
+        bits += f"{c:0{n}b}" + (f"{d if d > 0 else d + (1 << size) - 1:0{size}b}" if size else "")
+        if wave:
+            bits += f"{ac[1][1]:0{ac[1][0]}b}1"
+        bits += f"{ac[0][1]:0{ac[0][0]}b}"
+    bits += "1" * (-len(bits) % 8)
+    return head + int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") + b"\xff\xd9"
+
+
+def test_media_decodes_the_default_tables():
+    assert all(sum(n) == len(s) == len(set(s)) for n, s in media.DEFAULT_TABLES.values())
+    flat, waved = ac_frame([(80, False), (-400, False), (8, False)]), ac_frame([(80, False), (-400, True), (8, False)])
+    assert media.decode_frames([flat, waved, flat]).tolist() == [[138, 78, 129]] * 3
+    plane = media.decode_jpeg(waved)
+    assert plane.shape == (8, 24) and len(set(plane[0, 8:16].tolist())) > 1 and set(plane[:, :8].ravel().tolist()) == {138}
+
+
+def test_media_indexes():
+    jpegs = [media.HEADER + s + b"\xff\xd9" for s in media.frames_to_scans(np.random.default_rng(2).integers(0, 256, (6, 192)).astype(np.uint8))]
+    avi = media.write_avi(jpegs)
+    assert media.parse_avi(avi)[0] == jpegs
+    at = avi.index(b"idx1")
+    assert media.parse_avi(avi[:at])[0] == jpegs
+    hdrl = avi[12 : avi.index(b"LIST", avi.index(b"strf")) if b"LIST" in avi[avi.index(b"strf") :] else None]
+    bodies = [media._chunk(b"00dc", j) for j in jpegs]
+    rec = media._chunk(b"LIST", b"rec " + b"".join(bodies[:2]))
+    first = media._chunk(b"RIFF", b"AVI " + hdrl + media._chunk(b"LIST", b"movi" + rec + bodies[2]))
+    second = media._chunk(b"RIFF", b"AVIX" + media._chunk(b"LIST", b"movi" + b"".join(bodies[3:])))
+    assert media.parse_avi(first + second)[0] == jpegs
+    # OpenDML: the super index of the stream header names standard indexes, here in reverse order.
+    pack = media.struct.pack
+    strl = media._chunk(b"LIST", b"strl" + media._chunk(b"indx", pack("<HBBI4s12x", 4, 0, 0, 1, b"00dc") + pack("<QII", 0, 0, 0)))
+    head = media._chunk(b"LIST", b"hdrl" + media._chunk(b"avih", pack("<14I", 40000, *[0] * 13)) + strl)
+    start = 12 + len(head) + 12
+    places = np.cumsum([0, *map(len, bodies)])[:-1] + start + 8
+    ix = media._chunk(b"ix00", pack("<HBBI4sQ4x", 2, 0, 1, 6, b"00dc", 0) + b"".join(pack("<II", int(p), len(j)) for p, j in list(zip(places, jpegs))[::-1]))
+    where = start + sum(map(len, bodies))
+    head = head[:-16] + pack("<QII", where, len(ix), 6)
+    odml = media._chunk(b"RIFF", b"AVI " + head + media._chunk(b"LIST", b"movi" + b"".join(bodies) + ix))
+    assert media.parse_avi(odml) == (jpegs[::-1], 25.0)
+
+
 def test_media_finds_shots():
     dark, light = np.full((10, 192), 20, np.uint8), np.full((10, 192), 200, np.uint8)
     assert media.find_cuts(np.concatenate((dark, light, dark))) == [10, 20]
