@@ -84,10 +84,14 @@ def spans(bars: DataFrame) -> DataFrame:
 
 
 def previous_session(bars: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Traded bars with the close of the previous calendar session (a placeholder's counts)."""
-    today = bars.where(traded()).join(F.broadcast(sessions.select("trade_date", "prev_date")), "trade_date")
-    before = bars.select("symbol", F.col("trade_date").alias("prev_date"), F.col("close").alias("prev_close"))
-    return today.join(before, ["symbol", "prev_date"])
+    """Traded bars with the close of the previous calendar session (a placeholder's counts); bars are one row per symbol and day.
+
+    Only bars of sessions stay, so the previous bar of a symbol is that of the previous session if it has one: one window, no self-join.
+    """
+    w = by_symbol()
+    inside = bars.join(F.broadcast(sessions.select("trade_date", "prev_date")), "trade_date")
+    lagged = inside.select("*", F.lag("trade_date").over(w).alias("_before"), F.lag("close").over(w).alias("prev_close"))
+    return lagged.where(traded() & (F.col("_before") == F.col("prev_date"))).drop("_before")
 
 
 def contiguous_prefix(expected: DataFrame, present: DataFrame, key: list[str], day: str = "trade_date") -> DataFrame:

@@ -8,15 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.market import industry_level, safe_turnover, traded
-from ..functions.symbols import LEGACY_ST, in_universe, is_etf, is_placeholder_name, limit_threshold, risk_warned
+from ..functions.symbols import LEGACY_ST, is_cdr, is_etf, is_placeholder_name, limit_threshold, risk_warned
 from ..functions.symbols import code as code_of
 from ..functions.symbols import exchange as exchange_of
 from ..functions.text import board_to_bk, event_type, keyword_sentiment, mentions, related_symbols, sector_name
 from ..operators.adjust import with_hfq
-from ..operators.asof import asof_step, expand_closed_open, expand_open, expected_sessions, latest_snapshot, members_as_of
-from ..operators.bars import previous_session, session_returns, spans, tail
+from ..operators.asof import asof_step, expand_closed_open, expand_open, latest_snapshot, members_as_of
+from ..operators.bars import previous_session, session_returns, tail
 from ..operators.canonical import canonical, first_by
-from ..operators.universe import ever_traded
 
 BREADTH = ("advance_count", "decline_count", "flat_count", "limit_up_count", "limit_down_count", "advance_ratio", "total_count")
 LEVELS = ("L1", "L2", "L3")
@@ -38,20 +37,25 @@ def market_breadth(bars: DataFrame, sessions: DataFrame, status: DataFrame) -> D
 
 
 def industry_index(members: DataFrame, bars: DataFrame, factors: DataFrame, sessions: DataFrame, levels: tuple[str, ...] = LEVELS) -> DataFrame:
-    """Equal and amount-weighted returns of exact hfq bars per industry, level and day, every member group kept."""
+    """Equal and amount-weighted returns of exact hfq bars per industry, level and day, every member group kept.
+
+    Members are one row per snapshot and symbol (repeats collapse), so one pass over full codes gives sums that roll up to every level.
+    """
     exact = with_hfq(bars, factors).where("adj_is_exact").withColumn("adj_close", F.col("close") * F.col("factor"))
     rets = session_returns(exact, sessions, "adj_close").select("symbol", "trade_date", "ret", safe_turnover(F.col("amount")).alias("amount"))
-    roster = members_as_of(rets.select("trade_date"), "trade_date", members.where("source = 'sw'")).select("symbol", "trade_date", "industry_code")
+    snapshots = members.where("source = 'sw'").groupBy("as_of_date", "symbol").agg(F.min("industry_code").alias("industry_code"))
+    roster = members_as_of(rets.select("trade_date"), "trade_date", snapshots).select("symbol", "trade_date", "industry_code")
     priced = roster.join(rets, ["symbol", "trade_date"], "left")
-    level = F.explode(F.array(*(F.struct(F.lit(v).alias("level"), industry_level(F.col("industry_code"), v).alias("code")) for v in levels)))
-    rows = priced.select("symbol", "trade_date", "ret", "amount", level.alias("g")).select("symbol", "trade_date", "ret", "amount", "g.level", F.col("g.code").alias("industry_code"))
     have = F.col("ret").isNotNull()
-    grouped = rows.groupBy("trade_date", "industry_code", "level").agg(
-        F.avg("ret").alias("equal"), F.try_divide(F.sum(F.when(have, F.col("ret") * F.col("amount"))), F.sum(F.when(have, F.col("amount")))).alias("amount_weighted"),
-        F.countDistinct("symbol").alias("n_members"), F.countDistinct(F.when(have, F.col("symbol"))).alias("n_priced"), F.sum(F.when(have, F.col("amount"))).alias("amount"),
-    )
+    totals = {
+        "n_members": F.count("*"), "n_priced": F.count("ret"), "ret_sum": F.sum("ret"), "weighted": F.sum(F.when(have, F.col("ret") * F.col("amount"))), "amount": F.sum(F.when(have, F.col("amount"))),
+    }
+    by_code = priced.groupBy("trade_date", F.col("industry_code").alias("full_code")).agg(*(v.alias(k) for k, v in totals.items()))
+    level = F.inline(F.array(*(F.struct(F.lit(v).alias("level"), industry_level(F.col("full_code"), v).alias("industry_code")) for v in levels)))
+    rolled = by_code.select("trade_date", *totals, level).groupBy("trade_date", "industry_code", "level").agg(*(F.sum(k).alias(k) for k in totals))
+    grouped = rolled.withColumn("equal", F.try_divide("ret_sum", "n_priced")).withColumn("amount_weighted", F.try_divide("weighted", "amount"))
     keys = ["trade_date", "industry_code", "level", "n_members", "n_priced", "amount"]
-    long = grouped.unpivot(keys, ["equal", "amount_weighted"], "weighting", "ret")
+    long = grouped.select(*keys, "equal", "amount_weighted").unpivot(keys, ["equal", "amount_weighted"], "weighting", "ret")
     return long.withColumn("n_excluded", F.col("n_members") - F.col("n_priced")).withColumn("weighting", F.replace("weighting", F.lit("amount_weighted"), F.lit("amount")))
 
 
@@ -62,25 +66,49 @@ def adj_factors(events: DataFrame, bars: DataFrame, adjust_type: str = "hfq") ->
     return out.select("symbol", "trade_date", F.lit(adjust_type).alias("adjust_type"), "factor")
 
 
-def symbols_to_refresh(bars: DataFrame, factors: DataFrame, actions: DataFrame, watermark) -> DataFrame:
-    """Symbols with bars not covered by factors, or actions after the watermark."""
-    bare = bars.select("symbol", "trade_date").join(factors.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")
-    fresh = actions.where(F.col("ex_date") > F.lit(watermark)).join(bars.select("symbol").distinct(), "symbol", "left_semi")
-    return bare.select("symbol").unionByName(fresh.select("symbol")).distinct()
+def symbols_to_refresh(bars: DataFrame, factors: DataFrame, actions: DataFrame, instruments: DataFrame, day) -> DataFrame:
+    """Symbols whose whole factor history is due: uncovered ones, and those with an action or a listing on ``day``.
+
+    Uncovered: no sound factor, the first one after the first traded bar, or fewer days than the bars once the factors reach the last bar
+    (a missing tail is ordinary new data). Depositary receipts and what is neither stock nor fund have no factors.
+    """
+    real = bars.where(traded()).groupBy("symbol").agg(F.min("trade_date").alias("first_bar"), F.max("trade_date").alias("last_bar"), F.countDistinct("trade_date").alias("n_bars"))
+    sound = factors.where((F.col("adjust_type") == "hfq") & (F.col("factor") > 0) & (F.col("factor") < float("inf")))
+    known = sound.groupBy("symbol").agg(F.min("trade_date").alias("first_factor"), F.max("trade_date").alias("last_factor"), F.countDistinct("trade_date").alias("n_factors"))
+    hole = F.col("first_factor").isNull() | (F.col("first_factor") > F.col("first_bar")) | ((F.col("last_factor") >= F.col("last_bar")) & (F.col("n_factors") < F.col("n_bars")))
+    priced = instruments.where(F.col("asset_type").isin("stock", "etf") & ~is_cdr(code_of(F.col("symbol")), exchange_of(F.col("symbol")))).select("symbol")
+    uncovered = real.join(known, "symbol", "left").where(hole).join(priced, "symbol", "left_semi").select("symbol")
+    acted = actions.where(F.col("ex_date") == F.lit(day).cast("date")).select("symbol")
+    listed = instruments.where(F.col("list_date") == F.lit(day).cast("date")).select("symbol")
+    return uncovered.unionByName(acted).unionByName(listed).distinct()
+
+
+def bars_to_derive(bars: DataFrame, factors: DataFrame, refresh: DataFrame, watermark, lookback_days: int = 3) -> DataFrame:
+    """The (symbol, date) pairs of one factor run: dates after the watermark, recent ones without a factor row, and all of refreshed symbols."""
+    at = F.lit(watermark).cast("date")
+    pairs = bars.select("symbol", "trade_date").distinct()
+    new = pairs.where(F.col("trade_date") > at)
+    recent = pairs.where(F.col("trade_date").between(F.date_sub(at, max(0, lookback_days - 1)), at) & ~is_cdr(code_of(F.col("symbol")), exchange_of(F.col("symbol"))))
+    late = recent.join(factors.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")
+    return new.unionByName(late).unionByName(pairs.join(refresh, "symbol", "left_semi")).distinct()
 
 
 def suspension_history(bars: DataFrame, sessions: DataFrame, instruments: DataFrame, start=None, end=None) -> DataFrame:
-    """Sessions inside a symbol's life without a traded bar; funds and symbols that never traded are out."""
-    real = ever_traded(bars)
-    life = spans(real).join(instruments.select("symbol", "list_date", "delist_date"), "symbol")
-    life = life.where(~is_etf(code_of(F.col("symbol")), exchange_of(F.col("symbol")))).select(
-        "symbol", F.greatest("list_date", "first_bar").alias("lo"), F.least("delist_date", "last_bar").alias("hi")
-    )
-    days = sessions
-    days = days.where(F.col("trade_date") >= F.lit(start)) if start is not None else days
-    days = days.where(F.col("trade_date") <= F.lit(end)) if end is not None else days
-    missing = expected_sessions(life, days, "lo", "hi").join(real.where(traded()).select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")
-    return missing.select("symbol", "trade_date", F.lit(False).alias("is_trading"), F.lit("suspended").alias("status"), F.lit(None).cast("boolean").alias("risk_warning"))
+    """Sessions inside a symbol's life without a traded bar; funds and symbols that never traded are out.
+
+    One pass over the bars: a symbol's traded days (at most one per calendar day) are held against the calendar, which is one small array.
+    """
+    days = F.when(traded(), F.col("trade_date"))
+    seen = bars.groupBy("symbol").agg(F.min("trade_date").alias("first_bar"), F.max("trade_date").alias("last_bar"), F.collect_set(days).alias("traded_days")).where(F.size("traded_days") > 0)
+    life = seen.where(~is_etf(code_of(F.col("symbol")), exchange_of(F.col("symbol")))).join(instruments.select("symbol", "list_date", "delist_date"), "symbol")
+    inside = sessions
+    inside = inside.where(F.col("trade_date") >= F.lit(start)) if start is not None else inside
+    inside = inside.where(F.col("trade_date") <= F.lit(end)) if end is not None else inside
+    calendar = F.broadcast(inside.agg(F.collect_set("trade_date").alias("calendar")))
+    lo, hi = F.greatest("list_date", "first_bar"), F.least("delist_date", "last_bar")
+    missing = F.explode(F.array_except(F.filter("calendar", lambda d: d.between(lo, hi)), F.col("traded_days")))
+    rows = life.crossJoin(calendar).select("symbol", missing.alias("trade_date"))
+    return rows.select("symbol", "trade_date", F.lit(False).alias("is_trading"), F.lit("suspended").alias("status"), F.lit(None).cast("boolean").alias("risk_warning"))
 
 
 def regulatory_events(announcements: DataFrame, keywords: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
@@ -241,25 +269,70 @@ def migrate_status(status: DataFrame) -> DataFrame:
     return status.withColumn("risk_warning", warned).withColumn("status", F.when(F.col("status").isin(*LEGACY_ST), "normal").otherwise(F.col("status")))
 
 
-def delisted_coverage(instruments: DataFrame, bar_spans: DataFrame, sessions: DataFrame) -> DataFrame:
-    """How the bars of each delisted symbol fit its catalogue dates."""
-    gone = instruments.where("delist_date IS NOT NULL").join(bar_spans, "symbol", "left")
-    last = sessions.select(F.col("trade_date").alias("_day"))
-    terminal = gone.join(F.broadcast(last), F.col("_day") <= F.col("delist_date"), "left").groupBy("symbol").agg(F.max("_day").alias("terminal"))
-    state = (
-        F.when(F.col("list_date") > F.col("delist_date"), "invalid_date").when(F.col("first_bar").isNull(), "missing_bars")
-        .when(F.col("last_bar") > F.col("delist_date"), "bars_after_delist").when(F.col("last_bar") < F.col("terminal"), "terminal_mismatch").otherwise("complete")
-    )
-    return gone.join(terminal, "symbol").select("symbol", "list_date", "delist_date", "first_bar", "last_bar", state.alias("state"))
-
+def delisted_coverage(catalog: DataFrame, instruments: DataFrame, bars: DataFrame, start, end, recent: DataFrame | None = None) -> DataFrame:
+    """Findings per symbol on how delisted names are covered in [start, end]; ``complete`` where there are none.
 
-def ownership(symbols: DataFrame, instruments: DataFrame, bar_spans: DataFrame, start, end) -> DataFrame:
-    """Why a symbol should or should not have bars in [start, end]."""
+    ``catalog`` holds (symbol, last_traded) of names known to be gone, ``recent`` those of provisional probes. A last trade after the window leaves
+    the overlap of a symbol without bars unknown. A formal date the day after the catalogue's last quote, with the last print at most three days
+    before it, is a quote without a print and no mismatch.
+    """
+    lo, hi = F.lit(start).cast("date"), F.lit(end).cast("date")
+    seen = bars.where(traded() & F.col("trade_date").between(lo, hi)).groupBy("symbol").agg(F.max("trade_date").alias("last_bar"))
+    known = instruments.groupBy("symbol").agg(F.max("delist_date").alias("delist_date"), F.lit(True).alias("listed"))
+    formal = F.col("delist_date").between(lo, hi)
+    terminal = catalog.groupBy("symbol").agg(F.max("last_traded").alias("last_traded"))
+    probe = recent.groupBy("symbol").agg(F.max("last_traded").alias("probed")) if recent is not None else terminal.select("symbol", F.lit(None).cast("date").alias("probed")).where("false")
+    rows = terminal.join(known, "symbol", "full_outer").join(probe, "symbol", "full_outer").join(seen, "symbol", "left")
+    listed, bare, last = F.coalesce("listed", F.lit(False)), F.col("last_bar").isNull(), F.col("last_traded")
+    candidate = F.coalesce(last >= lo, F.lit(False))
+    other = ~candidate & F.coalesce(formal, F.lit(False))
+    definite = last <= hi
+    off = definite & (F.col("last_bar") != last)
+    quiet = (F.col("delist_date") == F.date_add(last, 1)) & F.datediff(last, F.col("last_bar")).between(1, 3)
+    quiet = F.coalesce(quiet, F.lit(False))
+    earlier = F.coalesce(last < lo, F.lit(False))
+    fresh = F.col("probed").between(lo, hi) & ~F.coalesce(formal, F.lit(False)) & (~listed | bare)
+    undated = lambda day: F.col("delist_date").isNull() | (F.col("delist_date") < day)
+    overlap = candidate & (definite | ~bare)
+    findings = {
+        "missing_bars": candidate & bare & definite, "unknown_overlap": candidate & bare & ~definite, "terminal_nonprinting": candidate & off & quiet, "terminal_mismatch": candidate & off & ~quiet,
+        "missing_instrument": overlap & ~listed, "invalid_delist_date": (overlap & listed & undated(last)) | (other & ~earlier & ~bare & undated(F.col("last_bar"))),
+        "formal_no_overlap": other & earlier, "formal_unresolved": other & ~earlier & bare, "recent_quarantined": fresh,
+    }
+    found = F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in findings.items())))
+    finding = F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("complete"))))
+    return rows.where(candidate | other | F.coalesce(F.col("probed").between(lo, hi), F.lit(False))).select("symbol", "last_traded", "delist_date", "last_bar", finding.alias("finding"))
+
+
+def ownership(symbols: DataFrame, instruments: DataFrame, bars: DataFrame, status: DataFrame, sessions: DataFrame, start, end, evidence: DataFrame | None = None) -> DataFrame:
+    """Who answers for a symbol's bars in [start, end], from explicit evidence only.
+
+    not_listed, delisted_before_window, non_trading (a status of every session says so) and negative_evidence (a live record covers the window) expect no
+    data; delegated_delisted goes to the recovery of delisted names (funds do not); placeholder is an undated stock or fund that never traded; generic must have
+    bars; anything else is unknown. Several status rows of a day: trading if one says so. Trading evidence beats negative evidence.
+    """
     s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
-    rows = symbols.join(instruments, "symbol", "left").join(bar_spans.select("symbol", "first_bar", "last_bar"), "symbol", "left")
+    window = sessions.where(F.col("trade_date").between(s, e)).select("trade_date").distinct()
+    daily = status.groupBy("symbol", "trade_date").agg(F.max("is_trading").alias("is_trading"))
+    inside = daily.join(F.broadcast(window.withColumn("_in", F.lit(True))), "trade_date", "left")
+    said = inside.groupBy("symbol").agg(
+        F.count("_in").alias("n_covered"), F.count_if(F.col("_in") & ~F.col("is_trading")).alias("n_closed"), F.bool_or(F.col("_in") & F.col("is_trading")).alias("positive")
+    )
+    calendar = F.broadcast(window.agg(F.count("*").alias("n_sessions")))
+    ever = bars.where(traded()).select("symbol").distinct().withColumn("ever", F.lit(True))
+    covering = (evidence if evidence is not None else symbols.select("symbol", s.alias("start_date"), e.alias("end_date")).where("false")).where((F.col("start_date") <= s) & (F.col("end_date") >= e))
+    master = instruments.select("symbol", "list_date", "delist_date", "asset_type", F.lit(True).alias("known"))
+    rows = symbols.select("symbol").distinct().join(master, "symbol", "left").join(said, "symbol", "left").join(ever, "symbol", "left")
+    rows = rows.join(covering.select("symbol", F.lit(True).alias("negative")).distinct(), "symbol", "left").crossJoin(calendar)
+    positive, negative = F.coalesce("positive", F.lit(False)), F.coalesce("negative", F.lit(False))
+    asked = F.col("n_covered").isNotNull() & (F.col("n_sessions") > 0)
+    phantom = F.col("asset_type").isin("stock", "etf") & F.col("list_date").isNull() & F.col("ever").isNull()
+    fund = is_etf(code_of(F.col("symbol")), exchange_of(F.col("symbol")))
+    plain = F.when(F.col("asset_type").isNull(), "unknown").when(negative & ~positive, "negative_evidence").when(phantom, "placeholder").otherwise("generic")
     why = (
-        F.when(F.col("name").isNull(), "unknown").when(is_placeholder_name(F.col("name")), "placeholder").when(F.col("list_date") > e, "not_listed")
-        .when(F.col("delist_date") < s, "delisted_before_window").when(~in_universe(F.col("symbol")), "generic").when(F.col("first_bar").isNull(), "non_trading").otherwise("owned")
+        F.when(F.col("known").isNull(), "unknown").when(F.col("list_date") > e, "not_listed").when(F.col("delist_date") < s, "delisted_before_window")
+        .when((F.col("delist_date") <= e) & ~fund, "delegated_delisted").when(F.col("delist_date") <= e, F.when(negative & ~positive, "negative_evidence").otherwise("generic"))
+        .when(asked & (F.col("n_closed") == F.col("n_sessions")), "non_trading").when(asked & ~positive, "unknown").otherwise(plain)
     )
     return rows.select("symbol", why.alias("ownership"))
 
@@ -271,17 +344,65 @@ def statement_items(reports: DataFrame, items: list[str], announced: DataFrame)
     return long.join(first, ["symbol", "report_period"], "left").withColumn("announce_date", F.coalesce("_d", "notice_date")).drop("_d", "notice_date")
 
 
+# The wording of landed plans per ten shares.
+PLAN_PART = r"(?:10\s*股?\s*)?(送|转增?|派|配)\s*([0-9]+(?:\.[0-9]+)?)"
+PLAN_PRICE = r"配股(?:价|价格)\s*([0-9]+(?:\.[0-9]+)?)\s*元?"
+PLAN_WORDS = {"cash_dividend": ("派",), "bonus": ("送",), "transfer": ("转", "转增"), "allotment": ("配",)}
+DONE = "实施方案"
+
+
+def _per_action(amounts: dict[str, Column], price: Column) -> Column:
+    """One struct per action with a positive amount per share; only allotments carry a price."""
+    rows = (F.struct(F.lit(k).alias("action_type"), v.alias("per_share"), (price if k == "allotment" else F.lit(None).cast("double")).alias("allotment_price")) for k, v in amounts.items())
+    return F.filter(F.array(*rows), lambda x: x["per_share"] > 0)
+
+
+def plan_actions(plans: DataFrame) -> DataFrame:
+    """Finished plans as text (``plan``, ``progress``) to one row per action; amounts of one kind add up, and a text without numbers gives no row."""
+    words, values = (F.regexp_extract_all("plan", F.lit(PLAN_PART), F.lit(i)) for i in (1, 2))
+    parts = F.transform(F.arrays_zip(words.alias("word"), values.alias("value")), lambda x: F.struct(x["word"].alias("word"), (x["value"].cast("double") / 10).alias("value")))
+    rows = plans.where(F.col("progress").startswith(DONE) & F.col("ex_date").isNotNull()).withColumn("_parts", parts)
+    of = lambda words: F.aggregate(F.filter("_parts", lambda x: x["word"].isin(*words)), F.lit(0.0), lambda acc, x: acc + x["value"])
+    price = F.nullif(F.expr(f"try_cast(regexp_extract(plan, r'{PLAN_PRICE}', 1) AS DOUBLE)"), F.lit(0.0))
+    return rows.select("symbol", "ex_date", F.inline(_per_action({k: of(w) for k, w in PLAN_WORDS.items()}, price)))
+
+
+def _numeric_plan(plans: DataFrame) -> DataFrame:
+    """Per-share amounts; a combined share ratio counts where neither part is given, as a transfer if the text names only that."""
+    share = lambda c: F.coalesce(c, F.lit(0.0)) / 10
+    text = F.lower(F.coalesce("plan_text", F.lit("")))
+    split = (share(F.col("bonus_per_10")) != 0) | (share(F.col("transfer_per_10")) != 0)
+    combined = F.when(split, 0.0).otherwise(share(F.col("combined_per_10")))
+    moved = text.contains("转") & ~text.contains("送")
+    return plans.select(
+        "*", text.alias("_text"), combined.alias("_combined"), share(F.col("cash_per_10")).alias("_cash"), F.when((combined > 0) & ~moved, combined).otherwise(share(F.col("bonus_per_10"))).alias("_bonus"),
+        F.when((combined > 0) & moved, combined).otherwise(share(F.col("transfer_per_10"))).alias("_transfer"),
+    )
+
+
 def action_rows(plans: DataFrame) -> DataFrame:
-    """One landed plan per ten shares to one row per action and share."""
-    part = lambda kind, c: F.struct(F.lit(kind).alias("action_type"), (F.col(c) / 10).alias("per_share"))
-    each = F.filter(F.array(part("dividend", "cash_per_10"), part("bonus", "bonus_per_10"), part("transfer", "transfer_per_10")), lambda x: x["per_share"] > 0)
-    return plans.select("symbol", "ex_date", F.inline(each))
+    """Landed plans per ten shares in columns to one row per action and share."""
+    amounts = {"cash_dividend": F.col("_cash"), "bonus": F.col("_bonus"), "transfer": F.col("_transfer")}
+    return _numeric_plan(plans).select("symbol", "ex_date", F.inline(_per_action(amounts, F.lit(None).cast("double")))).drop("allotment_price")
+
+
+def unreadable_plans(plans: DataFrame) -> DataFrame:
+    """Plans whose text names an action that has no number at all; a batch that holds any is refused."""
+    named = lambda *words: reduce(lambda a, b: a | b, (F.col("_text").contains(w) for w in words))
+    no_shares = F.col("combined_per_10").isNull() & (F.col("_combined") <= 0)
+    lost = (
+        ((F.col("_cash") <= 0) & named("派", "息", "现金") & F.col("cash_per_10").isNull()) | ((F.col("_bonus") <= 0) & named("送") & F.col("bonus_per_10").isNull() & no_shares)
+        | ((F.col("_transfer") <= 0) & named("转") & F.col("transfer_per_10").isNull() & no_shares)
+    )
+    return _numeric_plan(plans).where(lost & F.col("ex_date").isNotNull()).select(plans.columns)
 
 
 def market_value(bars: DataFrame, shares: DataFrame) -> DataFrame:
-    """Close times the latest share count announced by the day."""
-    out = asof_step(bars.select("symbol", "trade_date", "close", "amount"), shares, "symbol", "trade_date", "change_date", "total_shares")
-    return out.withColumn("total_mv", F.col("close") * F.col("total_shares"))
+    """Close times the latest positive share count dated by the day; free float from amount and turnover in percent where both are positive."""
+    points = shares.where("total_shares > 0")
+    out = asof_step(bars.select("symbol", "trade_date", "close", "amount", "turnover_pct"), points, "symbol", "trade_date", "change_date", "total_shares")
+    floating = F.when((F.col("amount") > 0) & (F.col("turnover_pct") > 0), F.col("amount") / (F.col("turnover_pct") / 100))
+    return out.withColumn("total_mv", F.col("close") * F.col("total_shares")).withColumn("float_mv", floating)
 
 
 def macro_series(raw: DataFrame) -> DataFrame:
@@ -307,14 +428,23 @@ def capture_scope(members: DataFrame, day: str = "as_of_date") -> DataFrame:
     return latest_snapshot(members, day).select("symbol").distinct()
 
 
-def retired_names(bars: DataFrame, instruments: DataFrame, quiet_days: int = 180, placeholders: int = 20) -> DataFrame:
-    """Symbols silent long before the lake ends, without a delist date and without a run of later placeholder rows."""
-    last = bars.where(traded()).groupBy("symbol").agg(F.max("trade_date").alias("last_bar"))
+def retired_names(bars: DataFrame, instruments: DataFrame, catalog: DataFrame | None = None, quiet_days: int = 180, placeholders: int = 20) -> DataFrame:
+    """Instrument spans of retired stocks: catalogue names, and symbols silent long before the lake ends.
+
+    A silent symbol with a delist date is known already; one with a run of at least ``placeholders`` later dates without a trade is halted, not gone.
+    The delist date is the later of the catalogue's and the last traded bar; a name without bars has no list date.
+    """
+    real = bars.where(traded()).groupBy("symbol").agg(F.min("trade_date").alias("first_bar"), F.max("trade_date").alias("last_bar"))
     end = bars.agg(F.max("trade_date").alias("lake_end"))
-    quiet = last.crossJoin(F.broadcast(end)).where(F.datediff("lake_end", "last_bar") > quiet_days)
-    later = bars.join(last, "symbol").where("trade_date > last_bar").groupBy("symbol").agg(F.count("*").alias("n")).where(F.col("n") >= placeholders)
-    undated = instruments.where("delist_date IS NULL").select("symbol")
-    return quiet.join(undated, "symbol", "left_semi").join(later, "symbol", "left_anti").select("symbol", F.col("last_bar").alias("delist_date"))
+    quiet = real.crossJoin(F.broadcast(end)).where(F.datediff("lake_end", "last_bar") > quiet_days)
+    quiet = quiet.join(instruments.where("delist_date IS NOT NULL").select("symbol"), "symbol", "left_anti")
+    after = bars.join(quiet.select("symbol", "last_bar"), "symbol").where("trade_date > last_bar")
+    halted = after.groupBy("symbol").agg(F.countDistinct("trade_date").alias("n")).where(F.col("n") >= placeholders)
+    silent = quiet.join(halted, "symbol", "left_anti").select("symbol", F.lit(None).cast("date").alias("last_traded"))
+    named = catalog.select("symbol", "last_traded") if catalog is not None else silent.where("false")
+    targets = named.unionByName(silent).groupBy("symbol").agg(F.max("last_traded").alias("last_traded"))
+    equity = ~is_etf(code_of(F.col("symbol")), exchange_of(F.col("symbol")))
+    return targets.where(equity).join(real, "symbol", "left").select("symbol", F.col("first_bar").alias("list_date"), F.greatest("last_traded", "last_bar").alias("delist_date"))
 
 
 def retract_derived(status: DataFrame, certified: DataFrame) -> DataFrame:
@@ -324,10 +454,45 @@ def retract_derived(status: DataFrame, certified: DataFrame) -> DataFrame:
     return status.join(dates, "symbol", "left").where(F.coalesce(keep, F.lit(False))).drop("_d")
 
 
-def assemble_status(live: DataFrame, derived: DataFrame) -> DataFrame:
-    """Live rows, and derived ones where no live row exists."""
-    rest = derived.join(live.select("symbol", "trade_date"), ["symbol", "trade_date"], "left_anti")
-    return live.unionByName(rest, allowMissingColumns=True)
+def status_presence(live: DataFrame, instruments: DataFrame, days: DataFrame) -> DataFrame:
+    """Per day, the listed symbols that the live snapshot lacks and the rows that nobody asked for."""
+    asked = instruments.select("symbol", "list_date", "delist_date").join(F.broadcast(days.select("trade_date").distinct()), _alive()).select("symbol", "trade_date", F.lit(1).alias("asked"))
+    got = live.select("symbol", "trade_date").where("symbol IS NOT NULL").distinct().withColumn("got", F.lit(1))
+    both = asked.join(got, ["symbol", "trade_date"], "full_outer")
+    return both.groupBy("trade_date").agg(F.count_if(F.col("got").isNull()).alias("n_missing"), F.count_if(F.col("asked").isNull()).alias("n_unexpected"))
+
+
+def _alive() -> Column:
+    listed = F.col("list_date").isNull() | (F.col("list_date") <= F.col("trade_date"))
+    return listed & (F.col("delist_date").isNull() | (F.col("delist_date") > F.col("trade_date")))
+
+
+def assemble_status(live: DataFrame, history: DataFrame, instruments: DataFrame, days: DataFrame, max_age: int = 5) -> DataFrame:
+    """Each day's snapshot of the listed symbols, and derived rows of delisted and not yet listed ones.
+
+    A day whose live snapshot is incomplete (a symbol missing or unexpected) takes the last stored snapshot of the ``max_age`` days before it, marked
+    ``eastmoney_cached``; symbols that it lacks are suspended with an unknown warning. A day with neither has no live rows: ``status_presence`` tells.
+    """
+    wanted = F.broadcast(days.select("trade_date").distinct())
+    whole = status_presence(live, instruments, days).where("n_missing = 0 AND n_unexpected = 0").select("trade_date")
+    out = ["symbol", "trade_date", "is_trading", "status", "risk_warning"]
+    fresh = live.join(F.broadcast(whole), "trade_date", "left_semi").select(*out, F.lit("eastmoney").alias("source"))
+    broken = wanted.join(whole, "trade_date", "left_anti")
+    stored = history.select(F.col("trade_date").alias("stored")).distinct()
+    near = (F.col("stored") < F.col("trade_date")) & (F.datediff("trade_date", "stored") <= max_age)
+    pick = broken.join(F.broadcast(stored), near).groupBy("trade_date").agg(F.max("stored").alias("stored"))
+    last = history.select("symbol", F.col("trade_date").alias("stored"), "is_trading", "status", "risk_warning", F.lit(True).alias("_known"))
+    asked = instruments.select("symbol", "list_date", "delist_date").join(F.broadcast(pick), _alive()).select("symbol", "trade_date", "stored")
+    held = asked.join(last, ["symbol", "stored"], "left")
+    known = F.col("_known").isNotNull()
+    cached = held.select(
+        "symbol", "trade_date", F.coalesce(F.col("is_trading") & known, F.lit(False)).alias("is_trading"), F.when(known, F.col("status")).otherwise("suspended").alias("status"), "risk_warning",
+        F.lit("eastmoney_cached").alias("source"),
+    )
+    gone = instruments.join(wanted, F.col("delist_date") <= F.col("trade_date")).select("symbol", "trade_date", F.lit("delisted").alias("status"), F.lit("derived_delisted").alias("source"))
+    early = instruments.join(wanted, F.col("list_date") > F.col("trade_date")).select("symbol", "trade_date", F.lit("not_listed").alias("status"), F.lit("derived_not_listed").alias("source"))
+    derived = gone.unionByName(early.join(gone, ["symbol", "trade_date"], "left_anti")).withColumn("is_trading", F.lit(False)).withColumn("risk_warning", F.lit(None).cast("boolean"))
+    return fresh.unionByName(cached).unionByName(derived)
 
 
 def fill_gaps(primary: DataFrame, backup: DataFrame, expected: DataFrame) -> DataFrame:
@@ -349,10 +514,18 @@ def enrich_list_dates(instruments: DataFrame, side: DataFrame) -> DataFrame:
     return instruments.join(s, "symbol", "left").withColumn("list_date", F.coalesce("list_date", "_d")).drop("_d")
 
 
-def symbol_priority(ranked: list[DataFrame]) -> DataFrame:
-    """Symbols by the first list that names them."""
-    tagged = (d.select("symbol", F.lit(i).alias("priority")) for i, d in enumerate(ranked))
-    return reduce(DataFrame.unionByName, tagged).groupBy("symbol").agg(F.min("priority").alias("priority"))
+def symbol_priority(hot_rank: DataFrame, announcements: DataFrame, bars: DataFrame, day, limit: int) -> DataFrame:
+    """The ``limit`` symbols to score on a day: hot ranks of the latest snapshot by then, those with announcements, then traded bars by amount.
+
+    Within announcements the symbol decides, as nothing else orders them; a symbol counts in the first list that names it.
+    """
+    d = F.lit(day).cast("date")
+    hot = latest_snapshot(hot_rank.where(F.col("trade_date") <= d), "trade_date").select("symbol", F.lit(0).alias("priority"), F.col("rank").cast("double").alias("place"))
+    told = announcements.where(F.col("announce_date") == d).select("symbol", F.lit(1).alias("priority"), F.lit(0.0).alias("place"))
+    moved = bars.where(traded() & (F.col("trade_date") == d)).select("symbol", F.lit(2).alias("priority"), (-F.col("amount")).alias("place"))
+    first = F.min(F.struct("priority", F.coalesce("place", F.lit(float("inf"))).alias("place"))).alias("best")
+    best = hot.unionByName(told).unionByName(moved).where("symbol IS NOT NULL").groupBy("symbol").agg(first)
+    return best.select("symbol", "best.priority", "best.place").orderBy("priority", "place", "symbol").limit(limit)
 
 
 def replace_covered(stored: DataFrame, fresh: DataFrame, day: str) -> DataFrame:
@@ -365,6 +538,15 @@ def yearly_acceptance(bars: DataFrame) -> DataFrame:
     return bars.groupBy(F.year("trade_date").alias("year")).agg(F.count("*").alias("n_rows"), F.countDistinct("symbol").alias("n_symbols"), F.countDistinct("trade_date").alias("n_days"))
 
 
+def spot_check(bars: DataFrame, factors: DataFrame, picks: DataFrame) -> DataFrame:
+    """Adjusted closes of picked (symbol, trade_date) pairs: by backward factors where any are stored, else by forward ones; 1 where a pair has none."""
+    kinds = F.broadcast(factors.agg(F.bool_or(F.col("adjust_type") == "hfq").alias("_hfq"), F.bool_or(F.col("adjust_type") == "qfq").alias("_qfq")))
+    kind = F.when(F.col("_hfq"), "hfq").when(F.col("_qfq"), "qfq")
+    typed = factors.crossJoin(kinds).where(F.col("adjust_type") == kind).select("symbol", "trade_date", "factor")
+    rows = bars.join(picks.select("symbol", "trade_date").distinct(), ["symbol", "trade_date"], "left_semi").join(typed, ["symbol", "trade_date"], "left").crossJoin(kinds)
+    return rows.select("symbol", "trade_date", "close", (F.col("close") * F.coalesce("factor", F.lit(1.0))).alias("adj_close"), kind.alias("adjust_type"))
+
+
 def split_by_source(symbols: DataFrame) -> DataFrame:
     """Which source serves a symbol."""
     return symbols.withColumn("served_by", F.when(exchange_of(F.col("symbol")).isin("SH", "SZ"), "primary").otherwise("fallback"))

@@ -56,10 +56,20 @@ def _(fx):
     return D.adj_factors(fx("factor_events"), fx("bars"))
 
 
-@query("d4_symbols_to_refresh", "bars factors actions", """
-SELECT b.symbol FROM bars b ANTI JOIN factors f ON b.symbol = f.symbol AND b.trade_date = f.trade_date UNION SELECT symbol FROM actions WHERE ex_date > DATE '2000-06-30' AND symbol IN (SELECT symbol FROM bars)""")
+@query("d4_symbols_to_refresh", "bars_raw factors actions instruments", """
+WITH r AS (SELECT symbol, min(trade_date) AS a, max(trade_date) AS z, count(DISTINCT trade_date) AS n FROM bars_raw WHERE volume > 0 OR volume IS NULL GROUP BY 1), k AS (SELECT symbol, min(trade_date) AS a, max(trade_date) AS z, count(DISTINCT trade_date) AS n FROM factors WHERE trade_date >= DATE '1995-06-30' GROUP BY 1)
+SELECT r.symbol FROM r LEFT JOIN k ON r.symbol = k.symbol JOIN instruments i ON i.symbol = r.symbol WHERE i.asset_type IN ('stock', 'etf') AND (k.a IS NULL OR k.a > r.a OR (k.z >= r.z AND k.n < r.n))
+UNION SELECT symbol FROM actions WHERE ex_date = DATE '1995-01-05' UNION SELECT symbol FROM instruments WHERE list_date = DATE '1995-01-05'""")
 def _(fx):
-    return D.symbols_to_refresh(fx("bars"), fx("factors"), fx("actions"), "2000-06-30")
+    return D.symbols_to_refresh(fx("bars_raw"), fx("factors").where("trade_date >= DATE '1995-06-30'"), fx("actions"), fx("instruments"), "1995-01-05")
+
+
+@query("d4_bars_to_derive", "bars factors actions", """
+SELECT symbol, trade_date FROM bars WHERE trade_date > DATE '2001-03-30' UNION SELECT b.symbol, b.trade_date FROM bars b ANTI JOIN factors f ON b.symbol = f.symbol AND b.trade_date = f.trade_date WHERE b.trade_date BETWEEN DATE '2001-03-28' AND DATE '2001-03-30'
+UNION SELECT symbol, trade_date FROM bars WHERE symbol IN (SELECT symbol FROM actions WHERE ex_date = DATE '1998-03-10')""")
+def _(fx):
+    acted = fx("actions").where("ex_date = DATE '1998-03-10'").select("symbol").distinct()
+    return D.bars_to_derive(fx("bars"), fx("factors"), acted, "2001-03-30")
 
 
 @query("d5_suspension_history", "bars sessions instruments spans", f"""
@@ -211,18 +221,43 @@ def _(fx):
     return D.migrate_status(fx("status")).select(*KEY, "source", "status", "risk_warning")
 
 
-@query("d29_delisted_coverage", "instruments spans sessions", """
-WITH t AS (SELECT i.symbol, i.list_date, i.delist_date, p.first_bar, p.last_bar, (SELECT max(trade_date) FROM sessions s WHERE s.trade_date <= i.delist_date) AS terminal FROM instruments i LEFT JOIN spans p ON i.symbol = p.symbol WHERE i.delist_date IS NOT NULL)
-SELECT symbol, list_date, delist_date, first_bar, last_bar, CASE WHEN list_date > delist_date THEN 'invalid_date' WHEN first_bar IS NULL THEN 'missing_bars' WHEN last_bar > delist_date THEN 'bars_after_delist' WHEN last_bar < terminal THEN 'terminal_mismatch' ELSE 'complete' END AS state FROM t""")
+CATALOG = """c AS (SELECT symbol, CAST(last_bar - CAST(n_bars % 3 AS INTEGER) AS DATE) AS last_traded FROM spans WHERE n_bars % 4 <> 0 UNION ALL SELECT symbol, max(trade_date) FROM valuations WHERE symbol LIKE '99%' GROUP BY 1)"""
+
+
+def _catalog(fx):
+    last = fx("spans").where("n_bars % 4 <> 0").select("symbol", F.date_sub("last_bar", (F.col("n_bars") % 3).cast("int")).alias("last_traded"))
+    return last.unionByName(fx("valuations").where("symbol LIKE '99%'").groupBy("symbol").agg(F.max("trade_date").alias("last_traded")))
+
+
+IN_WINDOW = "BETWEEN DATE '1996-01-01' AND DATE '2001-09-28'"
+OVERLAP = f"(last_traded {IN_WINDOW} OR (last_traded > DATE '2001-09-28' AND last_bar IS NOT NULL))"
+NO_PRINT = "coalesce(delist_date = last_traded + 1 AND date_diff('day', last_bar, last_traded) BETWEEN 1 AND 3, false)"
+
+
+@query("d29_delisted_coverage", "instruments spans valuations bars", f"""
+WITH {CATALOG}, s AS (SELECT symbol, max(trade_date) AS last_bar FROM bars WHERE volume > 0 AND trade_date {IN_WINDOW} GROUP BY 1),
+r AS (SELECT coalesce(c.symbol, i.symbol) AS symbol, c.last_traded, i.delist_date, s.last_bar, i.symbol IS NOT NULL AS listed FROM c FULL JOIN instruments i ON c.symbol = i.symbol LEFT JOIN s ON s.symbol = coalesce(c.symbol, i.symbol)),
+f AS (SELECT *, 'missing_bars' AS finding FROM r WHERE last_traded {IN_WINDOW} AND last_bar IS NULL UNION ALL SELECT *, 'unknown_overlap' FROM r WHERE last_traded > DATE '2001-09-28' AND last_bar IS NULL
+  UNION ALL SELECT *, CASE WHEN {NO_PRINT} THEN 'terminal_nonprinting' ELSE 'terminal_mismatch' END FROM r WHERE last_traded {IN_WINDOW} AND last_bar <> last_traded
+  UNION ALL SELECT *, 'missing_instrument' FROM r WHERE NOT listed AND {OVERLAP} UNION ALL SELECT *, 'invalid_delist_date' FROM r WHERE listed AND {OVERLAP} AND (delist_date IS NULL OR delist_date < last_traded)
+  UNION ALL SELECT *, 'formal_no_overlap' FROM r WHERE last_traded < DATE '1996-01-01' AND delist_date {IN_WINDOW} UNION ALL SELECT *, 'formal_unresolved' FROM r WHERE last_traded IS NULL AND delist_date {IN_WINDOW} AND last_bar IS NULL
+  UNION ALL SELECT *, 'invalid_delist_date' FROM r WHERE last_traded IS NULL AND delist_date {IN_WINDOW} AND delist_date < last_bar)
+SELECT symbol, last_traded, delist_date, last_bar, finding FROM f UNION ALL SELECT symbol, last_traded, delist_date, last_bar, 'complete' FROM r WHERE (last_traded >= DATE '1996-01-01' OR delist_date {IN_WINDOW}) AND symbol NOT IN (SELECT symbol FROM f)""")
 def _(fx):
-    return D.delisted_coverage(fx("instruments"), fx("spans"), fx("sessions"))
+    return D.delisted_coverage(_catalog(fx), fx("instruments"), fx("bars"), "1996-01-01", "2001-09-28")
 
 
-@query("d30_ownership", "valuations instruments spans", f"""
-SELECT v.symbol, CASE WHEN i.name IS NULL THEN 'unknown' WHEN i.list_date > DATE '1998-12-31' THEN 'not_listed' WHEN i.delist_date < DATE '1998-01-01' THEN 'delisted_before_window' WHEN NOT {universe_sql('v.symbol')} THEN 'generic' WHEN p.first_bar IS NULL THEN 'non_trading' ELSE 'owned' END AS ownership
-FROM (SELECT DISTINCT symbol FROM valuations) v LEFT JOIN instruments i ON v.symbol = i.symbol LEFT JOIN spans p ON v.symbol = p.symbol""")
+@query("d30_ownership", "valuations instruments bars status sessions", f"""
+WITH w AS (SELECT trade_date FROM sessions WHERE trade_date BETWEEN DATE '1998-01-05' AND DATE '1998-01-06'), d AS (SELECT symbol, trade_date, bool_or(is_trading) AS t FROM status GROUP BY 1, 2),
+st AS (SELECT d.symbol, count(w.trade_date) AS n, count(*) FILTER (w.trade_date IS NOT NULL AND NOT t) AS closed, coalesce(bool_or(t AND w.trade_date IS NOT NULL), false) AS pos FROM d LEFT JOIN w ON d.trade_date = w.trade_date GROUP BY 1),
+x AS (SELECT v.symbol, i.symbol IS NOT NULL AS known, i.*, st.n, st.closed, coalesce(st.pos, false) AS pos, (SELECT count(*) FROM w) AS ns, v.symbol IN (SELECT symbol FROM bars WHERE volume > 0) AS ever, v.symbol LIKE '%5.SZ' AS neg
+  FROM (SELECT DISTINCT symbol FROM valuations) v LEFT JOIN (SELECT symbol, list_date, delist_date, asset_type FROM instruments) i ON v.symbol = i.symbol LEFT JOIN st ON st.symbol = v.symbol)
+SELECT symbol, CASE WHEN NOT known THEN 'unknown' WHEN list_date > DATE '1998-01-06' THEN 'not_listed' WHEN delist_date < DATE '1998-01-05' THEN 'delisted_before_window' WHEN delist_date <= DATE '1998-01-06' AND NOT {etf_sql('symbol')} THEN 'delegated_delisted'
+  WHEN n IS NOT NULL AND ns > 0 AND closed = ns THEN 'non_trading' WHEN n IS NOT NULL AND ns > 0 AND NOT pos THEN 'unknown' WHEN neg AND NOT pos THEN 'negative_evidence' WHEN list_date IS NULL AND NOT ever THEN 'placeholder' ELSE 'generic' END AS ownership FROM x""")
 def _(fx):
-    return D.ownership(fx("valuations").select("symbol").distinct(), fx("instruments"), fx("spans"), "1998-01-01", "1998-12-31")
+    symbols = fx("valuations").select("symbol").distinct()
+    evidence = symbols.where("symbol LIKE '%5.SZ'").select("symbol", F.lit("1998-01-01").cast("date").alias("start_date"), F.lit("1998-12-31").cast("date").alias("end_date"))
+    return D.ownership(symbols, fx("instruments"), fx("bars"), fx("status"), fx("sessions"), "1998-01-05", "1998-01-06", evidence)
 
 
 @query("d33_statement_items", "facts", """
@@ -234,16 +269,35 @@ def _(fx):
     return D.statement_items(wide, ["revenue", "profit"], dates).select("symbol", "report_period", "item_code", "item_value", "announce_date")
 
 
-@query("d34_action_rows", "actions", "SELECT symbol, ex_date, 'dividend' AS action_type, cash_dividend * 10 / 10 AS per_share FROM actions WHERE cash_dividend > 0 UNION ALL SELECT symbol, ex_date, 'bonus', bonus_ratio * 10 / 10 FROM actions WHERE bonus_ratio > 0")
+@query("d34_action_rows", "actions", """
+SELECT symbol, ex_date, 'cash_dividend' AS action_type, cash_dividend * 10 / 10 AS per_share FROM actions WHERE cash_dividend > 0
+UNION ALL SELECT symbol, ex_date, CASE WHEN month(ex_date) % 4 = 0 THEN 'transfer' ELSE 'bonus' END, bonus_ratio * 10 / 10 FROM actions WHERE bonus_ratio > 0""")
 def _(fx):
-    plans = fx("actions").select("symbol", "ex_date", (F.col("cash_dividend") * 10).alias("cash_per_10"), (F.col("bonus_ratio") * 10).alias("bonus_per_10"), F.lit(0.0).alias("transfer_per_10"))
+    even = F.month("ex_date") % 2 == 0
+    ten = F.col("bonus_ratio") * 10
+    text = F.when(F.month("ex_date") % 4 == 0, "10转增").otherwise("10送")
+    plans = fx("actions").select(
+        "symbol", "ex_date", (F.col("cash_dividend") * 10).alias("cash_per_10"), F.when(~even, ten).alias("bonus_per_10"), F.lit(None).cast("double").alias("transfer_per_10"), F.when(even, ten).alias("combined_per_10"), text.alias("plan_text")
+    )
     return D.action_rows(plans)
 
 
-@query("d35_market_value", "bars factor_events", "SELECT b.symbol, b.trade_date, b.close * e.factor * 1000 AS total_mv FROM bars b ASOF LEFT JOIN factor_events e ON b.symbol = e.symbol AND b.trade_date >= e.ex_date")
+@query("d34_plan_actions", "actions", """
+SELECT symbol, ex_date, 'cash_dividend' AS action_type, round(cash_dividend * 10) / 10 AS per_share FROM actions WHERE round(cash_dividend * 10) > 0 UNION ALL SELECT symbol, ex_date, 'bonus', round(bonus_ratio * 10) / 10 FROM actions WHERE round(bonus_ratio * 10) > 0
+UNION ALL SELECT symbol, ex_date, 'allotment', 3 / 10 FROM actions WHERE day(ex_date) = 7""")
+def _(fx):
+    whole = lambda c: F.round(F.col(c) * 10).cast("int").cast("string")
+    text = F.concat(F.lit("10 派 "), whole("cash_dividend"), F.lit("元送"), whole("bonus_ratio"), F.lit("股"), F.when(F.dayofmonth("ex_date") == 7, "配3股，配股价5.5元").otherwise(""))
+    return D.plan_actions(fx("actions").select("symbol", "ex_date", text.alias("plan"), F.lit("实施方案").alias("progress"))).drop("allotment_price")
+
+
+@query("d35_market_value", "bars factor_events", """
+SELECT b.symbol, b.trade_date, b.close * e.factor * 1000 AS total_mv, CASE WHEN b.volume > 12 AND b.amount > 0 THEN round(b.amount / (b.volume / 10.0 / 100), 4) END AS float_mv
+FROM bars b ASOF LEFT JOIN factor_events e ON b.symbol = e.symbol AND b.trade_date >= e.ex_date""")
 def _(fx):
     shares = fx("factor_events").select("symbol", F.col("ex_date").alias("change_date"), F.col("factor").alias("total_shares"))
-    return D.market_value(fx("bars"), shares).select(*KEY, (F.col("total_mv") * 1000).alias("total_mv"))
+    bars = fx("bars").withColumn("turnover_pct", F.when(F.col("volume") > 12, F.col("volume") / 10.0).otherwise(0.0))
+    return D.market_value(bars, shares).select(*KEY, (F.col("total_mv") * 1000).alias("total_mv"), F.round("float_mv", 4).alias("float_mv"))
 
 
 @query("d36_macro_series", "", "SELECT 'm' || (o_custkey % 4) AS indicator_id, last_day(o_orderdate) AS obs_date, o_totalprice AS value, o_orderkey FROM orders")
@@ -274,16 +328,49 @@ def _(fx):
     return D.capture_scope(fx("members"))
 
 
-@query("d43_retired_names", "bars_raw instruments", """
-WITH l AS (SELECT symbol, max(trade_date) AS last_bar FROM bars_raw WHERE volume > 0 OR volume IS NULL GROUP BY 1), n AS (SELECT b.symbol, count(*) AS n FROM bars_raw b JOIN l ON b.symbol = l.symbol WHERE b.trade_date > l.last_bar GROUP BY 1)
-SELECT l.symbol, l.last_bar AS delist_date FROM l WHERE date_diff('day', l.last_bar, (SELECT max(trade_date) FROM bars_raw)) > 3 AND symbol IN (SELECT symbol FROM instruments WHERE delist_date IS NULL) AND symbol NOT IN (SELECT symbol FROM n WHERE n.n >= 20)""")
+@query("d43_retired_names", "bars_raw instruments spans valuations", f"""
+WITH {CATALOG}, l AS (SELECT symbol, min(trade_date) AS first_bar, max(trade_date) AS last_bar FROM bars_raw WHERE volume > 0 OR volume IS NULL GROUP BY 1),
+n AS (SELECT b.symbol, count(DISTINCT b.trade_date) AS n FROM bars_raw b JOIN l ON b.symbol = l.symbol WHERE b.trade_date > l.last_bar GROUP BY 1),
+q AS (SELECT l.symbol, CAST(NULL AS DATE) AS last_traded FROM l WHERE date_diff('day', l.last_bar, (SELECT max(trade_date) FROM bars_raw)) > 3 AND symbol NOT IN (SELECT symbol FROM instruments WHERE delist_date IS NOT NULL) AND symbol NOT IN (SELECT symbol FROM n WHERE n.n >= 20)),
+t AS (SELECT symbol, max(last_traded) AS last_traded FROM (SELECT * FROM c UNION ALL SELECT * FROM q) u WHERE NOT {etf_sql('symbol')} GROUP BY 1)
+SELECT t.symbol, l.first_bar AS list_date, greatest(t.last_traded, l.last_bar) AS delist_date FROM t LEFT JOIN l ON t.symbol = l.symbol""")
 def _(fx):
-    return D.retired_names(fx("bars_raw"), fx("instruments"), quiet_days=3)
+    return D.retired_names(fx("bars_raw"), fx("instruments"), _catalog(fx), quiet_days=3)
 
 
-@query("d45_assemble_status", "status bars", "SELECT symbol, trade_date, status FROM status UNION ALL SELECT b.symbol, b.trade_date, 'normal' FROM bars b ANTI JOIN status s ON b.symbol = s.symbol AND b.trade_date = s.trade_date")
+ALIVE = "(i.list_date IS NULL OR i.list_date <= s.trade_date) AND (i.delist_date IS NULL OR i.delist_date > s.trade_date)"
+HISTORY = "h AS (SELECT symbol, trade_date, bool_or(is_trading) AS is_trading, max(status) AS status, bool_or(risk_warning) AS risk_warning FROM status GROUP BY 1, 2)"
+
+
+@query("d45_assemble_status", "status instruments sessions", f"""
+WITH {HISTORY}, a AS (SELECT i.symbol, s.trade_date FROM instruments i JOIN sessions s ON {ALIVE}),
+k AS (SELECT s.trade_date, max(x.trade_date) AS stored FROM sessions s JOIN (SELECT DISTINCT trade_date FROM h) x ON x.trade_date < s.trade_date AND date_diff('day', x.trade_date, s.trade_date) <= 5 WHERE day(s.trade_date) % 5 = 0 GROUP BY 1)
+SELECT symbol, trade_date, true AS is_trading, 'normal' AS status, false AS risk_warning, 'eastmoney' AS source FROM a WHERE day(trade_date) % 5 <> 0
+UNION ALL SELECT a.symbol, a.trade_date, coalesce(h.is_trading, false), CASE WHEN h.symbol IS NULL THEN 'suspended' ELSE h.status END, h.risk_warning, 'eastmoney_cached' FROM a JOIN k ON a.trade_date = k.trade_date LEFT JOIN h ON h.symbol = a.symbol AND h.trade_date = k.stored
+UNION ALL SELECT i.symbol, s.trade_date, false, 'delisted', NULL, 'derived_delisted' FROM instruments i JOIN sessions s ON i.delist_date <= s.trade_date
+UNION ALL SELECT i.symbol, s.trade_date, false, 'not_listed', NULL, 'derived_not_listed' FROM instruments i JOIN sessions s ON i.list_date > s.trade_date AND (i.delist_date IS NULL OR i.delist_date > s.trade_date)""")
+def _(fx):
+    live, history, days = _status_inputs(fx)
+    return D.assemble_status(live, history, fx("instruments"), days)
+
+
+@query("d45_status_presence", "instruments sessions", f"""
+SELECT s.trade_date, count(*) FILTER (WHERE day(s.trade_date) % 5 = 0 AND (day(s.trade_date) <> 10 AND i.symbol LIKE '60%')) AS n_missing, CASE WHEN day(s.trade_date) = 10 THEN 1 ELSE 0 END AS n_unexpected FROM instruments i JOIN sessions s ON {ALIVE} GROUP BY 1""")
 def _(fx):
-    return D.assemble_status(fx("status").select(*KEY, "status"), fx("bars").select(*KEY, F.lit("normal").alias("status")))
+    live, _, days = _status_inputs(fx)
+    return D.status_presence(live, fx("instruments"), days).select("trade_date", "n_missing", F.col("n_unexpected").cast("int").alias("n_unexpected"))
+
+
+def _status_inputs(fx):
+    """A live feed that drops one exchange's names on every fifth day of a month, but sends one name too many on the tenth."""
+    days = fx("sessions").select("trade_date")
+    alive = fx("instruments").join(F.broadcast(days), F.expr("(list_date IS NULL OR list_date <= trade_date) AND (delist_date IS NULL OR delist_date > trade_date)"))
+    day = F.dayofmonth("trade_date")
+    kept = alive.where((day % 5 != 0) | (day == 10) | ~F.col("symbol").startswith("60")).select("symbol", "trade_date")
+    extra = days.where("day(trade_date) = 10").select(F.lit("999999.SH").alias("symbol"), "trade_date")
+    live = kept.unionByName(extra).select("*", F.lit(True).alias("is_trading"), F.lit("normal").alias("status"), F.lit(False).alias("risk_warning"))
+    history = fx("status").groupBy("symbol", "trade_date").agg(F.bool_or("is_trading").alias("is_trading"), F.max("status").alias("status"), F.bool_or("risk_warning").alias("risk_warning"))
+    return live, history, days
 
 
 @query("d46_fill_gaps", "bars backup_bars", "SELECT symbol, trade_date, close FROM backup_bars UNION ALL SELECT b.symbol, b.trade_date, b.close FROM bars b ANTI JOIN backup_bars k ON b.symbol = k.symbol AND b.trade_date = k.trade_date")
@@ -306,9 +393,14 @@ def _(fx):
     return D.enrich_list_dates(fx("instruments"), fx("spans").select("symbol", F.col("first_bar").alias("list_date"))).select("symbol", "list_date")
 
 
-@query("d49_symbol_priority", "announcements headlines bars", "SELECT symbol, min(p) AS priority FROM (SELECT symbol, 0 AS p FROM announcements UNION ALL SELECT symbol, 1 FROM bars) x GROUP BY 1")
+@query("d49_symbol_priority", "announcements bars tick_days", """
+WITH hot AS (SELECT symbol, volume AS place FROM bars WHERE volume > 45 AND trade_date = (SELECT max(trade_date) FROM bars WHERE volume > 45)),
+u AS (SELECT symbol, 0 AS priority, CAST(place AS DOUBLE) AS place FROM hot UNION ALL SELECT symbol, 1, 0.0 FROM announcements WHERE announce_date = DATE '2024-01-10' UNION ALL SELECT symbol, 2, -amount FROM tick_days WHERE trade_date = DATE '2024-01-10' AND volume > 0),
+b AS (SELECT symbol, priority, place FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY priority, place) AS rn FROM u) x WHERE rn = 1)
+SELECT symbol, priority FROM b ORDER BY priority, place, symbol LIMIT 60""")
 def _(fx):
-    return D.symbol_priority([fx("announcements"), fx("bars")])
+    hot = fx("bars").where("volume > 45").select("symbol", "trade_date", F.col("volume").alias("rank"))
+    return D.symbol_priority(hot, fx("announcements"), fx("tick_days"), "2024-01-10", 60).select("symbol", "priority")
 
 
 @query("d50_replace_covered", "bars backup_bars", "SELECT symbol, trade_date, close FROM bars WHERE trade_date NOT IN (SELECT trade_date FROM backup_bars WHERE close IS NULL) UNION ALL SELECT symbol, trade_date, close FROM backup_bars WHERE close IS NULL")
@@ -321,6 +413,13 @@ def _(fx):
     return D.yearly_acceptance(fx("bars"))
 
 
+@query("d51_spot_check", "bars factors month_ends", """
+SELECT b.symbol, b.trade_date, b.close, b.close * coalesce(f.factor, 1.0) AS adj_close, 'hfq' AS adjust_type FROM bars b LEFT JOIN factors f ON b.symbol = f.symbol AND b.trade_date = f.trade_date WHERE b.trade_date IN (SELECT as_of_date FROM month_ends)""")
+def _(fx):
+    picks = fx("bars").join(F.broadcast(fx("month_ends").select(F.col("as_of_date").alias("trade_date"))), "trade_date", "left_semi")
+    return D.spot_check(fx("bars"), fx("factors"), picks)
+
+
 @query("d52_split_by_source", "instruments", "SELECT symbol, CASE WHEN split_part(symbol, '.', 2) IN ('SH', 'SZ') THEN 'primary' ELSE 'fallback' END AS served_by FROM instruments")
 def _(fx):
     return D.split_by_source(fx("instruments").select("symbol"))
@@ -363,8 +462,6 @@ def _(fx):
     return historical_validity(fx("bars"), fx("instruments"), fx("status"), fx("sessions"))
 
 
-
-
 @query("d12_recovered_instruments", "instruments valuations spans", """
 WITH d AS (SELECT DISTINCT symbol, 'gone ' || symbol AS name, CAST(NULL AS DATE) AS delist_date FROM valuations WHERE symbol NOT IN (SELECT symbol FROM instruments) UNION ALL SELECT symbol, name, last_bar FROM (SELECT i.symbol, i.name, p.last_bar FROM instruments i JOIN spans p ON i.symbol = p.symbol WHERE p.n_bars > 540) x)
 SELECT i.symbol, i.name, i.list_date, coalesce(i.delist_date, d.delist_date) AS delist_date FROM instruments i LEFT JOIN d ON i.symbol = d.symbol
