@@ -26,9 +26,13 @@ def market_breadth(bars: DataFrame, sessions: DataFrame, status: DataFrame) -> D
     warned = status.groupBy("symbol", "trade_date").agg(F.bool_or(risk_warned(F.col("status"), F.col("risk_warning"))).alias("warned"))
     both = previous_session(bars, sessions).where("prev_close > 0").join(warned, ["symbol", "trade_date"], "left")
     pct = (F.col("close") - F.col("prev_close")) / F.col("prev_close")
-    both = both.select("trade_date", pct.alias("pct"), limit_threshold(F.col("symbol"), F.col("warned")).alias("limit"))
+    return breadth_counts(both.select("trade_date", pct.alias("pct"), limit_threshold(F.col("symbol"), F.col("warned")).alias("limit")))
+
+
+def breadth_counts(moves: DataFrame) -> DataFrame:
+    """A5: the seven metrics of each day from its moves (trade_date, pct, limit), in long form."""
     n = lambda c: F.count_if(c).cast("double")
-    wide = both.groupBy("trade_date").agg(
+    wide = moves.groupBy("trade_date").agg(
         n(F.col("pct") > 0).alias("advance_count"), n(F.col("pct") < 0).alias("decline_count"), n(F.col("pct") == 0).alias("flat_count"),
         n(F.col("pct") >= F.col("limit")).alias("limit_up_count"), n(F.col("pct") <= -F.col("limit")).alias("limit_down_count"),
         (n(F.col("pct") > 0) / F.count("*")).alias("advance_ratio"), F.count("*").cast("double").alias("total_count"),

@@ -235,13 +235,18 @@ def macro_revisions(stored: DataFrame, incoming: DataFrame, share: float = 0.05)
     return both.where(F.abs(F.col("new_value") - F.col("value")) > share * F.abs("value")).select("indicator_id", "obs_date", "value", "new_value")
 
 
+def breadth_metrics(breadth: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """One row per day with a column per metric (null where it is missing), the number of rows and of distinct and unknown metrics."""
+    value = (F.max(F.when(F.col("metric_id") == m, F.col("value"))).alias(m) for m in metrics)
+    return breadth.groupBy("trade_date").agg(
+        F.count("*").alias("n"), F.countDistinct("metric_id").alias("n_distinct"), F.count_if(~F.col("metric_id").isin(*metrics)).alias("n_unknown"), *value
+    )
+
+
 def breadth_integrity(breadth: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
-    """Days with unknown, missing, duplicate or inconsistent metrics."""
-    value = lambda m: F.max(F.when(F.col("metric_id") == m, F.col("value")))
-    per = breadth.groupBy("trade_date").agg(
-        F.count("*").alias("n"), F.countDistinct("metric_id").alias("n_distinct"), F.count_if(~F.col("metric_id").isin(*metrics)).alias("n_unknown"),
-        (value("advance_count") + value("decline_count") + value("flat_count")).alias("parts"), value("total_count").alias("total"),
-    )
+    """Q29: days with unknown, missing, duplicate or inconsistent metrics."""
+    parts, total = F.col("advance_count") + F.col("decline_count") + F.col("flat_count"), F.col("total_count")
+    per = breadth_metrics(breadth, metrics).select("trade_date", "n", "n_distinct", "n_unknown", parts.alias("parts"), total.alias("total"))
     return per.where((F.col("n_unknown") > 0) | (F.col("n_distinct") < len(metrics)) | (F.col("n") > F.col("n_distinct")) | (F.col("parts") != F.col("total")))
 
 

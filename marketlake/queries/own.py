@@ -9,7 +9,7 @@ from ..functions import market as M
 from ..functions import symbols as S
 from ..functions import text as T
 from ..operators import adjust, bars, canonical, paging
-from ..plans import quality
+from ..plans import derive, quality
 from ..registry import contracts, dataset, with_provenance
 from ..sources import lake
 from ..sources.reader import Lake, contract_order, landed_intervals, quarantine, read_files, work_dir
@@ -166,6 +166,28 @@ def _(fx):
 # --- aggregates and windows ------------------------------------------------------------------------------------------
 
 
+@query("a5_breadth_counts", "bars", """
+WITH m AS (SELECT trade_date, (close - open) / open AS pct, CASE WHEN symbol LIKE '%.BJ' THEN 0.295 WHEN symbol LIKE '30%' OR symbol LIKE '688%' THEN 0.195 ELSE 0.095 END AS lim FROM bars),
+g AS (SELECT trade_date, CAST(count(*) FILTER (pct > 0) AS DOUBLE) AS advance_count, CAST(count(*) FILTER (pct < 0) AS DOUBLE) AS decline_count, CAST(count(*) FILTER (pct = 0) AS DOUBLE) AS flat_count, CAST(count(*) FILTER (pct >= lim) AS DOUBLE) AS limit_up_count,
+  CAST(count(*) FILTER (pct <= -lim) AS DOUBLE) AS limit_down_count, count(*) FILTER (pct > 0) / count(*) AS advance_ratio, CAST(count(*) AS DOUBLE) AS total_count FROM m GROUP BY 1)
+SELECT trade_date, metric_id, value FROM g UNPIVOT (value FOR metric_id IN (advance_count, decline_count, flat_count, limit_up_count, limit_down_count, advance_ratio, total_count))""")
+def _(fx):
+    return derive.breadth_counts(_moves(fx))
+
+
+def _moves(fx) -> DataFrame:
+    return fx("bars").select("trade_date", ((F.col("close") - F.col("open")) / F.col("open")).alias("pct"), S.limit_threshold(F.col("symbol"), F.lit(False)).alias("limit"))
+
+
+@query("a21_pivot_metrics", "bars", """
+SELECT trade_date, count(*) FILTER (close > open) AS up, count(*) FILTER (close < open) AS down, count(*) FILTER (close = open) AS flat, count(*) AS total, CASE WHEN month(trade_date) = 2 THEN 6 ELSE 7 END AS n FROM bars GROUP BY 1""")
+def _(fx):
+    kept = derive.breadth_counts(_moves(fx)).where("month(trade_date) <> 2 OR metric_id <> 'limit_up_count'")
+    whole = lambda c: F.col(f"{c}_count").cast("long")
+    wide = quality.breadth_metrics(kept, derive.BREADTH)
+    return wide.select("trade_date", whole("advance").alias("up"), whole("decline").alias("down"), whole("flat").alias("flat"), whole("total").alias("total"), F.col("n").cast("int").alias("n"))
+
+
 @query("a7_distinct_members", "members", "SELECT as_of_date, industry_code, count(DISTINCT symbol) AS n FROM members GROUP BY 1, 2")
 def _(fx):
     return fx("members").groupBy("as_of_date", "industry_code").agg(F.countDistinct("symbol").alias("n"))
@@ -347,6 +369,11 @@ def _(fx):
     return fx("bars_raw").select(*KEY, "source", M.safe_turnover(F.col("amount") / 1000).alias("turnover"))
 
 
+@query("f24_weight_or_null", "bars", "SELECT symbol, trade_date, CASE WHEN volume % 5 <> 0 THEN CAST(volume % 5 AS DOUBLE) END AS weight FROM bars")
+def _(fx):
+    return fx("bars").select(*KEY, M.weight_or_null((F.col("volume") % 5).cast("double")).alias("weight"))
+
+
 @query("f23_industry_levels", "members", "SELECT symbol, as_of_date, left(industry_code, 2) AS l1, left(industry_code, 4) AS l2, left(industry_code, 6) AS l3 FROM members")
 def _(fx):
     c = F.col("industry_code")
@@ -417,6 +444,12 @@ def _(fx):
     return home.spark.sql("SELECT d.trade_date, count(*) AS n, round(sum(d.close), 4) AS close FROM daily_bars d LEFT JOIN index_bars i ON d.trade_date = i.trade_date GROUP BY 1")
 
 
+@query("s9_empty_view", "bars", "SELECT symbol, trade_date, CAST(NULL AS DOUBLE) AS main_net_inflow FROM bars")
+def _(fx):
+    nothing = dataset("fund_flow").empty(fx("bars").sparkSession)
+    return fx("bars").select(*KEY).join(nothing.select(*KEY, "main_net_inflow"), KEY, "left")
+
+
 @query("s13_pinned_revision", "bars", "SELECT symbol, trade_date, close FROM bars WHERE volume > 10 AND trade_date >= DATE '1998-01-01'")
 def _(fx):
     home = Lake(fx("bars").sparkSession, work_dir(fx("bars").sparkSession, "s13"))
