@@ -293,6 +293,24 @@ def evidence_gaps(pairs: DataFrame, receipts: DataFrame) -> DataFrame:
     return pairs.join(r, (F.col("symbol") == F.col("_s")) & F.col("trade_date").between(F.col("window_start"), F.col("window_end")), "left_anti")
 
 
+def intact_receipts(receipts: DataFrame, stored: DataFrame, version: str) -> DataFrame:
+    """Q34: receipts of the current version whose rows are still stored: as many (source, symbol) rows inside the window as it counted."""
+    key = ["source", "symbol", "window_start", "window_end", "n_rows"]
+    current = receipts.where(F.col("version") == version).select(*key).distinct().alias("r")
+    rows = stored.select("source", "symbol", "trade_date").distinct().alias("s")
+    inside = (F.col("r.source") == F.col("s.source")) & (F.col("r.symbol") == F.col("s.symbol")) & F.col("s.trade_date").between(F.col("r.window_start"), F.col("r.window_end"))
+    held = current.join(rows, inside, "left").groupBy(*(F.col(f"r.{k}") for k in key)).agg(F.count("s.trade_date").alias("held"))
+    return held.where("held = n_rows").select(*key)
+
+
+def unverified_pairs(pairs: DataFrame, receipts: DataFrame, stored: DataFrame, sources: tuple[str, ...], version: str) -> DataFrame:
+    """Q34: pairs that not every required source has an intact receipt for, with the number that do; overlapping receipts count once."""
+    good = intact_receipts(receipts.where(F.col("source").isin(*sources)), stored, version).alias("r")
+    inside = (F.col("p.symbol") == F.col("r.symbol")) & F.col("p.trade_date").between(F.col("r.window_start"), F.col("r.window_end"))
+    seen = pairs.select("symbol", "trade_date").distinct().alias("p").join(good, inside, "left")
+    return seen.groupBy("p.symbol", "p.trade_date").agg(F.countDistinct("r.source").alias("n_sources")).where(F.col("n_sources") < len(sources))
+
+
 def coverage_gaps(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     """Interior runs of missing sessions per symbol."""
     return gap_runs(expected_sessions(spans(bars), sessions, "first_bar", "last_bar"), bars, ["symbol"])

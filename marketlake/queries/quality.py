@@ -281,6 +281,21 @@ def _(fx):
     return Q.evidence_gaps(fx("bars").select(*KEY).distinct(), receipts)
 
 
+@query("q34_unverified_pairs", "bars intervals status", """
+WITH h AS (SELECT DISTINCT source, symbol, trade_date FROM status), w AS (SELECT DISTINCT symbol, x.source, CASE WHEN symbol LIKE '%5.SZ' THEN 'v0' ELSE 'v1' END AS version, start_date AS a, coalesce(end_date, DATE '2001-12-31') AS z FROM intervals CROSS JOIN (SELECT 'eastmoney' AS source UNION ALL SELECT 'baostock') x),
+k AS (SELECT w.symbol, w.source, w.a, w.z FROM w WHERE version = 'v1' AND NOT (symbol LIKE '60%' AND source = 'baostock' AND month(a) = 2))
+SELECT p.symbol, p.trade_date, count(DISTINCT k.source) AS n_sources FROM (SELECT DISTINCT symbol, trade_date FROM bars) p LEFT JOIN k ON p.symbol = k.symbol AND p.trade_date BETWEEN k.a AND k.z GROUP BY 1, 2 HAVING count(DISTINCT k.source) < 2""")
+def _(fx):
+    stored = fx("status").select("source", *KEY).distinct()
+    old = F.when(F.col("symbol").like("%5.SZ"), "v0").otherwise("v1")
+    named = fx("intervals").select("symbol", F.explode(F.array(F.lit("eastmoney"), F.lit("baostock"))).alias("source"), old.alias("version"), F.col("start_date").alias("window_start"), F.coalesce("end_date", F.lit("2001-12-31").cast("date")).alias("window_end"))
+    inside = F.expr("r.source = s.source AND r.symbol = s.symbol AND s.trade_date BETWEEN r.window_start AND r.window_end")
+    counted = named.distinct().alias("r").join(stored.alias("s"), inside, "left").groupBy("r.symbol", "r.source", "r.version", "r.window_start", "r.window_end").agg(F.count("s.trade_date").alias("n"))
+    lost = F.col("symbol").startswith("60") & (F.col("source") == "baostock") & (F.month("window_start") == 2)
+    receipts = counted.select("symbol", "source", "version", "window_start", "window_end", (F.col("n") + F.when(lost, 1).otherwise(0)).alias("n_rows"))
+    return Q.unverified_pairs(fx("bars"), receipts, stored, ("eastmoney", "baostock"), "v1")
+
+
 @query("q35_coverage_gaps", "bars sessions spans", """
 WITH e AS (SELECT p.symbol, s.trade_date, b.symbol IS NOT NULL AS there FROM spans p JOIN sessions s ON s.trade_date BETWEEN p.first_bar AND p.last_bar LEFT JOIN bars b ON b.symbol = p.symbol AND b.trade_date = s.trade_date), n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS rn FROM e),
 m AS (SELECT *, rn - row_number() OVER (PARTITION BY symbol ORDER BY trade_date) AS island FROM n WHERE NOT there) SELECT symbol, min(trade_date) AS gap_start, max(trade_date) AS gap_end, count(*) AS n_missing FROM m GROUP BY symbol, island""")

@@ -138,3 +138,14 @@ def test_weekend_bars_do_not_hide_the_previous_session(spark):
     bars = bars_of(spark, [("a", D[0], 1.0, 0, 0.0), ("a", D[1], 9.0, 1, 1.0), ("a", D[2], 3.0, 1, 1.0), ("a", D[5], 4.0, 1, 1.0)])
     sessions = spark.createDataFrame([(D[0], None), (D[2], D[0]), (D[4], D[2]), (D[5], D[4])], "trade_date date, prev_date date")
     assert [(r["trade_date"], r["prev_close"]) for r in previous_session(bars, sessions).collect()] == [(D[2], 1.0)]
+
+
+def test_unverified_pairs(spark):
+    from marketlake.plans.quality import unverified_pairs
+
+    pairs_ = spark.createDataFrame([("a", d) for d in D[:4]] + [("b", D[0])], "symbol string, trade_date date")
+    stored = spark.createDataFrame([("x", "a", d) for d in D[:4]] + [("y", "a", d) for d in D[:2]], "source string, symbol string, trade_date date")
+    rows = [("x", "a", "v2", D[0], D[1], 2), ("x", "a", "v2", D[1], D[3], 3), ("y", "a", "v2", D[0], D[0], 1), ("y", "a", "v2", D[1], D[2], 2), ("y", "a", "v1", D[0], D[3], 2), ("z", "a", "v2", D[0], D[3], 0)]
+    receipts = spark.createDataFrame(rows, "source string, symbol string, version string, window_start date, window_end date, n_rows long")
+    got = {(r["symbol"], r["trade_date"]): r["n_sources"] for r in unverified_pairs(pairs_, receipts, stored, ("x", "y"), "v2").collect()}
+    assert got == {("a", D[1]): 1, ("a", D[2]): 1, ("a", D[3]): 1, ("b", D[0]): 0}
