@@ -1,4 +1,4 @@
-"""Training-data operators: ten jobs over documents, embeddings and conversations.
+"""Training-data operators: jobs over documents, pages, embeddings and conversations.
 
 Nothing outside this subpackage imports it. Each module holds one operator with a general DataFrame
 interface; ``queries`` registers the thin digest queries.
