@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PRICES = ("open", "high", "low", "close")
@@ -69,6 +69,25 @@ def qfq_window(bars: DataFrame, factors: DataFrame, start=None, end=None) -> Dat
     return _forward(b, factors, anchors(b, factors), False)
 
 
+def register_qfq_function(spark: SparkSession, bars: str = "daily_bars", factors: str = "adj_factors", name: str = "daily_bars_qfq") -> None:
+    """``name(start_date, end_date)`` as a table function of free SQL over two views, with the anchors of ``qfq_window``; null or absent bounds are open."""
+    prices = ", ".join(f"b.{c} * r.ratio AS adj_{c}" for c in PRICES)
+    columns = ", ".join(f"{c} DOUBLE" for c in (*PRICES, *(f"adj_{c}" for c in PRICES)))
+    spark.sql(f"""
+      CREATE OR REPLACE TEMPORARY FUNCTION {name}(start_date DATE DEFAULT NULL, end_date DATE DEFAULT NULL)
+      RETURNS TABLE (symbol STRING, trade_date DATE, {columns}, volume BIGINT, amount DOUBLE, qfq_factor DOUBLE, adj_is_exact BOOLEAN)
+      RETURN
+        WITH inside AS (
+          SELECT * FROM {bars} v WHERE (start_date IS NULL OR v.trade_date >= start_date) AND (end_date IS NULL OR v.trade_date <= end_date)),
+        known AS (SELECT symbol, trade_date, factor FROM {factors} WHERE adjust_type = 'hfq'),
+        last_bar AS (SELECT symbol, max(trade_date) AS last_date FROM inside GROUP BY symbol),
+        anchors AS (SELECT k.symbol, max_by(k.factor, k.trade_date) AS anchor FROM known k JOIN last_bar l ON k.symbol = l.symbol AND k.trade_date <= l.last_date GROUP BY k.symbol),
+        r AS (
+          SELECT i.*, k.factor IS NOT NULL AS is_exact, CASE WHEN k.factor IS NOT NULL AND a.anchor <> 0 THEN k.factor / a.anchor ELSE 1.0D END AS ratio
+          FROM inside i LEFT JOIN known k ON i.symbol = k.symbol AND i.trade_date = k.trade_date LEFT JOIN anchors a ON i.symbol = a.symbol)
+        SELECT r.symbol, r.trade_date, {", ".join(f"r.{c}" for c in PRICES)}, {prices.replace("b.", "r.")}, r.volume, r.amount, r.ratio, r.is_exact FROM r""")
+
+
 def qfq_base_date(bars: DataFrame, factors: DataFrame, base_date, strict: bool = False) -> DataFrame:
     """Anchor (c): the factor on ``base_date`` itself; a row is exact when both factors exist."""
     base = factors.where((F.col("trade_date") == F.lit(base_date)) & (F.col("adjust_type") == "hfq")).select("symbol", F.col("factor").alias("_base"))

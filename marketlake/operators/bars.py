@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.market import traded
+from . import slices
 
 
 def by_symbol():
@@ -40,22 +43,29 @@ def upsample(bars: DataFrame, minutes: int) -> DataFrame:
     )
 
 
-def session_returns(bars: DataFrame, sessions: DataFrame, price: str = "close") -> DataFrame:
-    """Return since the previous traded bar, only where that bar is of the previous session."""
-    lagged = bars.where(traded()).select("*", F.lag(price).over(by_symbol()).alias("prev_price"), F.lag("trade_date").over(by_symbol()).alias("prev_bar"))
+def session_returns(bars: DataFrame, sessions: DataFrame, price: str = "close", by: Callable | None = None) -> DataFrame:
+    """Return since the previous traded bar, only where that bar is of the previous session; ``by`` (see ``slices``) deals a symbol to many tasks."""
+    inside = bars.where(traded())
+    if by is None:
+        lagged = inside.select("*", F.lag(price).over(by_symbol()).alias("prev_price"), F.lag("trade_date").over(by_symbol()).alias("prev_bar"))
+    else:
+        lagged = slices.previous(inside, ["symbol"], "trade_date", by, {"prev_price": price, "prev_bar": "trade_date"})
     near = lagged.join(F.broadcast(sessions.select("trade_date", "prev_date")), "trade_date").where("prev_bar = prev_date")
     ret = F.try_divide(F.col(price), F.col("prev_price")) - 1
     return near.withColumn("ret", ret).where(F.col("ret").isNotNull() & ~F.isnan("ret") & (F.abs("ret") != float("inf"))).drop("prev_price", "prev_bar", "prev_date")
 
 
-def raw_and_adjusted_returns(bars: DataFrame) -> DataFrame:
-    """Raw and adjusted return and the previous date, over bars with a factor column."""
-    w = by_symbol()
-    adj = F.col("close") * F.col("factor")
-    return bars.select(
-        "symbol", "trade_date", F.lag("trade_date").over(w).alias("prev_date"), (F.try_divide("close", F.lag("close").over(w)) - 1).alias("raw_ret"),
-        (F.try_divide(adj, F.lag(adj).over(w)) - 1).alias("adj_ret"),
-    ).where("prev_date IS NOT NULL")
+def raw_and_adjusted_returns(bars: DataFrame, by: Callable | None = None) -> DataFrame:
+    """Raw and adjusted return and the previous date, over bars with a factor column; ``by`` deals a symbol to many tasks."""
+    adjusted = bars.select("symbol", "trade_date", "close", (F.col("close") * F.col("factor")).alias("_adj"))
+    before = {"prev_date": "trade_date", "_close": "close", "_prev_adj": "_adj"}
+    if by is None:
+        w = by_symbol()
+        lagged = adjusted.select("*", *(F.lag(c).over(w).alias(new) for new, c in before.items()))
+    else:
+        lagged = slices.previous(adjusted, ["symbol"], "trade_date", by, before)
+    ret = lambda now, then: F.try_divide(F.col(now), F.col(then)) - 1
+    return lagged.where("prev_date IS NOT NULL").select("symbol", "trade_date", "prev_date", ret("close", "_close").alias("raw_ret"), ret("_adj", "_prev_adj").alias("adj_ret"))
 
 
 def tail(bars: DataFrame, n: int) -> DataFrame:

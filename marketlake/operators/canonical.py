@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.market import traded
 from ..functions.symbols import evidence_rank, source_rank
+from .digest import PROVENANCE, aggregates, business_columns
 
 
 def canonical(df: DataFrame, key: list[str], primary: str | None = None, backup: str | None = None, evidence: bool = False) -> DataFrame:
@@ -40,10 +41,9 @@ def duplicate_keys(df: DataFrame, key: list[str]) -> DataFrame:
     return df.groupBy(*key).agg(F.count("*").alias("n_rows")).where("n_rows > 1")
 
 
-def business_digest(df: DataFrame, provenance: tuple[str, ...] = ("source", "data_version", "fetched_at")) -> DataFrame:
-    """Row count and order-free hash of the columns that carry business content."""
-    columns = sorted(c for c in df.columns if c not in provenance)
-    return df.agg(F.count("*").alias("n_rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("digest"))
+def business_digest(df: DataFrame, provenance: tuple[str, ...] = PROVENANCE) -> DataFrame:
+    """Row count and order-free, additive digest of the columns that carry business content."""
+    return df.agg(*aggregates(business_columns(df, provenance)))
 
 
 def stratified_sample(df: DataFrame, stratum: str, key: list[str], slots: int) -> DataFrame:

@@ -16,6 +16,7 @@ from ..operators.adjust import with_hfq
 from ..operators.asof import asof_step, expand_closed_open, expand_open, latest_snapshot, members_as_of
 from ..operators.bars import previous_session, session_returns, tail
 from ..operators.canonical import canonical, first_by
+from ..operators.contains import overlapping
 
 BREADTH = ("advance_count", "decline_count", "flat_count", "limit_up_count", "limit_down_count", "advance_ratio", "total_count")
 LEVELS = ("L1", "L2", "L3")
@@ -221,10 +222,13 @@ def sector_routing(boards: DataFrame, indices: DataFrame, exclusive: str | None
     left = boards.select("sector_code", "sector_name", "board_type", sector_name(F.col("sector_name")).alias("k"))
     right = indices.select("tdx_code", sector_name(F.trim("name")).alias("k"))
     exact = right.groupBy("k").agg(F.countDistinct("tdx_code").alias("n_exact"), F.min("tdx_code").alias("exact_code"))
-    names = F.broadcast(right.withColumnRenamed("k", "rk"))
-    near = left.where(F.length("k") >= 2).join(names, F.contains("rk", F.col("k")) | F.contains("k", F.col("rk")))
-    fuzzy = near.groupBy("sector_code").agg(F.countDistinct("tdx_code").alias("n_fuzzy"), F.min("tdx_code").alias("fuzzy_code"))
-    joined = left.join(exact, "k", "left").join(fuzzy, "sector_code", "left")
+    # Names that normalise to nothing lie in every name; they are counted once, not paired with each board.
+    n_empty, empty_code = right.where("k = ''").agg(F.countDistinct("tdx_code"), F.min("tdx_code")).first()
+    pairs = overlapping(left.where(F.length("k") >= 2).select(F.col("k").alias("left")), right.select(F.col("k").alias("right")))
+    others = right.join(right.where("k = ''").select("tdx_code").distinct(), "tdx_code", "left_anti")
+    near = pairs.join(others, F.col("right") == F.col("k")).groupBy(F.col("left").alias("k")).agg(F.countDistinct("tdx_code").alias("n_near"), F.min("tdx_code").alias("near_code"))
+    fuzzy = left.where(F.length("k") >= 2).select("k").distinct().join(near, "k", "left").select("k", (F.coalesce("n_near", F.lit(0)) + n_empty).alias("n_fuzzy"), F.least("near_code", F.lit(empty_code).cast("string")).alias("fuzzy_code"))
+    joined = left.join(exact, "k", "left").join(fuzzy, "k", "left")
     own = F.col("sector_name").rlike(exclusive) if exclusive else F.lit(False)
     reason = (
         F.when(own, "em_exclusive").when((F.col("n_exact") == 1) & (F.col("board_type") == "industry"), "industry_exact").when(F.col("n_exact") == 1, "concept_exact")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import derived, lake, operators, own, quality  # noqa: F401
+from . import derived, lake, operators, own, quality, scale  # noqa: F401
 from .core import QUERIES, full_sql, runner
 
 

@@ -68,9 +68,17 @@ def _(fx):
     return canonical.duplicate_keys(fx("bars_raw"), KEY)
 
 
-@query("a22_business_digest", "bars_raw")
+#: Prices and amounts as decimals, whose texts are the same in both engines.
+RESOLVED = {"open": "decimal(24,9)", "high": "decimal(24,9)", "low": "decimal(24,9)", "close": "decimal(24,9)", "amount": "decimal(24,2)"}
+_DIGESTED = " || ".join(f"coalesce(strlen({t}) || ':' || {t}, '-')" for c in ("amount", "close", "high", "low", "open", "symbol", "trade_date", "volume") for t in [f"CAST({f'CAST({c} AS {RESOLVED[c]})' if c in RESOLVED else c} AS VARCHAR)"])
+
+
+@query("a22_business_digest", "bars_raw", f"""
+WITH h AS (SELECT md5({_DIGESTED}) AS h FROM bars_raw)
+SELECT count(*) AS n_rows, CAST(sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)) AS VARCHAR) AS digest_a, CAST(sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)) AS VARCHAR) AS digest_b FROM h""")
 def _(fx):
-    return canonical.business_digest(fx("bars_raw"))
+    resolved = fx("bars_raw").withColumns({c: F.col(c).cast(t) for c, t in RESOLVED.items()})
+    return canonical.business_digest(resolved).select("n_rows", F.col("digest_a").cast("string").alias("digest_a"), F.col("digest_b").cast("string").alias("digest_b"))
 
 
 @query("t6_stratified_sample", "bars", """

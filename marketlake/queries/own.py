@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import market as M
 from ..functions import symbols as S
 from ..functions import text as T
-from ..operators import adjust, bars, canonical, paging
+from ..operators import adjust, bars, canonical, paging, ranks
 from ..plans import derive, quality
 from ..registry import contracts, dataset, with_provenance
 from ..sources import lake
@@ -200,8 +200,8 @@ def _(fx):
 
 @query("a11_median_ratio", "bars_raw", "SELECT source, round(median(amount / (volume * close)), 9) AS ratio, count(*) AS n FROM bars_raw WHERE volume > 0 AND amount IS NOT NULL GROUP BY 1")
 def _(fx):
-    whole = fx("bars_raw").where("volume > 0 AND amount IS NOT NULL")
-    return whole.groupBy("source").agg(F.round(F.median(F.col("amount") / (F.col("volume") * F.col("close"))), 9).alias("ratio"), F.count("*").alias("n"))
+    whole = fx("bars_raw").where("volume > 0 AND amount IS NOT NULL").select("source", (F.col("amount") / (F.col("volume") * F.col("close"))).alias("ratio"))
+    return ranks.grouped_median(whole, "source", "ratio", lake.kept).select("source", F.round("median", 9).alias("ratio"), "n")
 
 
 @query("a12_null_share", "bars_raw", "SELECT source, count(*) AS n, count(*) FILTER (WHERE amount IS NULL) AS n_null FROM bars_raw GROUP BY 1")
@@ -262,7 +262,7 @@ def _(fx):
 def _(fx):
     # Places in the contract's order over the whole table, by ranges: partition totals, then places within.
     order = contract_order(fx("ticks"), "trade_date")
-    dealt = fx("ticks").select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
+    dealt = lake.kept(fx("ticks").select(*order).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "t1")
     counts = dealt.groupBy("part").agg(F.count("*").alias("n"))
     before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("part").orderBy(*order))

@@ -7,15 +7,22 @@ never replaces the real date column. Generations lie under ``gen=N`` and a manif
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
+from dataclasses import dataclass
 from datetime import date
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.market import partition_value
-from ..operators.canonical import business_digest, canonical, upsert
+from ..operators.canonical import canonical, upsert
+from ..operators.digest import Observed
+from ..operators.paging import page_with_total
 from ..registry import Dataset
 
+T = TypeVar("T")
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -27,6 +34,26 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place of ``spark.checkpoint.dir``; in local mode without one, in the warehouse."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared place and read back: what follows may read it several times, and lineage ends there."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def label_bounds(label: str) -> tuple[str, str]:
     """First and last day a partition label covers, as ISO strings (months end on 31 for comparison)."""
     if "Q" in label:
@@ -95,23 +122,76 @@ def write_partitions(df: DataFrame, root: str, day: str, granularity: str) -> No
     labelled.repartition(f"p_{day}", *dealt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(f"p_{day}").parquet(root)
 
 
+def write_clustered(df: DataFrame, root: str, day: str, granularity: str, by: str = "symbol", page_rows: int = 20_000, group_bytes: int = 32 << 20) -> None:
+    """Overwrites the partitions that ``df`` touches, with rows sorted by (``by``, day) within each label.
+
+    Rows are dealt by ranges of (label, ``by``, day), so that each file holds a range of its own, however many rows one symbol has; footers, page indexes and
+    Bloom filters on ``by`` then let a scan of a few symbols skip files, row groups and pages.
+    """
+    label = f"p_{day}"
+    order = [label, by, day]
+    labelled = df.withColumn(label, partition_value(F.col(day), granularity))
+    writer = labelled.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    layout = {"parquet.block.size": group_bytes, "parquet.page.row.count.limit": page_rows, f"parquet.bloom.filter.enabled#{by}": True, "parquet.bloom.filter.adaptive.enabled": True}
+    writer.options(**layout).partitionBy(label).parquet(root)
+
+
+def measured(spark: SparkSession, action: Callable[[], T]) -> tuple[T, dict[str, int]]:
+    """What ``action`` returns, and the rows and bytes that its jobs read from files, after files, row groups and pages were skipped."""
+    group, sc = f"measured-{uuid.uuid4().hex}", spark.sparkContext
+    before = sc.getLocalProperty("spark.jobGroup.id")
+    sc.setLocalProperty("spark.jobGroup.id", group)
+    try:
+        out = action()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", before)
+    jsc = sc._jsc.sc()
+    jsc.listenerBus().waitUntilEmpty()
+    tracker, read = sc.statusTracker(), {"rows": 0, "bytes": 0}
+    stages = {s for j in tracker.getJobIdsForGroup(group) if (info := tracker.getJobInfo(j)) for s in info.stageIds}
+    for stage in stages:
+        if (info := tracker.getStageInfo(stage)) and info.numCompletedTasks:  # skipped stages have run none
+            found = jsc.statusStore().lastStageAttempt(stage)
+            read["rows"] += found.inputRecords()
+            read["bytes"] += found.inputBytes()
+    return out, read
+
+
+@dataclass(frozen=True)
+class Read:
+    """Rows that were written aside, and what it took to read them."""
+
+    table: DataFrame
+    read: dict[str, int]
+
+
+def kept_rows(df: DataFrame, name: str = "kept") -> Read:
+    """Runs ``df`` once: its rows, kept in the shared place, with the rows and bytes that were read for them."""
+    return Read(*measured(df.sparkSession, lambda: kept(df, name)))
+
+
 def compact(spark: SparkSession, staged: DataFrame, root: str, key: list[str], day: str, granularity: str, **sources) -> bool:
-    """Merges staged rows into their partitions, one canonical row per key; writes only if business content changed."""
+    """Merges staged rows into their partitions, one canonical row per key; publishes only if business content changed.
+
+    The touched partitions are read and merged once: digests of the stored and of the merged rows are observed while the merged rows are written aside.
+    """
     touched = staged.select(partition_value(F.col(day), granularity).alias(f"p_{day}")).distinct()
     if not exists(spark, root):
         write_partitions(canonical(staged, key, **sources), root, day, granularity)
         return True
-    stored = spark.read.parquet(root).join(F.broadcast(touched), f"p_{day}", "left_semi").drop(f"p_{day}")
-    merged = upsert(stored, staged, key, **sources).select(stored.columns)
-    if business_digest(merged).first() == business_digest(stored).first():
-        return False
+    stored = spark.read.parquet(root)
+    columns = [c for c in stored.columns if c != f"p_{day}"]
+    before, after = Observed(), Observed()
+    stored = before.on(stored.join(F.broadcast(touched), f"p_{day}", "left_semi").select(columns))
+    merged = after.on(upsert(stored, staged, key, **sources).select(columns))
     # Spark does not overwrite what a plan reads: the merged rows are written beside the table first, in a folder of this call.
     aside = f"{root.rstrip('/')}_merge_{uuid.uuid4().hex}"
     merged.write.parquet(aside)
-    write_partitions(spark.read.parquet(aside), root, day, granularity)
-    fs, p = _fs(spark, aside)
-    fs.delete(p, True)
-    return True
+    changed = before.digest != after.digest
+    if changed:
+        write_partitions(spark.read.parquet(aside), root, day, granularity)
+    delete(spark, aside)
+    return changed
 
 
 def repartition_dataset(spark: SparkSession, root: str, to: str, day: str, granularity: str) -> int:
@@ -167,8 +247,17 @@ class Generations:
     def current(self) -> int | None:
         return self.manifest().agg(F.max("gen")).first()[0]
 
-    def commit(self, df: DataFrame) -> int:
+    def _claimed(self) -> int:
+        """The next number that no other writer has: its claim is a file that only one can create."""
         gen = (self.current() or 0) + 1
+        while True:
+            fs, p = _fs(self.spark, f"{self.root}/claims/{gen}")
+            if fs.createNewFile(p):
+                return gen
+            gen += 1
+
+    def commit(self, df: DataFrame) -> int:
+        gen = self._claimed()
         df.write.parquet(f"{self.root}/gen={gen}")
         n = self.spark.read.parquet(f"{self.root}/gen={gen}").count()
         row = self.spark.createDataFrame([(gen, n)], "gen int, n_rows long").select("gen", F.current_timestamp().alias("committed_at"), "n_rows")
@@ -222,6 +311,9 @@ def register_views(frames: dict[str, DataFrame]) -> None:
 
 
 def run_sql(spark: SparkSession, text: str, limit: int | None = None) -> tuple[DataFrame, int]:
-    """Free SQL over the registered views, with the honest total; counting runs the query once more."""
+    """Free SQL over the registered views, with the honest total; with a limit both come from one run of the query."""
     df = spark.sql(text)
-    return (df if limit is None else df.limit(limit)), df.count()
+    if limit is None:
+        return df, df.count()
+    page = page_with_total(df, limit)
+    return page.rows, page.total

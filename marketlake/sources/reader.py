@@ -6,7 +6,6 @@ A lake has ``root/<layer>/<dataset>`` in label partitions, and, where a dataset
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +19,7 @@ from ..operators.pit import read_pit
 from ..operators.universe import PROFILES, apply_universe
 from ..registry import DATASETS, Dataset, dataset
 from . import lake
+from .lake import work_dir  # noqa: F401
 
 ADJUSTABLE = ("daily_bars", "minute_bars", "minute_bars_5m", "trade_ticks")
 
@@ -28,14 +28,6 @@ class ReaderError(ValueError):
     """A request that the lake cannot answer."""
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place of ``spark.checkpoint.dir``; in local mode without one, in the warehouse."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ReaderError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{(base or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def read_files(spark: SparkSession, paths: list[str], contract: Dataset | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """A table over given files, merged by name. With a contract its columns come first and absent ones are null, so that no footer is read to plan."""
     if contract is None:
