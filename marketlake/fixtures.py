@@ -102,6 +102,11 @@ FIXTURES: dict[str, str] = {
       SELECT symbol, trade_date, open, high, low, CASE WHEN volume % 19 = 0 THEN close * 1.02 WHEN volume % 29 = 0 THEN CAST(NULL AS DOUBLE) ELSE close END AS close, volume, amount FROM bars WHERE volume > 2""",
     "thinned_bars": "SELECT * FROM bars WHERE volume > 20 OR month(trade_date) % 2 = 0",
     "large_bars": "SELECT * FROM bars WHERE volume > 30",
+    "rare_bars": "SELECT * FROM bars WHERE volume > 48",
+    "late_bars": "SELECT * FROM bars WHERE trade_date <> (SELECT CAST(min(trade_date) + INTERVAL '1000' DAY AS DATE) FROM calendar) AND trade_date <> (SELECT CAST(min(trade_date) + INTERVAL '1002' DAY AS DATE) FROM calendar)",
+    "few_actions": "SELECT * FROM actions WHERE month(ex_date) > 6",
+    "odd_amounts": """
+      SELECT symbol, trade_date, source, CASE WHEN volume % 37 = 0 THEN CAST('Infinity' AS DOUBLE) WHEN volume % 31 = 0 THEN CAST('NaN' AS DOUBLE) ELSE amount END AS amount FROM bars_raw""",
     "holed_ticks": "SELECT * FROM ticks WHERE direction <> 'neutral' OR tick_seq > 20",
     "valuations": """
       SELECT symbol, trade_date, close / 3 AS pe_ttm, close * 1000 AS total_mv FROM bars WHERE volume > 12
@@ -117,6 +122,8 @@ FIXTURES: dict[str, str] = {
       FROM (SELECT p_brand, p_type, p_size, min(p_partkey) AS k FROM {part} GROUP BY p_brand, p_type, p_size) x""",
 }
 
+#: Folders where the fixtures of a folder of test tables were written once, by that folder (see ``store``).
+STORED: dict[str, str] = {}
 _NAME = re.compile(r"\b(" + "|".join(FIXTURES) + r")\b")
 
 
@@ -149,8 +156,18 @@ def duckdb(names: tuple[str, ...]) -> str:
 
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture, or a base table, as a DataFrame."""
+    if sf_dir in STORED and name in FIXTURES:
+        return spark.read.parquet(f"{STORED[sf_dir]}/{name}")
     if name not in FIXTURES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = with_clause((name,)).replace("WEEKDAY0(", "weekday(").replace("MONTH_END(", "last_day(")
     tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in set(re.findall(r"\{(\w+)\}", text))}
     return spark.sql(f"WITH {text} SELECT * FROM {name}", **tables)
+
+
+def store(spark: SparkSession, sf_dir: str, root: str, names: tuple[str, ...] = tuple(FIXTURES)) -> None:
+    """Writes fixtures as tables under ``root``; from then on queries over ``sf_dir`` read these, as a lake's user would, and do not derive them."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for name in names:
+        frame(spark, sf_dir, name).write.mode("overwrite").parquet(f"{root}/{name}")
+    STORED[sf_dir] = root

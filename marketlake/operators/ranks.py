@@ -68,7 +68,7 @@ def kth_values(df: DataFrame, group: str, value: str, ranks: Callable[[Column],
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
-    return out.select(F.col("g").alias(group), "n", "rank", "value")
+    return keep(out.select(F.col("g").alias(group), "n", "rank", "value"), "ranks")
 
 
 def grouped_median(df: DataFrame, group: str, value: str, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ from ..functions import market as M
 from ..functions import symbols as S
 from ..functions import text as T
 from ..operators import paging
+from ..operators.bars import contiguous_prefix
 from ..plans.reports import tier_rollup
 from ..sources import lake
 from .core import query
@@ -68,14 +69,25 @@ def _(fx):
     return lake.delta(fx("bars"), fx("backup_bars"), KEY)
 
 
-@query("m7_watermark", "bars sessions", """
-WITH c AS (SELECT s.trade_date, b.trade_date IS NULL AS hole FROM sessions s LEFT JOIN (SELECT DISTINCT trade_date FROM bars WHERE volume > 3) b ON s.trade_date = b.trade_date), r AS (SELECT *, sum(CASE WHEN hole THEN 1 ELSE 0 END) OVER (ORDER BY trade_date) AS n FROM c)
-SELECT 'daily_bars' AS dataset, max(CASE WHEN n = 0 THEN trade_date END) AS last_contiguous FROM r""")
-def _(fx):
-    from ..operators.bars import contiguous_prefix
+def _watermark_sql(rows: str) -> str:
+    return f"""
+WITH c AS (SELECT s.trade_date, b.trade_date IS NULL AS hole FROM sessions s LEFT JOIN (SELECT DISTINCT trade_date FROM {rows}) b ON s.trade_date = b.trade_date), r AS (SELECT *, sum(CASE WHEN hole THEN 1 ELSE 0 END) OVER (ORDER BY trade_date) AS n FROM c)
+SELECT 'daily_bars' AS dataset, max(CASE WHEN n = 0 THEN trade_date END) AS last_contiguous FROM r"""
+
 
+def _watermark(sessions, present):
     tag = F.lit("daily_bars").alias("dataset")
-    return contiguous_prefix(fx("sessions").select(tag, "trade_date"), fx("bars").where("volume > 3").select(tag, "trade_date"), ["dataset"])
+    return contiguous_prefix(sessions.select(tag, "trade_date"), present.select(tag, "trade_date"), ["dataset"])
+
+
+@query("m7_watermark", "bars sessions", _watermark_sql("bars"))
+def _(fx):
+    return _watermark(fx("sessions"), fx("bars"))
+
+
+@query("m7_watermark_planted", "late_bars sessions", _watermark_sql("late_bars"))
+def _(fx):
+    return _watermark(fx("sessions"), fx("late_bars"))
 
 
 @query("m9_incremental_sessions", "sessions", "SELECT trade_date FROM sessions WHERE trade_date > DATE '2000-12-31' AND trade_date <= DATE '2001-03-31'")

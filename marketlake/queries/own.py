@@ -10,7 +10,7 @@ from ..functions import symbols as S
 from ..functions import text as T
 from ..operators import adjust, bars, canonical, paging, ranks
 from ..plans import derive, quality
-from ..registry import contracts, dataset, with_provenance
+from ..registry import affected, compatibility, dataset, described, profile, with_provenance
 from ..sources import lake
 from ..sources.reader import Lake, contract_order, landed_intervals, quarantine, read_files, work_dir
 from ..streaming import bars as streams
@@ -64,9 +64,18 @@ def _(fx):
     return fx("bars_raw").select(*KEY, "source", M.valid_bar().alias("valid"))
 
 
-@query("p11_finite_values", "bars_raw", "SELECT symbol, trade_date, source, CAST(amount / (volume - 10) AS DOUBLE) IS NULL OR isfinite(amount / (volume - 10)) AS sound FROM bars_raw WHERE volume <> 10")
+def _finite_sql(rows: str) -> str:
+    return f"SELECT symbol, trade_date, source, amount IS NULL OR isfinite(amount) AS sound FROM {rows}"
+
+
+@query("p11_finite_values", "bars_raw", _finite_sql("bars_raw"))
+def _(fx):
+    return fx("bars_raw").select(*KEY, "source", M.finite(F.col("amount")).alias("sound"))
+
+
+@query("p11_finite_values_planted", "odd_amounts", _finite_sql("odd_amounts"))
 def _(fx):
-    return fx("bars_raw").where("volume <> 10").select(*KEY, "source", M.finite(F.col("amount") / (F.col("volume") - 10)).alias("sound"))
+    return fx("odd_amounts").select(*KEY, "source", M.finite(F.col("amount")).alias("sound"))
 
 
 @query("p12_cast_quarantine", "bars_raw", f"""
@@ -179,23 +188,40 @@ def _moves(fx) -> DataFrame:
     return fx("bars").select("trade_date", ((F.col("close") - F.col("open")) / F.col("open")).alias("pct"), S.limit_threshold(F.col("symbol"), F.lit(False)).alias("limit"))
 
 
-@query("a21_pivot_metrics", "bars", """
-SELECT trade_date, count(*) FILTER (close > open) AS up, count(*) FILTER (close < open) AS down, count(*) FILTER (close = open) AS flat, count(*) AS total, CASE WHEN month(trade_date) = 2 THEN 6 ELSE 7 END AS n FROM bars GROUP BY 1""")
-def _(fx):
-    kept = derive.breadth_counts(_moves(fx)).where("month(trade_date) <> 2 OR metric_id <> 'limit_up_count'")
+def _pivot_sql(n: str) -> str:
+    return f"SELECT trade_date, count(*) FILTER (close > open) AS up, count(*) FILTER (close < open) AS down, count(*) FILTER (close = open) AS flat, count(*) AS total, {n} AS n FROM bars GROUP BY 1"
+
+
+def _pivoted(counts: DataFrame) -> DataFrame:
     whole = lambda c: F.col(f"{c}_count").cast("long")
-    wide = quality.breadth_metrics(kept, derive.BREADTH)
+    wide = quality.breadth_metrics(counts, derive.BREADTH)
     return wide.select("trade_date", whole("advance").alias("up"), whole("decline").alias("down"), whole("flat").alias("flat"), whole("total").alias("total"), F.col("n").cast("int").alias("n"))
 
 
+@query("a21_pivot_metrics", "bars", _pivot_sql("7"))
+def _(fx):
+    return _pivoted(derive.breadth_counts(_moves(fx)))
+
+
+@query("a21_pivot_metrics_planted", "bars", _pivot_sql("CASE WHEN month(trade_date) = 2 THEN 6 ELSE 7 END"))
+def _(fx):
+    # A metric that was not stored in any February is counted as missing then.
+    return _pivoted(derive.breadth_counts(_moves(fx)).where("month(trade_date) <> 2 OR metric_id <> 'limit_up_count'"))
+
+
 @query("a7_distinct_members", "members", "SELECT as_of_date, industry_code, count(DISTINCT symbol) AS n FROM members GROUP BY 1, 2")
 def _(fx):
     return fx("members").groupBy("as_of_date", "industry_code").agg(F.countDistinct("symbol").alias("n"))
 
 
-@query("a10_date_set_difference", "sessions bars", "SELECT trade_date FROM sessions EXCEPT SELECT trade_date FROM bars WHERE volume > 40")
+@query("a10_date_set_difference", "sessions bars", "SELECT trade_date FROM sessions EXCEPT SELECT trade_date FROM bars")
+def _(fx):
+    return fx("sessions").select("trade_date").subtract(fx("bars").select("trade_date"))
+
+
+@query("a10_date_set_difference_planted", "sessions rare_bars", "SELECT trade_date FROM sessions EXCEPT SELECT trade_date FROM rare_bars")
 def _(fx):
-    return fx("sessions").select("trade_date").subtract(fx("bars").where("volume > 40").select("trade_date"))
+    return fx("sessions").select("trade_date").subtract(fx("rare_bars").select("trade_date"))
 
 
 @query("a11_median_ratio", "bars_raw", "SELECT source, round(median(amount / (volume * close)), 9) AS ratio, count(*) AS n FROM bars_raw WHERE volume > 0 AND amount IS NOT NULL GROUP BY 1")
@@ -467,11 +493,24 @@ def _(fx):
     return home.state("daily_bars").select("dataset", "revision", "n_rows")
 
 
-@query("s15_contracts", "bars", "SELECT DISTINCT 'daily_bars' AS dataset, u.c AS \"column\", CAST(u.k AS INTEGER) AS key_position, count(*) OVER () AS n FROM (SELECT 'symbol' AS c, 0 AS k UNION ALL SELECT 'trade_date', 1) u WHERE EXISTS (SELECT 1 FROM bars)")
+PROFILED = ("symbol", "trade_date", "open", "high", "low", "close", "volume", "amount", "source", "data_version")
+
+
+@query("s15_contracts", "bars_raw", "SELECT 'daily_bars' AS dataset, u.c AS \"column\", CAST(CASE u.c WHEN 'symbol' THEN 0 WHEN 'trade_date' THEN 1 END AS INTEGER) AS key_position, u.n_rows, u.n_rows - u.n_known AS n_null, CASE WHEN u.c = 'turnover' THEN 'missing' END AS finding FROM ("
+       + " UNION ALL ".join(f"SELECT '{c}' AS c, count(*) AS n_rows, count({c}) AS n_known FROM bars_raw" for c in PROFILED) + ") u")
+def _(fx):
+    return profile(fx("bars_raw"), "daily_bars").where("column <> 'fetched_at'")
+
+
+@query("s15_compatibility", "bars_raw status", """
+SELECT 'daily_bars' AS dataset, NULL AS "column", 'dataset_removed' AS kind, 'symbol,trade_date' AS old, NULL AS new, true AS breaking, count(*) AS n_rows FROM bars_raw UNION ALL
+SELECT 'trading_status', 'risk_warning', 'column_removed', 'boolean', NULL, true, count(risk_warning) FROM status UNION ALL SELECT 'trading_status', 'is_trading', 'column_retyped', 'boolean', 'string', true, count(is_trading) FROM status UNION ALL
+SELECT 'trading_status', 'note', 'column_added', NULL, 'string', false, NULL""")
 def _(fx):
-    keyed = contracts(fx("bars").sparkSession).where("dataset = 'daily_bars' AND key_position IS NOT NULL").select("dataset", "column", "key_position")
-    held = keyed.join(fx("bars").limit(1).select(F.lit(1).alias("one")), F.lit(True))
-    return held.select("dataset", "column", "key_position", F.count("*").over(Window.partitionBy("one")).alias("n"))
+    stored = {"daily_bars": fx("bars_raw"), "trading_status": fx("status")}
+    new = fx("status").drop("risk_warning").withColumn("is_trading", F.col("is_trading").cast("string")).withColumn("note", F.lit("x"))
+    old = described(stored["daily_bars"], "daily_bars").unionByName(described(stored["trading_status"], "trading_status"))
+    return affected(compatibility(old, described(new, "trading_status")), stored)
 
 
 @query("s17_partition_overwrite", "bars", "SELECT symbol, trade_date, CASE WHEN year(trade_date) = 1997 THEN close * 2 ELSE close END AS close FROM bars")

@@ -105,10 +105,23 @@ def _(fx):
     return Q.adjusted_breaks(adjust.with_hfq(fx("bars"), fx("factors")), fx("sessions").select("trade_date")).select("symbol", "divergence", "n_found")
 
 
-@query("q12_missing_actions", "bars factors actions", f"""WITH {RR} SELECT r.symbol, r.trade_date, r.prev_date, raw_ret, adj_ret, abs(adj_ret - raw_ret) AS divergence FROM r ANTI JOIN actions a ON a.symbol = r.symbol AND a.ex_date > r.prev_date AND a.ex_date <= r.trade_date
-WHERE abs(adj_ret) <= 0.5 AND abs(adj_ret - raw_ret) > 0.005""")
+def _unexplained_sql(actions: str) -> str:
+    return f"""WITH {RR} SELECT r.symbol, r.trade_date, r.prev_date, raw_ret, adj_ret, abs(adj_ret - raw_ret) AS divergence FROM r ANTI JOIN {actions} a ON a.symbol = r.symbol AND a.ex_date > r.prev_date AND a.ex_date <= r.trade_date
+WHERE abs(adj_ret) <= 0.5 AND abs(adj_ret - raw_ret) > 0.005"""
+
+
+def _unexplained(fx, actions):
+    return Q.missing_actions(adjust.with_hfq(fx("bars"), fx("factors")), actions, 0.5, 0.005).select("symbol", "trade_date", "prev_date", "raw_ret", "adj_ret", "divergence")
+
+
+@query("q12_missing_actions", "bars factors actions", _unexplained_sql("actions"))
+def _(fx):
+    return _unexplained(fx, fx("actions"))
+
+
+@query("q12_missing_actions_planted", "bars factors few_actions", _unexplained_sql("few_actions"))
 def _(fx):
-    return Q.missing_actions(adjust.with_hfq(fx("bars"), fx("factors")), fx("actions"), 0.5, 0.005).select("symbol", "trade_date", "prev_date", "raw_ret", "adj_ret", "divergence")
+    return _unexplained(fx, fx("few_actions"))
 
 
 @query("q13_factor_steps", "factors", "WITH s AS (SELECT symbol, trade_date, factor / lag(factor) OVER (PARTITION BY symbol, adjust_type ORDER BY trade_date) AS step FROM factors) SELECT * FROM s WHERE step > 1.02 OR step < 1 / 1.02")

@@ -116,10 +116,11 @@ WRITERS = 8
 
 
 def write_partitions(df: DataFrame, root: str, day: str, granularity: str) -> None:
-    """Overwrites the partitions that ``df`` touches and no others. Each label is written by up to ``WRITERS`` tasks, dealt by symbol."""
+    """Overwrites the partitions that ``df`` touches and no others. Each label is written by up to ``WRITERS`` tasks, dealt by symbol; files are sorted by symbol and day."""
     labelled = df.withColumn(f"p_{day}", partition_value(F.col(day), granularity))
     dealt = [F.pmod(F.xxhash64("symbol"), F.lit(WRITERS))] if "symbol" in df.columns and granularity in ("year", "quarter", "month") else []
-    labelled.repartition(f"p_{day}", *dealt).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(f"p_{day}").parquet(root)
+    order = [f"p_{day}", *(["symbol"] if "symbol" in df.columns else []), day]
+    labelled.repartition(f"p_{day}", *dealt).sortWithinPartitions(*order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(f"p_{day}").parquet(root)
 
 
 def write_clustered(df: DataFrame, root: str, day: str, granularity: str, by: str = "symbol", page_rows: int = 20_000, group_bytes: int = 32 << 20) -> None:

@@ -118,12 +118,13 @@ class Lake:
 
     def load(
         self, name: str, start=None, end=None, adjust: str | None = None, universe: str | None = None, profile: str | None = None, as_of=None, items: list[str] | None = None,
-        symbols: list[str] | None = None, strict_adj: bool = False, strict_universe: bool = False, all_vintages: bool = False, pit_mode: str | None = None, revision: int | None = None, revision_map: dict[str, int] | None = None,
+        symbols: list[str] | None = None, strict_adj: bool = False, strict_universe: bool = False, all_vintages: bool = False, pit_mode: str | None = None, revision: int | None = None, revision_map: dict[str, int] | None = None, ordered: bool = True,
     ) -> DataFrame:
         """Scan, one row per key, universe, adjustment or point in time, contract order.
 
         ``revision`` pins the dataset itself; ``revision_map`` pins any dataset the read touches. A point-in-time dataset needs ``as_of``; without
-        ``pit_mode`` facts must also have been fetched by then. A profile sets universe and strictness.
+        ``pit_mode`` facts must also have been fetched by then. A profile sets universe and strictness. Who aggregates or joins the rows passes
+        ``ordered=False`` and spares the sort of the whole result.
         """
         if name not in DATASETS:
             raise ReaderError(f"unknown dataset {name!r}")
@@ -155,6 +156,6 @@ class Lake:
             if adjust and name in ADJUSTABLE:
                 factors = read("adj_factors", start=start, end=end, symbols=symbols)
                 out = A.hfq(out, factors, strict_adj) if adjust == "hfq" else A.forward_in_scope(out, factors, strict_adj)
-        order = contract_order(out, d.partition)
+        order = contract_order(out, d.partition) if ordered else []
         return out.orderBy(*order) if order else out
 

@@ -50,6 +50,28 @@ def test_registry(spark):
     assert registry.contract_diff(c, c.where("column <> 'close'")).where("change = 'removed'").count() > 0
 
 
+def test_contract_compatibility(spark):
+    c = registry.contracts(spark).drop("fingerprint")
+    assert registry.compatibility(c, c).isEmpty()
+    changed = c.where("dataset <> 'hot_rank' AND NOT (dataset = 'daily_bars' AND column = 'amount')")
+    changed = changed.withColumn("type", F.when((F.col("dataset") == "adj_factors") & (F.col("column") == "factor"), "float").otherwise(F.col("type")))
+    changed = changed.withColumn("pit", F.when(F.col("dataset") == "top_holders", False).otherwise(F.col("pit"))).withColumn("storage", F.when(F.col("dataset") == "fund_flow", "trade_date/year").otherwise(F.col("storage")))
+    changed = changed.withColumn("key_position", F.when((F.col("dataset") == "delisting_events") & (F.col("column") == "bars"), 1).otherwise(F.col("key_position")))
+    more = spark.createDataFrame([("daily_bars", "vwap", "double", None, False, "trade_date/day"), ("macro_indicators", "region", "string", 2, False, "obs_date/year"), ("new_set", "a", "string", 0, False, "/")], c.schema)
+    got = {(r["dataset"], r["column"], r["kind"], r["breaking"]) for r in registry.compatibility(c, changed.unionByName(more)).collect()}
+    assert got == {
+        ("hot_rank", None, "dataset_removed", True), ("new_set", None, "dataset_added", False), ("daily_bars", "amount", "column_removed", True), ("daily_bars", "vwap", "column_added", False), ("adj_factors", "factor", "column_retyped", True),
+        ("top_holders", None, "pit_changed", True), ("fund_flow", None, "storage_changed", True), ("delisting_events", None, "key_changed", True), ("macro_indicators", "region", "column_added", True), ("macro_indicators", None, "key_changed", True),
+    }
+
+
+def test_profile_against_the_contract(spark):
+    rows = spark.createDataFrame([("a", None, 1), (None, None, 2)], "symbol string, trade_date date, volume int")
+    got = {r["column"]: (r["n_rows"], r["n_null"], r["finding"]) for r in registry.profile(rows, "daily_bars").collect()}
+    assert got["symbol"] == (2, 1, "null_key") and got["volume"] == (2, 0, "retyped") and got["close"] == (2, 2, "missing") and len(got) == 11
+    assert {r["n_rows"] for r in registry.profile(rows.where("false"), "daily_bars").collect()} == {0}
+
+
 def test_tick_stream(spark, tmp_path):
     src = str(tmp_path / "ticks")
     rows = [("a", date(2024, 1, 5), i, datetime(2024, 1, 5, 9, 30 + i), float(i), 1) for i in range(20)]
