@@ -51,6 +51,11 @@ def test_op2(run):
         spans = secrets_of(t)
         want.append((key(i), *(sum(s.startswith(k) for s in spans.split(",")) for k in ("assign", "access", "hex")), hashlib.sha256(spans.encode()).hexdigest()))
     assert got == sorted(want)
+    # All spans: the base ones in their order, and those of the added rule.
+    for r in run("op2_secret_scans"):
+        spans = r["spans"].split(",") if r["spans"] else []
+        base = [x for x in spans if not x.startswith("pem:")]
+        assert hashlib.sha256(",".join(base).encode()).hexdigest() == r["base_sha256"] and spans == sorted(spans, key=lambda x: int(x.split(":")[1]))
 
 
 def test_op3(run):
