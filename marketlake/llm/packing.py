@@ -6,7 +6,7 @@
    least of an exponential draw a piece, divided by its weight), so that two documents have equal first keys with a
    probability equal to the similarity of their weighted word sets. A piece weighs the cube of its tokens, since the
    vocabulary gives common words few tokens and rare words many. Spark sorts all documents by these keys by ranges
-   and each range is read in shards of about ``SHARD_TOKENS`` tokens. Documents that say the same lie together at every size.
+   and each range is cut into equal shards of about ``SHARD_TOKENS`` tokens. Documents that say the same lie together at every size.
 3. In a shard, a seed is scored by all its distinct words against all unused documents of the shard; the best fill its window
    of ``WINDOW`` tokens. The document that is cut goes on in the next window as its seed, so windows have no padding; the rest
    of a shard is cut into sequences of powers of two.
@@ -25,6 +25,7 @@ scored neighbours takes the next unused document of its shard; ties of score go
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections.abc import Callable, Iterator
 from itertools import chain
@@ -44,8 +45,10 @@ CELLS, SLICES, TERM_BITS = 1 << 20, 16, 40
 KEYS, POWER = 3, 3
 #: Words in more than one of so many documents of a shard are kept as a matrix, all others as postings.
 DENSE = 16
-#: Distinct pieces a worker remembers.
-PIECE_CACHE = 400_000
+#: Distinct pieces a worker remembers, and the bytes that they and their tokens take; a step of texts comes on top.
+PIECE_CACHE, PIECE_BYTES = 400_000, 96 << 20
+#: Shards of a range that a task holds at most before it begins to pack, and tasks whose counts one group sums.
+HELD_SHARDS, FAN = 16, 64
 _SPACE, _LETTER, _MARK = r" \t-\r", "A-Za-z0-9À-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 OTHER = re.compile(f"[^{_SPACE}{_LETTER}{_MARK}]")
 PLAIN = re.compile(f"[{_LETTER}]+|[{_MARK}]+")
@@ -89,6 +92,11 @@ class PieceTokens(dict):
         self.new: list[str] = []
         self.flat, self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.name, self.time = np.zeros(0, np.int64), np.zeros((KEYS, 0))
+        self.bytes = 0
+
+    @property
+    def full(self) -> bool:
+        return len(self) > PIECE_CACHE or self.bytes > PIECE_BYTES
 
     def __missing__(self, piece: str) -> int:
         place = self[piece] = len(self)
@@ -125,6 +133,8 @@ class PieceTokens(dict):
             draws = [mix(name + np.uint64(k + 1)) >> np.uint64(11) for k in range(KEYS)]
         time = -np.log((np.array(draws, np.float64) + 1) * 2.0**-53) / np.maximum(sizes, 1) ** POWER
         self.name, self.time = np.append(self.name, name.view(np.int64)), np.append(self.time, time, axis=1)
+        # The piece, its entry here and in the counts, and its ids, which are copied when the table grows.
+        self.bytes += sum(map(sys.getsizeof, new)) + 200 * len(new) + 8 * int(sizes.sum())
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """The words of all pieces, and the piece of each."""
@@ -153,9 +163,7 @@ class PieceTokens(dict):
 
 
 def worker_tokens(path: str) -> PieceTokens:
-    """The table of this worker process, which serves task after task; it starts over between texts once it holds too many pieces."""
-    import sys
-
+    """The table of this worker process, which serves task after task; it starts over between steps of texts once it holds too much."""
     held = sys.__dict__.setdefault("_piece_tokens", {})
     if path not in held:
         held[path] = PieceTokens(path)
@@ -223,7 +231,7 @@ def _tokenize(path: str, narrow: type) -> Callable:
             np.add.at(df, _cell(term[few]), held[piece[few]])
 
         for batch in steps(batches):
-            if len(table) > PIECE_CACHE:
+            if table.full:
                 count()
                 held = np.zeros(0, np.int32)
                 table._reset()
@@ -245,28 +253,41 @@ def _tokenize(path: str, narrow: type) -> Callable:
             cut_at = np.searchsorted(some, np.arange(SLICES + 1) * (CELLS // SLICES))
             parts = [some[a:b] for a, b in zip(cut_at[:-1], cut_at[1:])]
             none = [None] * SLICES
-            yield rows(none, none, none, *[none] * KEYS, range(SLICES), [c.tobytes() for c in parts], [df[c].tobytes() for c in parts], *([x, *[0] * (SLICES - 1)] for x in (docs, tokens)))
+            yield rows([first >> 36] * SLICES, none, none, *[none] * KEYS, range(SLICES), [c.tobytes() for c in parts], [df[c].tobytes() for c in parts], *([x, *[0] * (SLICES - 1)] for x in (docs, tokens)))
 
     return run
 
 
 def _sum_slices(key: tuple, table: pa.Table) -> pa.Table:
-    part, width = key[0].as_py(), CELLS // SLICES
-    cells, counts = (np.concatenate([np.frombuffer(x, np.int32) for x in table.column(c).to_pylist()]) for c in ("cells", "counts"))
-    total = np.bincount(cells - part * width, weights=counts, minlength=width).astype(np.int64)
+    part, group, width = key[0].as_py(), key[1].as_py(), CELLS // SLICES
+    total = np.zeros(width, np.int64)
+    for cells, counts in zip(table.column("cells").to_pylist(), table.column("counts").to_pylist()):
+        # Of one row each cell comes once; sums of tasks hold all cells of their slice.
+        if cells is None:
+            total += np.frombuffer(counts, np.int64)
+        else:
+            total[np.frombuffer(cells, np.int32) - part * width] += np.frombuffer(counts, np.int32)
     sums = [sum(table.column(c).to_pylist()) for c in ("docs", "tokens")]
-    return pa.table({"part": pa.array([part], pa.int32()), "df": pa.array([total.tobytes()], pa.binary()), "docs": pa.array([sums[0]], pa.int64()), "tokens": pa.array([sums[1]], pa.int64())})
+    column = lambda x, kind: pa.array([x], kind)
+    return pa.table({"part": column(part, pa.int32()), "task": column(group, pa.int64()), "cells": column(None, pa.binary()), "counts": column(total.tobytes(), pa.binary()), "docs": column(sums[0], pa.int64()), "tokens": column(sums[1], pa.int64())})
 
 
 def statistics(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     """Document frequency of each cell, number of documents and of tokens, over the whole corpus.
 
-    A vector of ``CELLS`` numbers, summed slice by slice on the executors, reaches the driver.
+    Each task's counts are summed slice by slice on the executors, by a tree: a group takes ``FAN`` rows at most, whatever the number of tasks. A vector of ``CELLS`` numbers
+    reaches the driver.
     """
-    parts = tokens.where("part IS NOT NULL").select("part", "cells", "counts", "docs", "tokens")
-    rows = parts.groupBy("part").applyInArrow(_sum_slices, "part int, df binary, docs long, tokens long").collect()
-    rows.sort(key=lambda r: r["part"])
-    df = np.concatenate([np.frombuffer(bytes(r["df"]), np.int64) for r in rows]) if rows else np.zeros(CELLS, np.int64)
+    parts = tokens.where("part IS NOT NULL").select("part", F.col("uid").alias("task"), "cells", "counts", "docs", "tokens")
+    tasks = int(tokens.where("part IS NOT NULL").agg(F.coalesce(F.max("uid"), F.lit(-1))).first()[0]) + 1
+    while True:
+        tasks = -(-tasks // FAN)
+        parts = parts.withColumn("task", F.expr(f"task DIV {FAN}")).groupBy("part", "task").applyInArrow(_sum_slices, "part int, task long, cells binary, counts binary, docs long, tokens long")
+        if tasks <= 1:
+            break
+        parts = materialize(parts, "cell-sums")
+    rows = sorted(parts.collect(), key=lambda r: r["part"])
+    df = np.concatenate([np.frombuffer(bytes(r["counts"]), np.int64) for r in rows]) if rows else np.zeros(CELLS, np.int64)
     return df, sum(r["docs"] for r in rows), sum(r["tokens"] for r in rows)
 
 
@@ -366,6 +387,13 @@ def cut(lengths: np.ndarray, window: int) -> np.ndarray:
     return np.array([window] * (total // window) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1], np.int64)
 
 
+def equal_cuts(sizes: list[int], n: int) -> list[int]:
+    """Where to end each of at most ``n`` runs of nearly equal sums, none of them empty."""
+    ends = np.cumsum(sizes)
+    stops = np.searchsorted(ends, ends[-1] * np.arange(1, n) / n, side="left") + 1
+    return np.unique(np.append(stops, len(sizes))).tolist()
+
+
 def _pack_shards(path: str, shared, mean: float, window: int, narrow: type, with_ids: bool) -> Callable:
     """Reads a range of the dealt documents shard by shard and packs each."""
 
@@ -400,18 +428,25 @@ def _pack_shards(path: str, shared, mean: float, window: int, narrow: type, with
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        doc_ids, parts, held, first = [], [], 0, TaskContext.get().partitionId() << 32
+        doc_ids, parts, sizes, held, first = [], [], [], 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 doc_ids.append(doc_id)
                 parts.append(ids)
-                held += len(ids) // np.dtype(narrow).itemsize + 1
-                if held >= SHARD_TOKENS:
-                    out, n = pack_shard(doc_ids, parts, first)
-                    yield out
-                    doc_ids, parts, held, first = [], [], 0, first + n
-        if doc_ids:
-            yield pack_shard(doc_ids, parts, first)[0]
+                sizes.append(len(ids) // np.dtype(narrow).itemsize + 1)
+                held += sizes[-1]
+            while held > HELD_SHARDS * SHARD_TOKENS:
+                n = equal_cuts(sizes, HELD_SHARDS)[0]
+                out, k = pack_shard(doc_ids[:n], parts[:n], first)
+                yield out
+                held, first = held - sum(sizes[:n]), first + k
+                del doc_ids[:n], parts[:n], sizes[:n]
+        # What a range holds in the end is cut into shards of equal tokens, so that no remnant is left to itself.
+        a = 0
+        for b in equal_cuts(sizes, max(1, round(held / SHARD_TOKENS))) if sizes else ():
+            out, k = pack_shard(doc_ids[a:b], parts[a:b], first)
+            yield out
+            a, first = b, first + k
 
     return run
 

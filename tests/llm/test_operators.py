@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlake.llm import chat, media, mixing, near_dedup, packing, quality, secret_scan, sharding, substring_dedup, topk
-from marketlake.llm.common import new_table
+from marketlake.llm.common import materialize, new_table
 
 RND = random.Random(7)
 VOCAB = ["the", "of", "Ünder", "lyha", "tion", "ndst", "émen", "ox"]
@@ -479,3 +479,45 @@ def test_rules_as_columns_match_arrays(spark):
     got = np.array([r[0] for r in df.select(model.score(["f0", "f1"])).collect()])
     margin = model.intercept + sum(w * r.holds(x) for w, r in model.weights)
     assert np.allclose(got, 1 / (1 + np.exp(-margin))) and ((got > 0.5) == (y > 0.5)).mean() > 0.95
+
+
+def test_packing_cuts_ranges_into_equal_shards():
+    rnd = random.Random(4)
+    for n in (1, 2, 7):
+        sizes = [rnd.randrange(1, 400) for _ in range(3000)]
+        stops = packing.equal_cuts(sizes, n)
+        sums = [sum(sizes[a:b]) for a, b in zip([0, *stops], stops)]
+        assert len(sums) == n and stops[-1] == 3000 and max(sums) - min(sums) < 800
+    assert packing.equal_cuts([5], 4) == [1] and packing.equal_cuts([1000, 1, 1], 2) == [1, 3]
+
+
+def test_packing_table_is_bounded_by_bytes(monkeypatch):
+    """Long runs without blanks: the table starts over before it outgrows its bytes, and ids stay right."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "PIECE_BYTES", 4 << 20)
+    rnd = random.Random(6)
+    table = packing.PieceTokens(packing.vocabulary_path())
+    plain = Tokenizer.from_file(packing.vocabulary_path())
+    most = 0
+    for step in range(40):
+        texts = ["".join(chr(0x4E00 + rnd.randrange(5000)) for _ in range(400)) for _ in range(50)] + ["a <|x|> " + "b" * 3000]
+        if table.full:
+            table._reset()
+        ids, ends = table.encode(texts)
+        most = max(most, table.bytes)
+        if step % 10 == 0:
+            assert np.array_equal(ids[: ends[0]], plain.encode(texts[0], add_special_tokens=False).ids)
+            assert np.array_equal(ids[ends[-2] :], plain.encode(texts[-1], add_special_tokens=False).ids)
+    assert most < (4 << 20) + (2 << 20) and len(table) < 2000
+
+
+def test_packing_statistics_by_a_tree(spark, monkeypatch):
+    """Counts of many tasks, summed by groups of two, are those of one group."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} common words {i}") for i in range(90)], "doc_id long, text string").repartition(9)
+    path = packing.vocabulary_path()
+    tokens = materialize(docs.mapInArrow(packing._tokenize(path, np.uint16), packing._TOKENS), "t")
+    df, n, total = packing.statistics(tokens)
+    monkeypatch.setattr(packing, "FAN", 2)
+    again, n2, total2 = packing.statistics(tokens)
+    assert np.array_equal(df, again) and (n, total) == (n2, total2) == (90, total2) and df.max() == 90 and df.sum() >= 90 * 4
