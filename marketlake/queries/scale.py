@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adjust, bars, contains, paging, slices
 from ..sources import deltas, lake
+from ..sources.atomic import AtomicPartitions
 from ..sources.stats import Statistics
 from ..streaming import bars as streams
 from .core import query
@@ -166,3 +167,14 @@ def _(fx):
 @query("t2_compound_cursor", "bars", "SELECT trade_date, symbol, close FROM bars WHERE (trade_date, symbol) > (DATE '1997-03-03', '300030.SZ') ORDER BY trade_date, symbol LIMIT 201")
 def _(fx):
     return paging.keyset_page(fx("bars").select("trade_date", "symbol", "close"), ["trade_date", "symbol"], ["1997-03-03", "300030.SZ"], 200)
+
+
+@query("s17_atomic_replace", "bars", "SELECT symbol, trade_date, CASE WHEN year(trade_date) = 1997 THEN close * 2 ELSE close END AS close, close AS before FROM bars WHERE trade_date BETWEEN DATE '1996-07-01' AND DATE '1998-06-30'")
+def _(fx):
+    b = fx("bars")
+    table = AtomicPartitions(b.sparkSession, lake.work_dir(b.sparkSession, "s17-atomic"), "trade_date", "quarter")
+    table.replace(b)
+    # Opened before the label is replaced, read after it.
+    before = table.read("1996-07-01", "1998-06-30").select(*KEY, F.col("close").alias("before"))
+    table.replace(b.where("year(trade_date) = 1997").withColumn("close", F.col("close") * 2))
+    return table.read("1996-07-01", "1998-06-30").select(*KEY, "close").join(before, KEY)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marketlake.operators import adjust, bars, contains, digest, paging, ranks, slices
 from marketlake.sources import deltas, lake
+from marketlake.sources.atomic import AtomicPartitions, CommitConflict
 from marketlake.sources.stats import Statistics
 from marketlake.streaming import bars as streams
 
@@ -297,3 +298,30 @@ def test_sliced_returns_equal_plain_ones(spark):
     sessions = days.select("trade_date", F.lag("trade_date").over(Window.orderBy("trade_date")).alias("prev_date"))
     for df in (b, b.where("volume % 5 <> 0")):
         same(bars.session_returns(df, sessions, by=slices.years), bars.session_returns(df, sessions).select(bars.session_returns(df, sessions, by=slices.years).columns))
+
+
+def test_labels_are_replaced_at_once(spark, tmp_path):
+    b = bar_rows(spark, 3000, 20)
+    t = AtomicPartitions(spark, str(tmp_path / "t"), "trade_date", "quarter")
+    assert t.replace(b) == 1 and t.current() == 1
+    old = t.read()
+    late = AtomicPartitions(spark, str(tmp_path / "t"), "trade_date", "quarter")
+    changed = b.where("quarter(trade_date) = 2 AND year(trade_date) = 2023").withColumn("close", F.lit(0.5))
+    assert t.replace(changed) == 2
+    same(old.select(b.columns), b)
+    assert t.read("2023-04-01", "2023-06-30").where("close = 0.5").count() == changed.count() == t.read().where("close = 0.5").count()
+    assert t.read().count() == b.count() and t.read("2023-05-02", "2023-05-20", ["600003.SH"]).count() == b.where("trade_date BETWEEN '2023-05-02' AND '2023-05-20' AND symbol = '600003.SH'").count()
+    assert t.read("2050-01-01").isEmpty() and t.read("2050-01-01").columns == t.read().columns
+    with pytest.raises(CommitConflict):
+        late.replace(changed, base=1)
+    # A writer that died holds its number until it is released.
+    _, p = lake._fs(spark, str(tmp_path / "t" / "claims" / "3"))
+    lake._fs(spark, str(tmp_path / "t"))[0].createNewFile(p)
+    with pytest.raises(CommitConflict):
+        t.replace(changed)
+    t.release(3)
+    assert t.replace(b.where("false"), drop=("2023Q1",)) == 3
+    assert t.read().where("trade_date < '2023-04-01'").isEmpty() and t.vacuum() == [1, 2]
+    assert t.read().count() == b.where("trade_date >= '2023-04-01'").count()
+    with pytest.raises(ValueError):
+        t.read(commit=1)
