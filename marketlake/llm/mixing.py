@@ -30,7 +30,7 @@ from .common import materialize, read
 WEIGHTS, SHARE, MOST, GROUP = (3, 1, 2), 1.5, 2, 4096
 #: Sources up to this number are sent to all tasks; more are joined.
 BROADCAST_SOURCES = 50_000
-_UNIT = "source string, doc_id long, th long, size long, source_size long, target double, whole long, p double, picked int"
+_UNIT = "source string, doc_id long, th long, size long, again long, source_size long, target double, whole long, p double, picked int"
 
 
 def water_fill(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -107,7 +107,7 @@ def _polish(p: list[float], size: list[int], goal: float, swaps: int = 6) -> Non
 
 def _fly(level: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "doc_id", "th"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["size", "doc_id", "th", "again"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
         p, size = pdf["p"].tolist(), pdf["size"].tolist()
         goal = sum(x * n for x, n in zip(p, size))
         left = _flight(p, size, random.Random(f"{key[0]}|{key[1]}|{level}"))
@@ -116,11 +116,21 @@ def _fly(level: int):
             _polish(p, size, goal)
         pdf["p"] = p
         pdf["picked"] = pd.array([int(x) if x in (0.0, 1.0) else None for x in p], dtype="Int32")
-        return pdf[["source", "doc_id", "th", "size", "source_size", "target", "whole", "p", "picked"]]
+        return pdf[["source", "doc_id", "th", "size", "again", "source_size", "target", "whole", "p", "picked"]]
 
     return run
 
 
+def numbered_repeats(sized: DataFrame) -> DataFrame:
+    """Each row, with ``again`` numbering equal rows from 0, so that many repeats of one row are dealt to many groups.
+
+    Equal rows are counted on the map side and unfolded again, in runs of at most 1000.
+    """
+    counted = sized.groupBy("source", "doc_id", "th", "size").agg(F.count("*").alias("n"))
+    runs = counted.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(n - 1) DIV 1000"))).alias("run"))
+    return runs.select("source", "doc_id", "th", "size", F.explode(F.sequence(F.col("run") * 1000, F.least(F.col("n"), (F.col("run") + 1) * 1000) - 1)).alias("again"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, mark: Column | None = None) -> DataFrame:
     """source, doc_id, th (the mark, else a hash of the text), size, source_size, target, copies of each row."""
     spark = docs.sparkSession
@@ -135,7 +145,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         rows.append((s, n, goals[s], whole, max(0.0, f - whole) if f - whole > 1e-12 else 0.0))
     plan = spark.createDataFrame(rows, "_source string, source_size long, target double, whole long, p double")
     plan = F.broadcast(plan) if len(rows) <= BROADCAST_SOURCES else plan
-    units = sized.join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    units = numbered_repeats(sized).join(plan, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     settled = (F.col("p") == 0) | (F.col("size") == 0)
     done = [units.where(settled).withColumn("picked", F.lit(0))]
     open_units, level = units.where(~settled), 0
@@ -147,7 +157,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         known = spark.createDataFrame(list(counted.items()), "_source string, groups int")
         known = F.broadcast(known) if len(counted) <= BROADCAST_SOURCES else known
         dealt = open_units.join(known, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-        dealt = dealt.withColumn("group", F.expr("CAST(pmod(xxhash64(doc_id, th, size), groups) AS INT)"))
+        dealt = dealt.withColumn("group", F.expr("CAST(pmod(IF(again = 0, xxhash64(doc_id, th, size), xxhash64(doc_id, th, size, again)), groups) AS INT)"))
         flown = materialize(dealt.groupBy("source", "group").applyInPandas(_fly(level), _UNIT), "flown")
         done.append(flown.where("picked IS NOT NULL"))
         open_units, level = flown.where("picked IS NULL").drop("picked"), level + 1
@@ -168,7 +178,8 @@ def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Defined results: rows that differ in any column are mixed apart, equal ones appear as often as all of them are taken; a null text has no words and stays as often as its source's whole copies say;
     a null source is one of its own; extra columns stay, whatever their names; an empty table gives no rows.
     """
-    told = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+    # Maps have no hash: their text stands for them.
+    told = F.xxhash64(*(F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) if "map<" in kind else F.col(f"`{c}`") for c, kind in docs.dtypes))
     key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.col("doc_id").isNull().alias("_no"), F.coalesce("source", F.lit("\0")).alias("_source")]
     same = ["_id", "_no", "_source", "_th"]
     copies = mix(docs, mark=told).select(*key, F.col("th").alias("_th"), "copies").groupBy(*same).agg(F.sum("copies").alias("_copies"))

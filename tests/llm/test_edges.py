@@ -82,8 +82,10 @@ def test_operators_take_clashing_columns(spark, docs):
     assert packing.pack(docs).where("start = 0").count() == len(ROWS)
     assert secret_scan.scan_history(docs, new_table(spark, "ledger")).count() == len(ROWS)
     assert media.clip_rows(media.with_media(docs, "text"), keep=("doc_id",)).select("doc_id").count() >= len(ROWS)
-    sized = docs.select("doc_id", F.lit(1).cast("long").alias("bytes"))
-    assert sharding.byte_shards(sized, ["doc_id"], "bytes").count() == len(ROWS)
+    sized = docs.withColumn("bytes", F.lit(1).cast("long"))
+    out = sharding.byte_shards(sized, ["doc_id"], "bytes")
+    assert out.count() == len(ROWS) and set(out.columns) == {*sized.columns, "slot"} and out.where("place != 'own place' OR total != 'own total' OR part != 'own part'").isEmpty()
+    assert sharding.byte_shards(sized.where("false"), ["doc_id"], "bytes").isEmpty()
     model = quality.train(docs, spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int"))
     assert quality.score(docs, model).where("score BETWEEN 0 AND 1").count() == len(ROWS)
     vectors = docs.select("*", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"), F.col("doc_id").alias("vec_id"))
@@ -92,3 +94,23 @@ def test_operators_take_clashing_columns(spark, docs):
     talk = docs.select(*(c for c in docs.columns if c not in ("tree", "node", "parent", "score")), F.col("source").alias("tree"), F.coalesce("doc_id", F.lit(99)).alias("node"), F.lit(None).cast("long").alias("parent"), F.lit(1.0).alias("score"), F.lit("user").alias("role"))
     chats = chat.format_paths(chat.best_paths(talk), talk)
     assert chats.count() == 4
+
+
+def test_mixing_takes_rows_apart_that_differ_in_a_map(spark, folder):
+    docs = spark.sql("SELECT 1L AS doc_id, 'a b c d' AS text, 'en' AS lang, 's' AS source, 7L AS n_chars, map('k', v) AS m FROM VALUES (1), (2) t(v)")
+    out = mixing.stage_mix(spark, docs, folder).select(F.col("m")["k"].alias("k")).collect()
+    assert {r["k"] for r in out} == {1, 2} and len(out) == 3
+
+
+def test_mixing_deals_repeats_to_many_groups(spark):
+    """One row many times: each repeat is a unit of its own, totals are near the target, and reruns agree."""
+    rows = [(1, "a b c", "s")] * 20_000 + [(i, "w " * (i % 9 + 1), "t" if i % 2 else "s") for i in range(2, 3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sized = docs.select("source", "doc_id", F.lit(0).cast("long").alias("th"), F.lit(3).cast("long").alias("size"))
+    numbered = mixing.numbered_repeats(sized.where("doc_id = 1"))
+    assert numbered.count() == 20_000 == numbered.select("again").distinct().count()
+    runs = [sorted(map(tuple, mixing.mix(d).select("doc_id", "size", "copies", "target", "source").collect()), key=str) for d in (docs, docs.repartition(7))]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    for source in "st":
+        mine = [r for r in runs[0] if r[4] == source]
+        assert abs(sum(r[1] * r[2] for r in mine) - mine[0][3]) <= 9 and all(r[2] <= 2 for r in mine)
