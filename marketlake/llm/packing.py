@@ -46,7 +46,7 @@ KEYS, POWER = 3, 3
 #: Words in more than one of so many documents of a shard are kept as a matrix, all others as postings.
 DENSE = 16
 #: Distinct pieces a worker remembers, and the bytes that they and their tokens take; a step of texts comes on top.
-PIECE_CACHE, PIECE_BYTES = 400_000, 96 << 20
+PIECE_CACHE, PIECE_BYTES = 400_000, 128 << 20
 #: Shards of a range that a task holds at most before it begins to pack, and tasks whose counts one group sums.
 HELD_SHARDS, FAN = 16, 64
 _SPACE, _LETTER, _MARK = r" \t-\r", "A-Za-z0-9À-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
