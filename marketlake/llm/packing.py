@@ -47,6 +47,8 @@ KEYS, POWER = 3, 3
 DENSE = 16
 #: Distinct pieces a worker remembers, and the bytes that they and their tokens take; a step of texts comes on top.
 PIECE_CACHE, PIECE_BYTES = 400_000, 128 << 20
+#: Tokens of a piece that may stay when the table starts over.
+SHORT = 16
 #: Shards of a range that a task holds at most before it begins to pack, and tasks whose counts one group sums.
 HELD_SHARDS, FAN = 16, 64
 _SPACE, _LETTER, _MARK = r" \t-\r", "A-Za-z0-9À-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
@@ -98,6 +100,21 @@ class PieceTokens(dict):
     def full(self) -> bool:
         return len(self) > PIECE_CACHE or self.bytes > PIECE_BYTES
 
+    def keep_common(self, seen: np.ndarray) -> None:
+        """Starts over with the short pieces that most documents held (``seen``, by place), a quarter of the table at most."""
+        most = PIECE_CACHE // 4
+        least = max(1, int(np.partition(seen, -most)[-most])) if len(seen) > most else 1
+        mask = np.zeros(len(self), bool)
+        mask[: len(seen)] = (seen > least) & (self.n[: len(seen)] <= SHORT)
+        names = [x for x, k in zip(self, mask.tolist()) if k]
+        n, name, time = self.n[mask], self.name[mask], self.time[:, mask]
+        ends = np.cumsum(n)
+        flat = self.flat[np.repeat(self.at[mask] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        self._reset()
+        self.update(zip(names, range(len(names))))
+        self.flat, self.at, self.n, self.name, self.time = flat, ends - n, n, name, time
+        self.bytes = _weight(names, n)
+
     def __missing__(self, piece: str) -> int:
         place = self[piece] = len(self)
         self.new.append(piece)
@@ -133,8 +150,7 @@ class PieceTokens(dict):
             draws = [mix(name + np.uint64(k + 1)) >> np.uint64(11) for k in range(KEYS)]
         time = -np.log((np.array(draws, np.float64) + 1) * 2.0**-53) / np.maximum(sizes, 1) ** POWER
         self.name, self.time = np.append(self.name, name.view(np.int64)), np.append(self.time, time, axis=1)
-        # The piece, its entry here and in the counts, and its ids, which are copied when the table grows.
-        self.bytes += sum(map(sys.getsizeof, new)) + 200 * len(new) + 8 * int(sizes.sum())
+        self.bytes += _weight(new, sizes)
 
     def words(self) -> tuple[np.ndarray, np.ndarray]:
         """The words of all pieces, and the piece of each."""
@@ -162,6 +178,11 @@ class PieceTokens(dict):
         return ids, np.append(0, ends)[np.cumsum(sizes)]
 
 
+def _weight(names: list[str], sizes: np.ndarray) -> int:
+    """Bytes of pieces: the text, its entries in the table and the counts, and its ids, which are copied when the table grows."""
+    return sum(map(sys.getsizeof, names)) + 200 * len(names) + 8 * int(sizes.sum())
+
+
 def worker_tokens(path: str) -> PieceTokens:
     """The table of this worker process, which serves task after task; it starts over between steps of texts once it holds too much."""
     held = sys.__dict__.setdefault("_piece_tokens", {})
@@ -233,8 +254,8 @@ def _tokenize(path: str, narrow: type) -> Callable:
         for batch in steps(batches):
             if table.full:
                 count()
+                table.keep_common(held)
                 held = np.zeros(0, np.int32)
-                table._reset()
             k, sizes = table.places([t or "" for t in batch.column("text").to_pylist()])
             ids, ends = table.ids(k, sizes)
             pairs = np.sort(np.repeat(np.arange(len(sizes)), sizes) << 32 | k)

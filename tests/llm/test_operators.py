@@ -521,3 +521,27 @@ def test_packing_statistics_by_a_tree(spark, monkeypatch):
     monkeypatch.setattr(packing, "FAN", 2)
     again, n2, total2 = packing.statistics(tokens)
     assert np.array_equal(df, again) and (n, total) == (n2, total2) == (90, total2) and df.max() == 90 and df.sum() >= 90 * 4
+
+
+def test_packing_table_keeps_common_pieces(spark, monkeypatch):
+    """A table that starts over again and again gives the ids, keys and counts of one that never does."""
+    rnd = random.Random(8)
+    texts = [" ".join([*rnd.choices(["the", "and", "of", "it's"], k=20), *(f"x{rnd.randrange(10**6)}" for _ in range(30))]) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    out = []
+    for cache in (10**6, 400):
+        monkeypatch.setattr(packing, "PIECE_CACHE", cache)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+        try:
+            tokens = materialize(docs.mapInArrow(packing._tokenize(packing.vocabulary_path(), np.uint16), packing._TOKENS), "t")
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        df, n, total = packing.statistics(tokens)
+        rows = sorted((r["doc_id"], bytes(r["ids"]), *(r[k] for k in packing._KEYS)) for r in tokens.where("part IS NULL").collect())
+        out.append((df.tolist(), n, total, rows))
+    assert out[0] == out[1]
+    table = packing.PieceTokens(packing.vocabulary_path())
+    monkeypatch.setattr(packing, "PIECE_CACHE", 8)
+    k, _ = table.places(["a b c d e f g h i j"])
+    table.keep_common(np.array([9, 1, 5, 1, 1, 1, 1, 1, 1, 1]))
+    assert list(table) == ["a"] and table.encode(["a b"])[0].tolist() == packing.PieceTokens(packing.vocabulary_path()).encode(["a b"])[0].tolist()
