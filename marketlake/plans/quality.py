@@ -14,6 +14,8 @@ from ..functions.symbols import code as code_of
 from ..functions.symbols import exchange as exchange_of
 from ..operators.asof import expected_sessions, with_neighbours
 from ..operators.bars import by_symbol, gap_runs, raw_and_adjusted_returns, spans
+from ..operators.ranks import grouped_median
+from ..sources.lake import kept
 
 SCHEMA = "dataset string, check_name string, severity string, subject string, details map<string,string>"
 
@@ -165,7 +167,10 @@ def st_labels(status: DataFrame, instruments: DataFrame) -> DataFrame:
 def volume_unit(bars: DataFrame, low: float = 0.8, high: float = 1.25, least: int = 200) -> DataFrame:
     """Sources whose median of amount / close / volume is off 1."""
     ratio = F.try_divide(F.try_divide("amount", "close"), F.col("volume").cast("double"))
-    per = bars.where("volume > 0").groupBy("source").agg(F.median(ratio).alias("median_ratio"), F.count("*").alias("n_rows")).where(F.col("n_rows") >= least)
+    whole = bars.where("volume > 0").select("source", ratio.alias("ratio"))
+    sizes = whole.groupBy("source").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= least)
+    middle = grouped_median(whole, "source", "ratio", kept).select(F.col("source").alias("_source"), F.col("median").alias("median_ratio"))
+    per = sizes.join(middle, F.col("source").eqNullSafe(F.col("_source"))).select("source", "median_ratio", "n_rows")
     return per.where((F.col("median_ratio") < low) | (F.col("median_ratio") > high))
 
 
