@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,7 +199,9 @@ def test_substring_dedup_in_repetitive_texts(spark):
     assert got == brute_substrings(texts, 20)
 
 
-def test_topk(spark):
+@pytest.mark.parametrize("wave", [topk.WAVE, 3])
+def test_topk(spark, monkeypatch, wave):
+    monkeypatch.setattr(topk, "WAVE", wave)
     rnd = random.Random(5)
     rows = [(i, [rnd.uniform(-1, 1) for _ in range(8)]) for i in range(120)] + [(i, [0.5] * 8) for i in range(120, 150)]
     rows += [(200, None), (250, [float("nan")] * 8), (300, [1.0, None] * 4), (350, [0.25] * 8), (400, [0.5] * 5), (400, [0.5] * 5), (450, [0.1] * 8), (450, [0.9] * 8)]
@@ -216,6 +219,27 @@ def test_topk(spark):
     assert [r["rank"] for r in topk.top_k(q.where("id = 0"), q.where("id < 3"), 5).collect()] == [1, 2]
 
 
+def test_topk_counts_and_keeps_alike_in_tiles(monkeypatch):
+    rnd = np.random.default_rng(4)
+    ids, q = np.arange(7), rnd.integers(-300, 300, (7, 6))
+    batch = pa.record_batch({"id": pa.array(np.arange(40)), "q": pa.array(rnd.integers(-300, 300, (40, 6)).tolist(), pa.list_(pa.int64()))})
+    low, width, found = np.full(7, -500_000), np.full(7, 2_000), []
+    for tile in (100, 3):
+        monkeypatch.setattr(topk, "TILE", tile)
+        halves = lambda: iter([batch.slice(0, 15), batch.slice(15)])
+        counts = {tuple(r.values()) for b in topk._histograms(ids, q, low, width, 5)(halves()) for r in b.to_pylist()}
+        found.append((counts, {tuple(r.values()) for b in topk._best(ids, q, low, 5)(halves()) for r in b.to_pylist()}))
+    assert found[0] == found[1] and len(found[0][1]) == 35
+
+
+def test_topk_range_holds_every_score():
+    rnd = np.random.default_rng(6)
+    q, c = rnd.integers(-256, 256, (50, 16)), rnd.integers(-256, 256, (400, 16))
+    q[0], c[0], q[1] = 255, 255, 0
+    reach = topk._reach(q, int(np.abs(c).max()), float(np.sqrt((c**2).sum(axis=1).max())))
+    assert (np.abs(q @ c.T).max(axis=1) <= reach).all() and (reach <= np.abs(q).sum(axis=1) * 256).all()
+
+
 def brute_components(texts, k):
     sets = []
     for _, t in texts:
