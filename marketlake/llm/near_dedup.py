@@ -36,6 +36,8 @@ BANDS, ROWS, PROBES = 42, 6, 2000
 NO_ID = (1 << 63) - 1
 BLOCK, SMALL = 256, 256
 SIEVED, DEVIATIONS = 40, 5.5
+#: Full bins up to which a set's empty bins look up the probe that meets each full one, instead of going through the probes.
+FEW = 64
 _SIGNATURE = "_id long, _th long, n int, digest binary, keys array<long>, sample binary, folded binary, small binary"
 
 
@@ -60,8 +62,17 @@ def shingle_sets(texts: list[bytes], k: int, cache: WordHashes) -> list[np.ndarr
     return out
 
 
-def one_permutation(sets: list[np.ndarray], bins: int, probes: np.ndarray) -> np.ndarray:
-    """Documents x bins: the least hash of each bin, empty bins filled along the shared probe sequence."""
+def first_probes(probes: np.ndarray) -> np.ndarray:
+    """Bins x bins: for a full bin and an empty one, the first probe of the empty bin that meets the full one (their number if none does)."""
+    n, bins = probes.shape
+    first, empty = np.full((bins, bins), n, np.int32), np.arange(bins)
+    for p in range(n - 1, -1, -1):
+        first[probes[p], empty] = p
+    return first
+
+
+def one_permutation(sets: list[np.ndarray], bins: int, probes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Documents x bins: the least hash of each bin, empty bins filled along the shared probe sequence (``first`` is its ``first_probes``)."""
     bounds = np.array([(j << 64) // bins for j in range(bins)], np.uint64)
     upper = np.append(bounds[1:] - np.uint64(1), np.uint64((1 << 64) - 1))
     values = np.zeros((len(sets), bins), np.uint64)
@@ -72,7 +83,14 @@ def one_permutation(sets: list[np.ndarray], bins: int, probes: np.ndarray) -> np
             v = s[at]
             full[i] = (v >= bounds) & (v <= upper)
             values[i] = np.where(full[i], v, s[0])
-    rows = np.flatnonzero(~full.all(axis=1) & (full.sum(axis=1) > 1))
+    filled = full.sum(axis=1)
+    for i in np.flatnonzero((filled > 1) & (filled <= FEW)):
+        held = np.flatnonzero(full[i])
+        at = first[held]
+        nearest = at.argmin(axis=0)
+        met = ~full[i] & (at[nearest, np.arange(bins)] < len(probes))
+        values[i] = np.where(met, values[i][held[nearest]], values[i])
+    rows = np.flatnonzero((filled > FEW) & (filled < bins))
     empty, source = ~full[rows], full[rows]
     held = values[rows]
     sampled = held.copy()
@@ -93,9 +111,10 @@ def _signatures(k: int, bands: int, rows: int):
         cache, bins = WordHashes(), bands * rows
         with np.errstate(over="ignore"):
             probes = (mix(np.arange(PROBES * bins, dtype=np.uint64) + np.uint64(1 << 40)) % np.uint64(bins)).astype(np.int64).reshape(PROBES, bins)
+            first = first_probes(probes)
             for batch in steps(batches):
                 sets = shingle_sets(text_bytes(batch.column("text")), k, cache)
-                values = one_permutation(sets, bins, probes)
+                values = one_permutation(sets, bins, probes, first)
                 low = (values & np.uint64(255)).astype(np.uint8)
                 values = values.reshape(len(sets), bands, rows)
                 key = np.broadcast_to(mix(np.arange(bands, dtype=np.uint64) + np.uint64(7)), (len(sets), bands))

@@ -282,6 +282,40 @@ def test_near_duplicates_in_chains(spark):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out.collect()) == brute_components(texts, 2)
 
 
+def test_near_duplicates_finds_pairs_at_the_limit(spark):
+    """2,400 pairs of 5 to 300 distinct words whose sets are 0.80 to 0.85 similar, and as many just below: recall of the whole operator."""
+    rnd, rows, linked = random.Random(12), [], {}
+    for pair in range(4800):
+        union = 5 * (1 + pair % 60)
+        least = 4 * union // 5
+        both = least + rnd.randrange(1 + union // 20) if pair < 2400 else least - 1
+        words = [f"p{pair}w{i}" for i in range(union)]
+        rnd.shuffle(words)
+        extra = rnd.randrange(union - both + 1)
+        for side, own in enumerate((words[both : both + extra], words[both + extra :])):
+            rows.append((2 * pair + side, " ".join(rnd.sample(words[:both] + own, both + len(own)))))
+        linked[2 * pair + 1] = pair < 2400
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(docs, shingle=1).collect()}
+    assert len(found) == len(rows)
+    assert all(found[i] == i for i, yes in linked.items() if not yes)
+    assert sum(found[i] != i - 1 for i, yes in linked.items() if yes) <= 1
+
+
+def test_densification_follows_the_first_probe_that_meets_a_full_bin():
+    rnd = np.random.default_rng(8)
+    bins, n = 30, 12
+    probes = rnd.integers(0, bins, (n, bins))
+    sets = [np.unique(rnd.integers(0, 1 << 64, size, dtype=np.uint64)) for size in (0, 1, 2, 3, 10, 25, 60, 400)]
+    got = near_dedup.one_permutation(sets, bins, probes, near_dedup.first_probes(probes))
+    for s, row in zip(sets, got):
+        least = {}
+        for x in s.tolist():
+            least.setdefault((x * bins) >> 64, x)
+        fill = lambda j: next((least[p] for p in probes[:, j].tolist() if p in least), int(s[0]))
+        assert row.tolist() == [least[j] if j in least else fill(j) if least else 0 for j in range(bins)]
+
+
 def test_near_duplicates_empty(empty):
     assert near_dedup.near_duplicates(empty).count() == 0
 
