@@ -35,6 +35,8 @@ from .common import WordHashes, batches_of, drop_table, materialize, mix, read,
 BANDS, ROWS, PROBES = 42, 6, 2000
 NO_ID = (1 << 63) - 1
 BLOCK, SMALL = 256, 256
+#: Blocks of a bucket that one group of comparisons takes at most; comparisons and members that make a task, and tasks at most.
+GROUP, COMPARED, MEMBERS, MOST_TASKS = 8, 64 * BLOCK * BLOCK, 20_000, 20_000
 SIEVED, DEVIATIONS = 40, 5.5
 #: Full bins up to which a set's empty bins look up the probe that meets each full one, instead of going through the probes.
 FEW = 64
@@ -261,16 +263,24 @@ def _components(docs: DataFrame, shingle: int, percent: int, bands: int, rows: i
     sizes = named.groupBy("key", "label").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("m")).where("m > top.c")
     blocks = lambda c: F.ceil(c / BLOCK).cast("int")
-    mixed = materialize(mixed.select("key", F.col("top.label").alias("largest"), blocks(F.col("m")).alias("every"), blocks(F.col("m") - F.col("top.c")).alias("others")), "mixed")
+    mixed = materialize(mixed.select("key", F.col("top.label").alias("largest"), blocks(F.col("m")).alias("every"), blocks(F.col("m") - F.col("top.c")).alias("others"), "m", (F.col("m") - F.col("top.c")).alias("outside")), "mixed")
     if mixed.limit(1).count():
-        rest = materialize(named.join(mixed, "key").join(nodes.select("node", "sample", "folded", "small"), "node"), "rest")
+        rest = materialize(named.join(mixed.drop("m", "outside"), "key").join(nodes.select("node", "sample", "folded", "small"), "node"), "rest")
         holds = F.collect_list(F.struct("node", "label", "n", "sample", "folded", "small"))
         dealt = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int").alias("block")
-        every = materialize(rest.groupBy("key", dealt("every")).agg(holds.alias("all")).drop("block"), "every")
-        some = rest.where("label != largest").groupBy("key", dealt("others")).agg(F.first("band").alias("band"), holds.alias("some")).drop("block")
+        every = materialize(rest.groupBy("key", dealt("every")).agg(holds.alias("all")), "every")
+        some = rest.where("label != largest").groupBy("key", "every", dealt("others")).agg(F.first("band").alias("band"), holds.alias("some")).drop("block")
         some = materialize(some, "some")
+        # A hot bucket's blocks meet in many tasks: each block of the one side goes to all groups of the other side's blocks, and tasks are as many as the work asks for.
+        groups = F.floor((F.col("every") - 1) / GROUP).cast("int")
+        compared, sent = mixed.agg(F.sum(F.col("m").cast("double") * F.col("outside")), F.sum(F.col("m") + F.col("outside") * (groups + 1.0))).first()
+        tasks = int(min(max(spark.sparkContext.defaultParallelism, compared // COMPARED, sent // MEMBERS), MOST_TASKS))
+        meets = lambda df: df.repartition(tasks, "key", "group")
+        left = some.withColumn("group", F.explode(F.sequence(F.lit(0), groups)))
+        right = every.select("key", F.floor(F.col("block") / GROUP).cast("int").alias("group"), "all")
         with batches_of(spark, 8):
-            pairs = materialize(some.join(every, "key").select("band", "some", "all").mapInArrow(_across(bins, percent), "a long, b long"), "across")
+            pairs = meets(left).join(meets(right), ["key", "group"]).select("band", "some", "all")
+            pairs = materialize(pairs.mapInArrow(_across(bins, percent), "a long, b long"), "across")
         for table in (rest, every, some):
             drop_table(table)
         more = materialize(_confirmed(docs, nodes, pairs.distinct(), shingle, percent), "confirmed")
