@@ -52,3 +52,22 @@ def test_queries_agree_with_their_sql(spark, wide, name):
         columns = [d[0] for d in want.description]
         want = sorted(tuple(map(_text, r)) for r in want.fetchall())
     assert sorted(tuple(map(_text, r)) for r in found.select(columns).collect()) == want
+
+
+def test_universe_patterns(spark):
+    """Patterns of one mention class symbols as prefixes, bands and exchanges do, and mention the symbol once."""
+    from pyspark.sql import functions as F
+
+    from marketlake.functions import symbols as S
+
+    codes = [f"{p:02d}{tail}" for p in range(100) for tail in ("0001", "9001", "00011", "000")] + ["689009", "6", "", "60.001"]
+    rows = [(f"{c}{e}",) for c in codes for e in (".SH", ".SZ", ".BJ", ".sh", ".Sz", ".XX", "")] + [(None,)]
+    c, e = S.code(F.col("symbol")), S.exchange(F.col("symbol"))
+    out = (e.isin("SH", "SZ") & S.starts(c, S.RESERVED)) | ((e == "SH") & S.starts(c, S.CDR)) | S._any_exchange(c, e, S.ETF)
+    plain = S._any_exchange(c, e, S.PREFIXES) & ~out
+    etf = F.coalesce(S._six_digits(c) & S._any_exchange(c, e, S.ETF), F.lit(False))
+    df = spark.createDataFrame(rows, "symbol string")
+    got = df.select(S.in_universe(F.col("symbol")).eqNullSafe(plain), S.in_universe(F.col("symbol"), "all_a_sh_sz").eqNullSafe(plain & e.isin("SH", "SZ")), S.is_etf(c, e).eqNullSafe(etf))
+    assert got.distinct().collect() == [(True, True, True)]
+    plan = df.where(S.in_universe(F.col("symbol")))._jdf.queryExecution().analyzed().toString()
+    assert plan.split("Filter", 1)[1].split("\n")[0].count("symbol") == 1
