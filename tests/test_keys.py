@@ -71,3 +71,23 @@ def test_universe_patterns(spark):
     assert got.distinct().collect() == [(True, True, True)]
     plan = df.where(S.in_universe(F.col("symbol")))._jdf.queryExecution().analyzed().toString()
     assert plan.split("Filter", 1)[1].split("\n")[0].count("symbol") == 1
+
+
+def test_digests_sum_halves_exactly(spark, wide):
+    """The digest is the exact sum of 60-bit halves, and generations and digests derive the bars once."""
+    from marketlake.operators.digest import business_columns, of_frame, row_halves
+
+    b = fixtures.frame(spark, wide, "bars").localCheckpoint()
+    halves = b.select(*row_halves(business_columns(b))).collect()
+    d = of_frame(b)
+    assert (d.n_rows, d.a, d.b) == (len(halves), sum(int(r[0]) for r in halves), sum(int(r[1]) for r in halves)) and d.a > 1 << 63
+    assert of_frame(b.where("false")).a == 0
+
+
+@pytest.mark.parametrize("name", ["m2_digest_adds_up", "m6_generations"])
+def test_bars_are_derived_once(spark, wide, name):
+    from marketlake.queries.core import QUERIES
+
+    asked = []
+    QUERIES[name][0](lambda table: asked.append(table) or fixtures.frame(spark, wide, table))
+    assert asked.count("bars") == 1
