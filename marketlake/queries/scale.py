@@ -79,7 +79,7 @@ def _(fx):
 def _(fx):
     from ..operators.digest import of_frame
 
-    home, b = _stored(fx, "m2-digest")
+    home, b = _stored(fx, "m2-digest", again=True)
     stats = Statistics(home.spark, home.path("daily_bars"), "trade_date")
     stats.refresh()
     whole, one = of_frame(b), of_frame(b.where("year(trade_date) = 1997"))
