@@ -91,3 +91,19 @@ def test_bars_are_derived_once(spark, wide, name):
     asked = []
     QUERIES[name][0](lambda table: asked.append(table) or fixtures.frame(spark, wide, table))
     assert asked.count("bars") == 1
+
+
+def test_partition_size_is_bounded_unless_set(spark):
+    from marketlake.queries.core import PARTITION_SIZE, runner
+
+    name, size = PARTITION_SIZE
+    was = spark.conf.get(name, None)
+    try:
+        spark.conf.unset(name)
+        runner(lambda fx: None)(spark, SOURCE)
+        assert spark.conf.get(name) == size
+        spark.conf.set(name, "32m")
+        runner(lambda fx: None)(spark, SOURCE)
+        assert spark.conf.get(name) == "32m"
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
