@@ -48,3 +48,7 @@ def test_shuffles_begin_with_many_partitions(spark, name):
     # Coalesced by size, not split: with 200 of them a task grew with the input.
     dealt = re.findall(r"hashpartitioning\(.*?, (\d+)\), ENSURE_REQUIREMENTS", plan(queries()[name](spark, SOURCE)))
     assert dealt and {int(n) for n in dealt} == {2000}
+
+
+def test_quarantine_is_counted_in_one_pass(spark):
+    assert scans(queries()["p12_cast_quarantine"](spark, SOURCE)) == 1
