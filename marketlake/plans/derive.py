@@ -465,9 +465,14 @@ def retract_derived(status: DataFrame, certified: DataFrame) -> DataFrame:
 def status_presence(live: DataFrame, instruments: DataFrame, days: DataFrame) -> DataFrame:
     """Per day, the listed symbols that the live snapshot lacks and the rows that nobody asked for."""
     asked = instruments.select("symbol", "list_date", "delist_date").join(F.broadcast(days.select("trade_date").distinct()), _alive()).select("symbol", "trade_date", F.lit(1).alias("asked"))
-    got = live.select("symbol", "trade_date").where("symbol IS NOT NULL").distinct().withColumn("got", F.lit(1))
-    both = asked.join(got, ["symbol", "trade_date"], "full_outer")
-    return both.groupBy("trade_date").agg(F.count_if(F.col("got").isNull()).alias("n_missing"), F.count_if(F.col("asked").isNull()).alias("n_unexpected"))
+    got = live.select("symbol", "trade_date").where("symbol IS NOT NULL").withColumn("got", F.lit(1))
+    both = asked.unionByName(got, allowMissingColumns=True).groupBy("symbol", "trade_date").agg(F.count("asked").alias("asked"), F.count("got").alias("got"))
+    return both.groupBy("trade_date").agg(F.sum(F.when(F.col("got") == 0, F.col("asked")).otherwise(0)).alias("n_missing"), F.count_if(F.col("asked") == 0).alias("n_unexpected"))
+
+
+def dealt(instruments: DataFrame, days: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Instruments in so many partitions that each, crossed with ``days``, makes about ``rows`` rows; they are few themselves, and would be one task's."""
+    return instruments.repartition(instruments.count() * days.count() // rows + 1, "symbol")
 
 
 def _alive() -> Column:
@@ -498,8 +503,9 @@ def assemble_status(live: DataFrame, history: DataFrame, instruments: DataFrame,
         F.lit("eastmoney_cached").alias("source"),
     )
     gone = instruments.join(wanted, F.col("delist_date") <= F.col("trade_date")).select("symbol", "trade_date", F.lit("delisted").alias("status"), F.lit("derived_delisted").alias("source"))
-    early = instruments.join(wanted, F.col("list_date") > F.col("trade_date")).select("symbol", "trade_date", F.lit("not_listed").alias("status"), F.lit("derived_not_listed").alias("source"))
-    derived = gone.unionByName(early.join(gone, ["symbol", "trade_date"], "left_anti")).withColumn("is_trading", F.lit(False)).withColumn("risk_warning", F.lit(None).cast("boolean"))
+    not_yet = (F.col("list_date") > F.col("trade_date")) & (F.col("delist_date").isNull() | (F.col("delist_date") > F.col("trade_date")))
+    early = instruments.join(wanted, not_yet).select("symbol", "trade_date", F.lit("not_listed").alias("status"), F.lit("derived_not_listed").alias("source"))
+    derived = gone.unionByName(early).withColumn("is_trading", F.lit(False)).withColumn("risk_warning", F.lit(None).cast("boolean"))
     return fresh.unionByName(cached).unionByName(derived)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import adjust
 from ..plans import derive as D
+from ..sources.lake import kept
 from .core import query
 from .operators import HFQ, KEY, etf_sql, universe_sql
 
@@ -350,27 +351,28 @@ UNION ALL SELECT a.symbol, a.trade_date, coalesce(h.is_trading, false), CASE WHE
 UNION ALL SELECT i.symbol, s.trade_date, false, 'delisted', NULL, 'derived_delisted' FROM instruments i JOIN sessions s ON i.delist_date <= s.trade_date
 UNION ALL SELECT i.symbol, s.trade_date, false, 'not_listed', NULL, 'derived_not_listed' FROM instruments i JOIN sessions s ON i.list_date > s.trade_date AND (i.delist_date IS NULL OR i.delist_date > s.trade_date)""")
 def _(fx):
-    live, history, days = _status_inputs(fx)
-    return D.assemble_status(live, history, fx("instruments"), days)
+    live, history, days, listed = _status_inputs(fx)
+    return D.assemble_status(live, kept(history, "d45-history"), listed, days)
 
 
 @query("d45_status_presence", "instruments sessions", f"""
 SELECT s.trade_date, count(*) FILTER (WHERE day(s.trade_date) % 5 = 0 AND (day(s.trade_date) <> 10 AND i.symbol LIKE '60%')) AS n_missing, CASE WHEN day(s.trade_date) = 10 THEN 1 ELSE 0 END AS n_unexpected FROM instruments i JOIN sessions s ON {ALIVE} GROUP BY 1""")
 def _(fx):
-    live, _, days = _status_inputs(fx)
-    return D.status_presence(live, fx("instruments"), days).select("trade_date", "n_missing", F.col("n_unexpected").cast("int").alias("n_unexpected"))
+    live, _, days, listed = _status_inputs(fx)
+    return D.status_presence(live, listed, days).select("trade_date", "n_missing", F.col("n_unexpected").cast("int").alias("n_unexpected"))
 
 
 def _status_inputs(fx):
     """A live feed that drops one exchange's names on every fifth day of a month, but sends one name too many on the tenth."""
-    days = fx("sessions").select("trade_date")
-    alive = fx("instruments").join(F.broadcast(days), F.expr("(list_date IS NULL OR list_date <= trade_date) AND (delist_date IS NULL OR delist_date > trade_date)"))
+    days = kept(fx("sessions").select("trade_date"), "d45-days")
+    listed = D.dealt(kept(fx("instruments").select("symbol", "list_date", "delist_date"), "d45-instruments"), days)
+    alive = listed.join(F.broadcast(days), F.expr("(list_date IS NULL OR list_date <= trade_date) AND (delist_date IS NULL OR delist_date > trade_date)"))
     day = F.dayofmonth("trade_date")
-    kept = alive.where((day % 5 != 0) | (day == 10) | ~F.col("symbol").startswith("60")).select("symbol", "trade_date")
+    sent = alive.where((day % 5 != 0) | (day == 10) | ~F.col("symbol").startswith("60")).select("symbol", "trade_date")
     extra = days.where("day(trade_date) = 10").select(F.lit("999999.SH").alias("symbol"), "trade_date")
-    live = kept.unionByName(extra).select("*", F.lit(True).alias("is_trading"), F.lit("normal").alias("status"), F.lit(False).alias("risk_warning"))
+    live = sent.unionByName(extra).select("*", F.lit(True).alias("is_trading"), F.lit("normal").alias("status"), F.lit(False).alias("risk_warning"))
     history = fx("status").groupBy("symbol", "trade_date").agg(F.bool_or("is_trading").alias("is_trading"), F.max("status").alias("status"), F.bool_or("risk_warning").alias("risk_warning"))
-    return live, history, days
+    return live, history, days, listed
 
 
 @query("d46_fill_gaps", "bars backup_bars", "SELECT symbol, trade_date, close FROM backup_bars UNION ALL SELECT b.symbol, b.trade_date, b.close FROM bars b ANTI JOIN backup_bars k ON b.symbol = k.symbol AND b.trade_date = k.trade_date")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from marketlake import fixtures
+from marketlake.plans import derive
 
 SOURCE = "/root/testdata/sf0.001"
 LINES = "lineitem.parquet"
@@ -52,3 +53,13 @@ def test_shuffles_begin_with_many_partitions(spark, name):
 
 def test_quarantine_is_counted_in_one_pass(spark):
     assert scans(queries()["p12_cast_quarantine"](spark, SOURCE)) == 1
+
+
+@pytest.mark.parametrize("name", ["d45_assemble_status", "d45_status_presence"])
+def test_status_inputs_are_derived_once(spark, name):
+    assert scans(queries()[name](spark, SOURCE)) == 0
+
+
+def test_instruments_are_dealt_by_the_rows_they_make(spark):
+    instruments, days = spark.range(20).selectExpr("CAST(id AS STRING) AS symbol").coalesce(1), spark.range(10)
+    assert derive.dealt(instruments, days, rows=50).rdd.getNumPartitions() == 5
