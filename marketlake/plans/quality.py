@@ -167,7 +167,7 @@ def st_labels(status: DataFrame, instruments: DataFrame) -> DataFrame:
 def volume_unit(bars: DataFrame, low: float = 0.8, high: float = 1.25, least: int = 200) -> DataFrame:
     """Sources whose median of amount / close / volume is off 1."""
     ratio = F.try_divide(F.try_divide("amount", "close"), F.col("volume").cast("double"))
-    whole = bars.where("volume > 0").select("source", ratio.alias("ratio"))
+    whole = kept(bars.where("volume > 0").select("source", ratio.alias("ratio")), "ratios")
     sizes = whole.groupBy("source").agg(F.count("*").alias("n_rows")).where(F.col("n_rows") >= least)
     middle = grouped_median(whole, "source", "ratio", kept).select(F.col("source").alias("_source"), F.col("median").alias("median_ratio"))
     per = sizes.join(middle, F.col("source").eqNullSafe(F.col("_source"))).select("source", "median_ratio", "n_rows")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from __spark_entry__ import queries
 from marketlake import fixtures
 from marketlake.plans import derive
+from marketlake.plans import quality as Q
 
 SOURCE = "/root/testdata/sf0.001"
 LINES = "lineitem.parquet"
@@ -63,3 +64,11 @@ def test_status_inputs_are_derived_once(spark, name):
 def test_instruments_are_dealt_by_the_rows_they_make(spark):
     instruments, days = spark.range(20).selectExpr("CAST(id AS STRING) AS symbol").coalesce(1), spark.range(10)
     assert derive.dealt(instruments, days, rows=50).rdd.getNumPartitions() == 5
+
+
+def test_volume_unit_reads_its_bars_once(spark, tmp_path):
+    rows = [("lots", 10.0, 5, 10.0 * 5 * 100)] * 250
+    spark.createDataFrame(rows, "source string, close double, volume bigint, amount double").write.parquet(f"{tmp_path}/bars")
+    found = Q.volume_unit(spark.read.parquet(f"{tmp_path}/bars"))
+    assert str(tmp_path) not in plan(found)
+    assert [tuple(r) for r in found.collect()] == [("lots", 100.0, 250)]
