@@ -52,8 +52,18 @@ def test_shuffles_begin_with_many_partitions(spark, name):
     assert dealt and {int(n) for n in dealt} == {2000}
 
 
+def test_splits_of_a_scan_are_small(spark, tmp_path):
+    queries()["u4_distinct_pairs"](spark, SOURCE)
+    spark.range(6_000_000).selectExpr("id", "xxhash64(id) AS h", "xxhash64(h) AS g").coalesce(1).write.option("compression", "none").option("parquet.block.size", 4 << 20).parquet(f"{tmp_path}/t")
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert size > 100 << 20
+    assert spark.read.parquet(f"{tmp_path}/t").rdd.getNumPartitions() >= size // (16 << 20)
+
+
 def test_quarantine_is_counted_in_one_pass(spark):
-    assert scans(queries()["p12_cast_quarantine"](spark, SOURCE)) == 1
+    found = queries()["p12_cast_quarantine"](spark, SOURCE)
+    assert scans(found) == 1
+    assert "lambda" not in plan(found)
 
 
 @pytest.mark.parametrize("name", ["d45_assemble_status", "d45_status_presence"])
