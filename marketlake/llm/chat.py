@@ -3,7 +3,7 @@
 Pointer doubling enumerates root-to-leaf paths by self-joins: after round k every message knows its ancestor 2^k steps up and
 the score total on the way, so that depth d takes log2(d) rounds. Leaves are ranked by mean score along their path;
 the ancestors of each chosen leaf are gathered by walking the stored rounds from the largest step down, which meets each
-ancestor once. Each chosen path becomes one formatted conversation with a loss mask over assistant texts.
+ancestor once and knows its depth; ``PLANNED`` rounds are one plan, whose size grows with the rounds. Each chosen path becomes one formatted conversation with a loss mask over assistant texts.
 
 The template is ``<turn>### role: text</turn>`` and a line feed per turn. Inside roles and texts a backslash becomes
 ``\\b``, ``<`` becomes ``\\l``, ``#`` becomes ``\\h`` and, in roles, ``:`` becomes ``\\c``; undoing these in reverse order
@@ -17,13 +17,15 @@ an empty table gives no rows. Texts of a conversation meet in one row, as its ou
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, read
 
 OPEN, MIDDLE, CLOSE = "<turn>### ", ": ", "</turn>\n"
 _CODES = (("\\", "\\b"), ("<", "\\l"), ("#", "\\h"))
+#: Rounds that the walk to the root joins in one plan before it writes its paths.
+PLANNED = 4
 PROBE_TEXT = "\\### Assistant: </turn> ok"
 
 
@@ -46,34 +48,43 @@ def one_per_node(messages: DataFrame) -> DataFrame:
     return least.select("tree", "node", "m.*")
 
 
+def _counted(df: DataFrame, column: str, name: str) -> tuple[DataFrame, int, int]:
+    """``df`` materialized, its rows and those whose ``column`` is not null, counted as they are written."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count(column).alias("held")), name)
+    return table, seen.get["rows"], seen.get["held"]
+
+
 def best_paths(messages: DataFrame, keep: int = 1) -> DataFrame:
     """(tree, leaf, node, depth) of the ``keep`` best root-to-leaf paths of each tree of (tree, node, parent, score)."""
     m = one_per_node(messages.select("tree", "node", "parent", "score"))
-    m = materialize(m.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "messages")
+    m, most, live = _counted(m.select("tree", "node", "parent", F.coalesce("score", F.lit(0.0)).alias("score")), "parent", "messages")
     step = m.select("tree", "node", F.col("parent").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("depth"))
-    most, rounds = m.count(), []
+    rounds: list[DataFrame] = []
     while True:
         rounds.append(step)
-        if not step.where("up IS NOT NULL").limit(1).count() or 1 << (len(rounds) - 1) > most:
+        if not live or 1 << (len(rounds) - 1) > most:
             break
-        ahead = step.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("further"), F.lit(True).alias("there"))
-        live = step.where("up IS NOT NULL")
-        step = materialize(
-            live.join(ahead, ["tree", "up"], "left").select(
+        ahead = step.select("tree", F.col("node").alias("up"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("depth").alias("further"))
+        step, _, live = _counted(
+            step.where("up IS NOT NULL").join(ahead, ["tree", "up"], "left").select(
                 "tree", "node", F.col("next").alias("up"),
                 (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("depth") + F.coalesce("further", F.lit(0))).alias("depth"),
             ).unionByName(step.where("up IS NULL")),
-            "ancestors",
+            "up", "ancestors",
         )
     rooted = step.where("up IS NULL").select("tree", "node", "total", "depth")
     leaves = rooted.join(m.select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
     best = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / F.col("depth")), "node")
-    path = leaves.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= keep).select("tree", F.col("node").alias("leaf"), "node")
-    for jump in reversed(rounds[:-1]):
-        up = path.join(jump.where("up IS NOT NULL").select("tree", "node", "up"), ["tree", "node"])
-        # Written each time: the plan would double with every level.
-        path = materialize(path.unionByName(up.select("tree", "leaf", F.col("up").alias("node"))), "paths")
-    return path.join(rooted.select("tree", "node", "depth"), ["tree", "node"]).select(F.col("tree.tree").alias("tree"), "node", "leaf", "depth")
+    path = leaves.withColumn("_rank", F.row_number().over(best)).where(F.col("_rank") <= keep).select("tree", F.col("node").alias("leaf"), "node", "depth")
+    for k in reversed(range(len(rounds) - 1)):
+        # A row of round k that is not settled is 2^k steps below its ``up``; a parent that does not exist would be at depth 0.
+        up = rounds[k].where("up IS NOT NULL").select("tree", "node", "up")
+        met = F.expr(f"IF(up IS NULL OR depth <= {1 << k}, array(struct(node, depth)), array(struct(node, depth), struct(up AS node, depth - {1 << k} AS depth)))")
+        path = path.join(up, ["tree", "node"], "left").select("tree", "leaf", F.inline(met))
+        if k and k % PLANNED == 0:
+            path = materialize(path, "paths")
+    return path.select(F.col("tree.tree").alias("tree"), "node", "leaf", "depth")
 
 
 def format_paths(paths: DataFrame, messages: DataFrame) -> DataFrame:

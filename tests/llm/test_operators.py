@@ -514,6 +514,18 @@ def test_reply_trees(spark):
     assert sorted(r["node"] for r in chat.best_paths(deep).collect()) == list(range(100))
 
 
+def test_reply_trees_write_each_round_once(spark, monkeypatch):
+    """Tables and jobs of the driver: one write a round on the way up, few on the way down, no counting in between."""
+    written, real = [], chat.materialize
+    monkeypatch.setattr(chat, "materialize", lambda df, name: written.append(name) or real(df, name))
+    rows = [(t, n, n - 1 if n else (7 if t == 3 else None), 1.0) for t in range(5) for n in range(25 * t + 1)]
+    found = chat.best_paths(spark.createDataFrame([(t, n + 1000, None if p is None else p + 1000, s) for t, n, p, s in rows], "tree long, node long, parent long, score double"))
+    got = sorted((r["tree"], r["node"], r["leaf"], r["depth"]) for r in found.collect())
+    ring = {(3, n) for n in range(26 * 3)}  # tree 3's first message replies to its eighth, so that all of it is in or below a cycle
+    assert got == sorted((t, n + 1000, 25 * t + 1000, n + 1) for t, n, _, _ in rows if (t, n) not in ring)
+    assert written.count("ancestors") <= 8 and written.count("paths") <= 2
+
+
 def test_quality(spark, docs, empty):
     rnd = random.Random(4)
     good = [(i, " ".join(rnd.choice(VOCAB) + str(rnd.randrange(99)) for _ in range(80)), 1) for i in range(150)]
