@@ -75,6 +75,68 @@ def pieces(text: str) -> list[str]:
     return (MIXED if OTHER.search(text) else PLAIN).findall(text)
 
 
+def _classes() -> np.ndarray:
+    """What each byte of a text is: 0 space, 1 letter or part of one, 2 mark, 3 other."""
+    kind = np.full(256, 3, np.uint8)
+    for c in map(chr, range(128)):
+        kind[ord(c)] = 0 if re.match(f"[{_SPACE}]", c) else 1 if re.match(f"[{_LETTER}]", c) else 2 if re.match(f"[{_MARK}]", c) else 3
+    kind[0x80:0xC0] = kind[0xC3] = 1
+    return kind
+
+
+_CLASS = _classes()
+_LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+
+
+def plain_pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """``pieces`` of all texts without other signs at once (null: empty): the pieces, the text of each, and the texts that have other signs or may hold a special token."""
+    column = column.cast(pa.large_binary()).fill_null(b"")
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8)
+    at = at - at[0]
+    kind = _CLASS[raw]
+    # The bytes of letters are those of U+00C0 to U+00FF, but for two signs; a continuation of any other lead byte comes with that lead, which is other.
+    odd = np.flatnonzero(kind == 3)
+    sign = np.flatnonzero(raw[:-1] == 0xC3)
+    sign = sign[(raw[sign + 1] == 0x97) | (raw[sign + 1] == 0xB7)]
+    special = np.flatnonzero(raw[:-1] == ord("<"))
+    special = special[raw[special + 1] == ord("|")]
+    rest = np.unique(np.searchsorted(at, np.concatenate((odd, sign, special)), side="right") - 1)
+    for i in rest.tolist():
+        kind[at[i] : at[i + 1]] = 0
+    new = np.empty(len(raw), bool)
+    new[:1] = True
+    np.not_equal(kind[1:], kind[:-1], out=new[1:])
+    new[at[:-1][at[:-1] < len(raw)]] = True
+    inside = kind != 0
+    start = np.flatnonzero(new & inside)
+    kept = _LOWER[raw[inside]]
+    ends = np.append(np.cumsum(inside)[start] - 1, len(kept)).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(start), pa.py_buffer(ends), pa.py_buffer(kept))
+    return found, np.searchsorted(at, start, side="right") - 1, rest
+
+
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def distinct_pieces(found: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The distinct ones of ``plain_pieces`` and which of them each is. Up to 8 bytes, none of them 0, are one number."""
+    if not len(found):
+        return [], np.zeros(0, np.int64)
+    _, offsets, data = found.buffers()
+    at = np.frombuffer(offsets, np.int32)[: len(found) + 1]
+    raw = np.append(np.frombuffer(data, np.uint8), np.zeros(8, np.uint8))
+    size = np.diff(at)
+    short = size <= 8
+    number = np.ndarray(len(raw) - 7, "<u8", raw, strides=(1,))[at[:-1][short]] & _MASK[size[short]]
+    few, many = found.filter(pa.array(~short)).dictionary_encode(), pa.array(number).dictionary_encode()
+    which = np.empty(len(found), np.int64)
+    which[short] = many.indices.to_numpy()
+    which[~short] = few.indices.to_numpy() + len(many.dictionary)
+    return [x.decode() for x in many.dictionary.to_numpy().astype("<u8").view("S8").tolist()] + few.dictionary.to_pylist(), which
+
+
 class PieceTokens(dict):
     """Token ids of whole texts by a table of the pieces seen so far; the library encodes each piece once."""
 
@@ -129,7 +191,7 @@ class PieceTokens(dict):
         order: list[int] = []
         for at in range(0, len(plain), 500):
             part = plain[at : at + 500]
-            ids = np.array(self.tokenizer.encode(" ".join([new[i] for i in part]), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([new[i] for i in part])], add_special_tokens=False)[0].ids, np.uint32)
             cut = np.flatnonzero(self.word_end[ids]) + 1
             if len(cut) == len(part) and cut[-1] == len(ids):
                 flat.append(ids)
@@ -162,11 +224,19 @@ class PieceTokens(dict):
         k, sizes = self.places(texts)
         return self.ids(k, sizes)
 
-    def places(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def places(self, texts: list[str] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The place in this table of each piece of the texts, one text after the other, and the number of pieces of each text."""
-        split = [pieces(t) for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
-        k = np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        plain, of, rest = plain_pieces(column)
+        names, which = distinct_pieces(plain)
+        k = np.fromiter(map(self.__getitem__, names), np.int64, len(names))[which]
+        sizes = np.bincount(of, minlength=len(column))
+        if len(rest):
+            # The few texts with other signs are taken apart one by one; all pieces are put in the order of the texts.
+            split = [pieces(t) for t in column.take(pa.array(rest)).to_pylist()]
+            sizes[rest] = np.fromiter(map(len, split), np.int64, len(split))
+            of = np.append(of, np.repeat(rest, sizes[rest]))
+            k = np.append(k, np.fromiter(map(self.__getitem__, chain.from_iterable(split)), np.int64, len(of) - len(k)))[np.argsort(of, kind="stable")]
         if self.new:
             self._learn()
         return k, sizes
@@ -256,7 +326,7 @@ def _tokenize(path: str, narrow: type) -> Callable:
                 count()
                 table.keep_common(held)
                 held = np.zeros(0, np.int32)
-            k, sizes = table.places([t or "" for t in batch.column("text").to_pylist()])
+            k, sizes = table.places(batch.column("text"))
             ids, ends = table.ids(k, sizes)
             pairs = np.sort(np.repeat(np.arange(len(sizes)), sizes) << 32 | k)
             seen = np.bincount(pairs[np.diff(pairs, prepend=-1) != 0] & 0xFFFFFFFF, minlength=len(table)).astype(np.int32)

@@ -514,6 +514,39 @@ def test_reply_trees(spark):
     assert sorted(r["node"] for r in chat.best_paths(deep).collect()) == list(range(100))
 
 
+def test_pieces_of_a_step_are_those_of_each_text():
+    """Splitting a step at once gives each text's pieces, and few strings are looked up: the distinct ones of the step."""
+    rnd = random.Random(11)
+    signs = ["a", "Zé", "ÀÖ×ß", "÷", "_-!", "'", " ", "\t\r\n\x0b", "\x00", "\x1f", "\xa0", "ĳ", "漢", "é", "e\u0301", "<", "|", "<|", "0123456789", "sevenß!", "nine-long", "averyveryverylongword", "~" * 9, "😀"]
+    texts = ["".join(rnd.choice(signs[: 3 + i % len(signs)] if i % 3 else ["Aé ", "bc", " ", "!!", "longerwords", "ÿÀ", "\n"]) for _ in range(rnd.randrange(30))) for i in range(600)] + [None, "", " ", "x" * 8, "x" * 9]
+    column = pa.array(texts, pa.string())
+    for part in (column, column[7:300], column[:0], pa.array([None, ""], pa.string()), pa.array([None], pa.string())):
+        found, of, rest = packing.plain_pieces(part)
+        names, which = packing.distinct_pieces(found)
+        assert [names[i] for i in which] == found.to_pylist() and len(set(names)) == len(names)
+        got = [[] for _ in part]
+        for t, x in zip(of.tolist(), found.to_pylist()):
+            got[t].append(x)
+        for i, t in enumerate(part.to_pylist()):
+            other = "<|" in (t or "") or packing.OTHER.search(t or "")
+            assert (i in rest) == bool(other) and got[i] == ([] if other else packing.pieces(t or ""))
+    table, looked = packing.PieceTokens(packing.vocabulary_path()), []
+
+    class Watched(packing.PieceTokens):
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return super().__getitem__(piece)
+
+    words = [f"{a} {b}!" for a in ("ab", "cd", "efghijklmn") for b in ("ab", "zz")] * 500
+    watched = Watched(packing.vocabulary_path())
+    for some in (texts, words):
+        k, sizes = watched.places(pa.array(some, pa.string()))
+        ids, ends = watched.ids(k, sizes)
+        want = [table.tokenizer.encode(t or "", add_special_tokens=False).ids for t in some]
+        assert ids.tolist() == [i for w in want for i in w] and ends.tolist() == np.cumsum([len(w) for w in want]).tolist()
+    assert sum(x == "zz" for x in looked) <= 2
+
+
 def test_reply_trees_write_each_round_once(spark, monkeypatch):
     """Tables and jobs of the driver: one write a round on the way up, few on the way down, no counting in between."""
     written, real = [], chat.materialize
