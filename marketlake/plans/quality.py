@@ -312,8 +312,12 @@ def unverified_pairs(pairs: DataFrame, receipts: DataFrame, stored: DataFrame, s
     """Q34: pairs that not every required source has an intact receipt for, with the number that do; overlapping receipts count once."""
     good = intact_receipts(receipts.where(F.col("source").isin(*sources)), stored, version).alias("r")
     inside = (F.col("p.symbol") == F.col("r.symbol")) & F.col("p.trade_date").between(F.col("r.window_start"), F.col("r.window_end"))
-    seen = pairs.select("symbol", "trade_date").distinct().alias("p").join(good, inside, "left")
-    return seen.groupBy("p.symbol", "p.trade_date").agg(F.countDistinct("r.source").alias("n_sources")).where(F.col("n_sources") < len(sources))
+    # Grouping makes repeated pairs one, and a flag for each source needs no second grouping by source.
+    seen = pairs.select("symbol", "trade_date").alias("p").join(good, inside, "left")
+    required = list(dict.fromkeys(sources))
+    held = seen.groupBy("p.symbol", "p.trade_date").agg(*(F.max(F.coalesce((F.col("r.source") == x).cast("long"), F.lit(0))).alias(f"_{i}") for i, x in enumerate(required)))
+    counted = held.select("symbol", "trade_date", sum((F.col(f"_{i}") for i in range(len(required))), F.lit(0).cast("long")).alias("n_sources"))
+    return counted.where(F.col("n_sources") < len(sources))
 
 
 def coverage_gaps(bars: DataFrame, sessions: DataFrame) -> DataFrame:

@@ -198,3 +198,17 @@ def test_historical_validity(spark, sessions):
     got = {r["blocker"]: r["n"] for r in reports.historical_validity(b, inst, status, sessions).collect()}
     # The bar after delisting is outside; two pairs lack status rows; three sessions have no listed bar; one delisted name has none at all.
     assert got == {"st_evidence": 2, "interior_sessions": 3, "delisted_universe": 1}
+
+
+def test_unverified_pairs_are_grouped_once(spark):
+    """Repeated pairs count once, overlapping receipts of one source too; no second grouping by source."""
+    from marketlake.plans import quality as Q
+
+    day = "CAST('2024-01-0{}' AS DATE)".format
+    pairs = spark.sql(f"SELECT s AS symbol, {day(2)} AS trade_date FROM VALUES ('a'), ('a'), ('b'), ('c'), ('d') t(s)")
+    held = spark.sql(f"SELECT x AS source, s AS symbol, {day(2)} AS trade_date FROM VALUES ('p', 'a'), ('p', 'b'), ('q', 'b'), ('p', 'd') t(x, s)")
+    receipts = spark.sql(f"SELECT x AS source, s AS symbol, 'v1' AS version, w AS window_start, {day(3)} AS window_end, n AS n_rows FROM VALUES ('p', 'a', {day(1)}, 1L), ('p', 'a', {day(2)}, 1L), "
+                         f"('p', 'b', {day(1)}, 1L), ('q', 'b', {day(2)}, 1L), ('p', 'd', {day(1)}, 2L), ('z', 'c', {day(1)}, 0L) t(x, s, w, n)")
+    found = Q.unverified_pairs(pairs, receipts, held, ("p", "q"), "v1")
+    assert sorted((r["symbol"], r["n_sources"]) for r in found.collect()) == [("a", 1), ("c", 0), ("d", 0)]
+    assert "count(distinct" not in found._jdf.queryExecution().optimizedPlan().toString()
