@@ -28,7 +28,11 @@ def row_halves(columns: list[str]) -> tuple[Column, Column]:
 
 def aggregates(columns: list[str]) -> list[Column]:
     """Aggregates n_rows, digest_a and digest_b, for ``agg``, ``groupBy().agg`` and ``observe``."""
-    a, b = row_halves(columns)
+    return sums(*row_halves(columns))
+
+
+def sums(a: Column, b: Column) -> list[Column]:
+    """``aggregates`` of halves that a projection holds, so that a row's MD5 is taken once, however often the sums mention it."""
     return [F.count(F.lit(1)).alias("n_rows"), _sum(a).alias("digest_a"), _sum(b).alias("digest_b")]
 
 

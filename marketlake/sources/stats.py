@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.digest import Digest, aggregates, business_columns, of_row
+from ..operators.digest import Digest, business_columns, of_row, row_halves, sums
 from .lake import Generations, delete, exists
 
 IDENTITY = ["path", "length", "modified"]
@@ -41,8 +41,9 @@ class Statistics:
         kept = [F.col(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in (("source", "string"), ("data_version", "string"))]
         fetched = F.col("fetched_at").cast("timestamp") if "fetched_at" in rows.columns else F.lit(None).cast("timestamp")
         by = [F.col("_path").alias("path"), F.col("_length").alias("length"), F.col("_modified").cast("timestamp").alias("modified"), F.col(label).cast("string").alias("label"), *kept]
-        return rows.groupBy(*by).agg(
-            *aggregates(business), F.min(fetched).alias("first_fetch"), F.max(fetched).alias("last_fetch"), F.min(self.day).alias("first_day"), F.max(self.day).alias("last_day")
+        a, b = row_halves(business)
+        return rows.withColumns({"_half_a": a, "_half_b": b}).groupBy(*by).agg(
+            *sums(F.col("_half_a"), F.col("_half_b")), F.min(fetched).alias("first_fetch"), F.max(fetched).alias("last_fetch"), F.min(self.day).alias("first_day"), F.max(self.day).alias("last_day")
         )
 
     def refresh(self) -> int:

@@ -325,3 +325,15 @@ def test_labels_are_replaced_at_once(spark, tmp_path):
     assert t.read().count() == b.where("trade_date >= '2023-04-01'").count()
     with pytest.raises(ValueError):
         t.read(commit=1)
+
+
+def test_incremental_stats_rewrites_a_label_from_its_stored_rows(spark, monkeypatch):
+    """The label that changes is read from the lake; the bars are not derived a second time for it."""
+    from __spark_entry__ import queries
+    from marketlake.sources import lake
+
+    read, real = [], lake.write_partitions
+    monkeypatch.setattr(lake, "write_partitions", lambda df, *a: read.append(df.inputFiles()) or real(df, *a))
+    rows = queries()["m4_incremental_stats"](spark, "/root/testdata/sf0.001").collect()
+    assert len(read) == 2 and read[1] and not [f for f in read[1] if "lineitem" in f]
+    assert {r["label"] for r in rows if r["data_version"] == "v2"} == {"1998"} and all(r["only_changed"] for r in rows)
