@@ -36,11 +36,11 @@ def new_table(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and returns it read back: lineage ends there."""
+def materialize(df: DataFrame, name: str, **options: str | int) -> DataFrame:
+    """Writes ``df`` as Parquet in the shared folder and returns it read back: lineage ends there. ``options`` are the writer's."""
     spark = df.sparkSession
     path = new_table(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -54,13 +54,13 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
+def small_batches(spark: SparkSession, rows: int = 500, size: int = STEP_BYTES) -> None:
     """Bounds the rows and bytes that one Arrow batch carries to a Python worker, since texts can be long.
 
     The setting stays with the session, as plans returned to the caller run later.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", STEP_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 @contextmanager
@@ -75,11 +75,11 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(name, was)
 
 
-def steps(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The rows of all batches in slices of at most ``STEP_BYTES`` of text."""
+def steps(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of all batches in slices of at most ``most`` bytes of text, a single longer text apart."""
     for batch in batches:
         size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        step = (np.cumsum(size) - size) // STEP_BYTES
+        step = (np.cumsum(size) - size) // most
         starts = np.flatnonzero(np.diff(step, prepend=-1))
         for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(size)]):
             yield batch.slice(a, b - a)

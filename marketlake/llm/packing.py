@@ -47,6 +47,10 @@ KEYS, POWER = 3, 3
 DENSE = 16
 #: Distinct pieces a worker remembers, and the bytes that they and their tokens take; a step of texts comes on top.
 PIECE_CACHE, PIECE_BYTES = 400_000, 128 << 20
+#: Bytes of text that a step takes apart at once, and pieces whose words are counted at once: what a worker holds besides its table grows with both.
+TEXT_BYTES, WORDS_OF = 1 << 20, 50_000
+#: Bytes of a row group of the token table, and rows that Spark's Parquet reader takes at once: both are buffered on an executor's heap.
+ROW_GROUP, READ_ROWS = 8 << 20, 512
 #: Tokens of a piece that may stay when the table starts over.
 SHORT = 16
 #: Shards of a range that a task holds at most before it begins to pack, and tasks whose counts one group sums.
@@ -214,10 +218,12 @@ class PieceTokens(dict):
         self.name, self.time = np.append(self.name, name.view(np.int64)), np.append(self.time, time, axis=1)
         self.bytes += _weight(new, sizes)
 
-    def words(self) -> tuple[np.ndarray, np.ndarray]:
-        """The words of all pieces, and the piece of each."""
-        ends = np.cumsum(self.n)
-        return words_of(self.flat[np.repeat(self.at - (ends - self.n), self.n) + np.arange(ends[-1] if len(ends) else 0)], ends, self.word_end)
+    def words(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The words of the pieces at these places, and the place of each; ``WORDS_OF`` pieces at a time."""
+        for a in range(0, len(which), WORDS_OF):
+            part = which[a : a + WORDS_OF]
+            term, piece = words_of(*self.ids(part, np.ones(len(part), np.int64)), self.word_end)
+            yield term, part[piece]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's ids end."""
@@ -269,10 +275,15 @@ def words_of(ids: np.ndarray, ends: np.ndarray, word_end: np.ndarray) -> tuple[n
     last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
     stop = np.flatnonzero(last) + 1
     start = np.append(0, stop[:-1])
-    place = np.arange(len(ids)) - np.repeat(start, stop - start)
+    place = np.arange(len(ids), dtype=np.int32 if len(ids) < 1 << 31 else np.int64)
+    place -= np.repeat(start.astype(place.dtype), stop - start)
     with np.errstate(over="ignore"):
-        power = np.multiply.accumulate(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
-        term = mix(np.add.reduceat((ids.astype(np.uint64) + np.uint64(1)) * power[place], start))
+        power = np.multiply.accumulate(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))[place]
+        del place
+        value = ids.astype(np.uint64)
+        value += np.uint64(1)
+        value *= power
+        term = mix(np.add.reduceat(value, start))
     return term & np.uint64((1 << TERM_BITS) - 1), np.searchsorted(ends, start, side="right")
 
 
@@ -317,11 +328,10 @@ def _tokenize(path: str, narrow: type) -> Callable:
 
         def count() -> None:
             """Adds the documents of each piece to the cells of its words."""
-            term, piece = table.words()
-            few = piece < len(held)
-            np.add.at(df, _cell(term[few]), held[piece[few]])
+            for term, piece in table.words(np.flatnonzero(held)):
+                np.add.at(df, _cell(term), held[piece])
 
-        for batch in steps(batches):
+        for batch in steps(batches, most=TEXT_BYTES):
             if table.full:
                 count()
                 table.keep_common(held)
@@ -345,6 +355,8 @@ def _tokenize(path: str, narrow: type) -> Callable:
             parts = [some[a:b] for a, b in zip(cut_at[:-1], cut_at[1:])]
             none = [None] * SLICES
             yield rows([first >> 36] * SLICES, none, none, *[none] * KEYS, range(SLICES), [c.tobytes() for c in parts], [df[c].tobytes() for c in parts], *([x, *[0] * (SLICES - 1)] for x in (docs, tokens)))
+        # The worker outlives the task; what Arrow keeps of its batches does not.
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -538,13 +550,14 @@ def _pack_shards(path: str, shared, mean: float, window: int, narrow: type, with
             out, k = pack_shard(doc_ids[a:b], parts[a:b], first)
             yield out
             a, first = b, first + k
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
 def dealt(docs: DataFrame, path: str, narrow: type) -> tuple[DataFrame, np.ndarray, float]:
     """doc_id, ids and keys of all documents, sorted by keys in ranges; each cell's weight and the mean tokens of the corpus."""
-    tokens = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path, narrow), _TOKENS), "tokens")
+    tokens = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenize(path, narrow), _TOKENS), "tokens", **{"parquet.block.size": ROW_GROUP})
     df, n, total = statistics(tokens)
     idf = np.log1p(np.maximum(n - df + 0.5, 0.5) / (df + 0.5)).astype(np.float32)
     keys = [*_KEYS, F.xxhash64("uid")]
@@ -562,8 +575,14 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
     return ranges.select("doc_id", "ids").mapInArrow(_pack_shards(path, shared, mean, window, narrow, with_ids), schema)
 
 
+def small_reads(spark: SparkSession) -> None:
+    """Bounds what Spark reads of long texts and token rows at once. The settings stay with the session, as the returned plan runs later."""
+    small_batches(spark, 1000, TEXT_BYTES)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)
+
+
 def op7_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark, 1000)
+    small_reads(spark)
     return pack(read(spark, sf_dir, "documents"))
 
 
@@ -572,5 +591,5 @@ def stage_pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Defined results: those of ``pack``; a null doc_id stays null; extra columns are left out, whatever their names.
     """
-    small_batches(spark, 1000)
+    small_reads(spark)
     return pack(docs)

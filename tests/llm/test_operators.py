@@ -648,3 +648,40 @@ def test_packing_table_keeps_common_pieces(spark, monkeypatch):
     k, _ = table.places(["a b c d e f g h i j"])
     table.keep_common(np.array([9, 1, 5, 1, 1, 1, 1, 1, 1, 1]))
     assert list(table) == ["a"] and table.encode(["a b"])[0].tolist() == packing.PieceTokens(packing.vocabulary_path()).encode(["a b"])[0].tolist()
+
+
+def test_packing_step_holds_little_besides_its_table(monkeypatch):
+    """A batch of 4 MB of text beside a full table: a task's own arrays follow its steps, neither the batch nor the table."""
+    import tracemalloc
+
+    import pyspark
+
+    rnd = random.Random(10)
+    path = packing.vocabulary_path()
+    table = packing.PieceTokens(path)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(4, 12))) for _ in range(150_000)]
+    table.places([" ".join(words[a : a + 5000]) for a in range(0, len(words), 5000)])
+    texts = [" ".join(rnd.choices(words[:20_000], k=250)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    assert batch.nbytes > 4 << 20
+    plain = packing.PieceTokens(path)
+    ids, ends = plain.encode(texts)
+    where = type("Context", (), {"get": classmethod(lambda cls: cls), "partitionId": staticmethod(lambda: 0)})
+    monkeypatch.setattr(pyspark, "TaskContext", where)
+    monkeypatch.setattr(packing, "worker_tokens", lambda _: table)
+    docs, counted = 0, 0
+    tracemalloc.start()
+    try:
+        for out in packing._tokenize(path, np.uint16)(iter([batch])):
+            for row, (doc, got) in enumerate(zip(out.column("doc_id").to_pylist(), out.column("ids").to_pylist())):
+                if doc is not None:
+                    assert doc == docs and got == ids[0 if not doc else ends[doc - 1] : ends[doc]].astype("<u2").tobytes()
+                    docs += 1
+                else:
+                    counted += int(np.frombuffer(out.column("counts")[row].as_py(), np.int32).sum())
+        peak = tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+    term, doc = packing.words_of(ids, ends, plain.word_end)
+    assert docs == len(texts) and counted == len(packing.distinct_words(term, doc)[0])
+    assert peak < 40, peak
