@@ -124,10 +124,10 @@ def plain_pieces(column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
-def distinct_pieces(found: pa.Array) -> tuple[list[str], np.ndarray]:
-    """The distinct ones of ``plain_pieces`` and which of them each is. Up to 8 bytes, none of them 0, are one number."""
+def piece_numbers(found: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """The distinct ones of ``plain_pieces``, those of up to 8 bytes (none of them 0) as numbers and the others as they are, and which of them each is."""
     if not len(found):
-        return [], np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), [], np.zeros(0, np.int64)
     _, offsets, data = found.buffers()
     at = np.frombuffer(offsets, np.int32)[: len(found) + 1]
     raw = np.append(np.frombuffer(data, np.uint8), np.zeros(8, np.uint8))
@@ -138,7 +138,17 @@ def distinct_pieces(found: pa.Array) -> tuple[list[str], np.ndarray]:
     which = np.empty(len(found), np.int64)
     which[short] = many.indices.to_numpy()
     which[~short] = few.indices.to_numpy() + len(many.dictionary)
-    return [x.decode() for x in many.dictionary.to_numpy().astype("<u8").view("S8").tolist()] + few.dictionary.to_pylist(), which
+    return many.dictionary.to_numpy().astype(np.uint64), few.dictionary.to_pylist(), which
+
+
+def names_of(numbers: np.ndarray) -> list[str]:
+    return [x.decode() for x in numbers.astype("<u8").view("S8").tolist()]
+
+
+def distinct_pieces(found: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The distinct ones of ``plain_pieces`` and which of them each is."""
+    numbers, names, which = piece_numbers(found)
+    return names_of(numbers) + names, which
 
 
 class PieceTokens(dict):
@@ -160,6 +170,7 @@ class PieceTokens(dict):
         self.new: list[str] = []
         self.flat, self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.name, self.time = np.zeros(0, np.int64), np.zeros((KEYS, 0))
+        self.number, self.place = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.bytes = 0
 
     @property
@@ -234,8 +245,8 @@ class PieceTokens(dict):
         """The place in this table of each piece of the texts, one text after the other, and the number of pieces of each text."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
         plain, of, rest = plain_pieces(column)
-        names, which = distinct_pieces(plain)
-        k = np.fromiter(map(self.__getitem__, names), np.int64, len(names))[which]
+        numbers, names, which = piece_numbers(plain)
+        k = np.concatenate((self._short(numbers), np.fromiter(map(self.__getitem__, names), np.int64, len(names))))[which]
         sizes = np.bincount(of, minlength=len(column))
         if len(rest):
             # The few texts with other signs are taken apart one by one; all pieces are put in the order of the texts.
@@ -247,6 +258,20 @@ class PieceTokens(dict):
             self._learn()
         return k, sizes
 
+    def _short(self, numbers: np.ndarray) -> np.ndarray:
+        """The places of short pieces given as numbers; those met before are found in a sorted array, so that only new ones become strings."""
+        at = np.searchsorted(self.number, numbers)
+        known = np.zeros(len(numbers), bool)
+        inside = at < len(self.number)
+        known[inside] = self.number[at[inside]] == numbers[inside]
+        places = np.empty(len(numbers), np.int64)
+        places[known] = self.place[at[known]]
+        names = names_of(numbers[~known])
+        places[~known] = np.fromiter(map(self.__getitem__, names), np.int64, len(names))
+        order = np.flatnonzero(~known)[np.argsort(numbers[~known])]
+        self.number, self.place = np.insert(self.number, at[order], numbers[order]), np.insert(self.place, at[order], places[order])
+        return places
+
     def ids(self, k: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.n[k]
         ends = np.cumsum(n)
