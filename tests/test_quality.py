@@ -2,6 +2,7 @@
 
 from datetime import date, datetime, timedelta
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -161,6 +162,38 @@ def test_integrity_of_derived_tables(spark):
     assert found(Q.announce_sentinels(facts), "source", "n") == [("x", 2)]
 
 
+def test_every_breadth_metric_becomes_a_column(spark):
+    from marketlake.plans.derive import BREADTH, breadth_counts
+    from marketlake.queries import own
+    from marketlake.queries.core import QUERIES
+
+    # Limits by symbol: 0.095, 0.195 for 30* and 688*, 0.295 for BJ.
+    moves = [("600001.SH", 0, 1.1), ("600002.SH", 0, 0.9), ("300001.SZ", 0, 1.1), ("830001.BJ", 0, 1.3), ("000001.SZ", 0, 1.0), ("600001.SH", 1, 0.8), ("688001.SH", 1, 0.8), ("830001.BJ", 1, 0.8)]
+    table = spark.createDataFrame([(s, DAYS[d], 1.0, c) for s, d, c in moves], "symbol string, trade_date date, open double, close double")
+    columns = ("trade_date", "up", "down", "flat", "total", "limit_up", "limit_down", "advance_ratio", "n")
+    got = QUERIES["a21_pivot_metrics"][0](lambda name: table)
+    assert found(got, *columns) == [(DAYS[0], 3, 1, 1, 5, 2, 1, 0.6, 7), (DAYS[1], 0, 3, 0, 3, 0, 2, 0.0, 7)]
+    # A metric that was not stored is null and is not counted.
+    fewer = breadth_counts(own._moves(lambda name: table)).where(~(F.col("metric_id").isin("limit_up_count", "advance_ratio") & (F.col("trade_date") == DAYS[1])))
+    assert found(own._pivoted(fewer), *columns)[1] == (DAYS[1], 0, 3, 0, 3, None, 2, None, 5)
+    assert len(BREADTH) == len(columns) - 2
+
+
+def test_pivoted_metrics_are_those_of_the_long_form(spark):
+    from __spark_entry__ import oracle_sql, queries
+
+    source = "/root/testdata/sf0.001"
+    ids = {"up": "advance_count", "down": "decline_count", "flat": "flat_count", "total": "total_count", "limit_up": "limit_up_count", "limit_down": "limit_down_count", "advance_ratio": "advance_ratio"}
+    long = {(r["trade_date"], r["metric_id"]): r["value"] for r in queries()["a5_breadth_counts"](spark, source).collect()}
+    wide = queries()["a21_pivot_metrics"](spark, source).collect()
+    assert {(r["trade_date"], m): r[c] for r in wide for c, m in ids.items()} == long and len(long) == 7 * len(wide) > 0
+    with duckdb.connect() as c:
+        c.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{source}/lineitem.parquet'")
+        want = c.execute(oracle_sql()["a21_pivot_metrics"])
+        names = [d[0] for d in want.description]
+        assert sorted(want.fetchall()) == sorted(tuple(r[n] for n in names) for r in wide)
+
+
 def test_missing_keys_and_batches(spark, sessions):
     b = bars(spark, [row("600001.SH", 0), row("600001.SH", 4), row("510001.SH", 0), row("510001.SH", 4)])
     status = spark.createDataFrame([("600001.SH", DAYS[1], False, "suspended", None, "x", None), ("600001.SH", DAYS[2], True, "normal", None, "x", None)], STATUS)
